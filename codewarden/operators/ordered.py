@@ -26,16 +26,12 @@ EXACT_DOUBLE = 2**53
 def _cuts(df: DataFrame, column: str, rows_per_range: int) -> list[float]:
     """Boundaries that leave about ``rows_per_range`` rows between neighbours; a value that
     fills several ranges comes back several times."""
-    grid = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(column).cast("double"), grid, 2 * MAX_RANGES).alias("cuts"),
-    ).first()
-    ranges = min(MAX_RANGES, math.ceil(row["n"] / rows_per_range))
+    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
     if ranges <= 1:
         return []
-    cuts = row["cuts"]
-    return [cuts[min(len(cuts) - 1, i * MAX_RANGES // ranges)] for i in range(1, ranges)]
+    grid = [i / ranges for i in range(1, ranges)]
+    value = F.col(column).cast("double")
+    return df.agg(F.percentile_approx(value, grid, 8 * ranges)).first()[0]
 
 
 def with_ranges(

@@ -51,13 +51,13 @@ def lookup_value(vocab: DataFrame) -> Column:
     looked up inside an array, without exploding the tokens and gathering them again.
     """
     filled = vocab.groupBy(_slot(F.col("token")).alias("slot")).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids")
+        F.collect_list(F.struct("token", "id")).alias("ids")
     )
     slots = vocab.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
     every = slots.join(filled, "slot", "left").agg(
         F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("slots")
     )
-    return every.select(F.transform("slots", lambda s: s["ids"]).alias("slots")).scalar()
+    return every.select(F.transform("slots", lambda s: F.map_from_entries(s["ids"])).alias("slots")).scalar()
 
 
 def vocab_lookup(

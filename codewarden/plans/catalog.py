@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from codewarden.plans import metric_queries  # noqa: F401
+from codewarden.plans import (  # noqa: F401
+    class_queries,
+    line_queries,
+    metric_queries,
+    packing_queries,
+    row_queries,
+)
 from codewarden.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

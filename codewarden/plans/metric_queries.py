@@ -354,17 +354,17 @@ def best_run_lowest(spark, sf):
     sql(
         f"""SELECT rows_read, rows_skipped, round({_ratio('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy,
               round({_PP}, 6) AS precision, round({_PR}, 6) AS recall, round({_f1(_PP, _PR)}, 6) AS f1
-            FROM (SELECT at AS rows_read,
+            FROM (SELECT seen AS rows_read,
                 CAST(sum(skip) OVER w AS BIGINT) AS rows_skipped,
                 sum((1 - skip) * CAST(label = 1 AND pred = 1 AS INTEGER)) OVER w AS tp,
                 sum((1 - skip) * CAST(label = 0 AND pred = 1 AS INTEGER)) OVER w AS fp,
                 sum((1 - skip) * CAST(label = 1 AND pred = 0 AS INTEGER)) OVER w AS fn,
                 sum((1 - skip) * CAST(label = 0 AND pred = 0 AS INTEGER)) OVER w AS tn
-              FROM (SELECT row_number() OVER (ORDER BY event_id) AS at,
+              FROM (SELECT row_number() OVER (ORDER BY event_id) AS seen,
                   CAST(event_type = 'error' AS INTEGER) AS label,
                   CAST((event_id % 100) / 100.0 > 0.5 AS INTEGER) AS pred,
                   CAST(value < 5 AS INTEGER) AS skip FROM events)
-              WINDOW w AS (ORDER BY at ROWS UNBOUNDED PRECEDING))
+              WINDOW w AS (ORDER BY seen ROWS UNBOUNDED PRECEDING))
             WHERE rows_read % 100 = 0"""
     ),
 )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 
-    A column used inside a lambda is otherwise evaluated again for each array element.
+    A column used inside a lambda is otherwise evaluated again for each array element, also when
+    it was named in an earlier step: the optimizer may move its definition into the lambda, for
+    instance with a filter it pushes down.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))

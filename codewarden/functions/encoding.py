@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codewarden.functions.binding import bind
+
 
 def _padded(ids: Column, length: int, pad: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), length - F.size(ids))))
@@ -45,15 +47,19 @@ def reference_ids(length: Column, first: int, ref: int, last: int) -> Column:
 
 def segment_ends(ids: Column, sep: int) -> Column:
     """Positions just before each separator that follows another token."""
-    return F.filter(
-        F.transform(
-            ids,
-            lambda x, i: F.when(
-                (i > 0) & (x == sep) & (F.get(ids, i - 1) != sep), i - 1
+
+    def ends(known: Column) -> Column:
+        return F.filter(
+            F.transform(
+                known,
+                lambda x, i: F.when(
+                    (i > 0) & (x == sep) & (F.get(known, i - 1) != sep), i - 1
+                ),
             ),
-        ),
-        lambda i: i.isNotNull(),
-    )
+            lambda i: i.isNotNull(),
+        )
+
+    return bind(ids, ends)
 
 
 def segments(ids: Column, separators: list[int]) -> Column:
@@ -62,20 +68,27 @@ def segments(ids: Column, separators: list[int]) -> Column:
     The ranges stand for the block-diagonal attention mask, whose cells are never laid out.
     """
 
-    def marks(is_edge) -> Column:
+    def closed(known: Column) -> Column:
+        def marks(is_edge) -> Column:
+            return F.filter(
+                F.transform(known, lambda x, i: F.when(is_edge(x, i), i)), lambda i: i.isNotNull()
+            )
+
+        firsts = marks(
+            lambda x, i: ~x.isin(separators) & ((i == 0) | F.get(known, i - 1).isin(separators))
+        )
+        lasts = marks(
+            lambda x, i: x.isin(separators) & (i > 0) & ~F.get(known, i - 1).isin(separators)
+        )
+        # An open run at the end has a first position but no last one.
         return F.filter(
-            F.transform(ids, lambda x, i: F.when(is_edge(x, i), i)), lambda i: i.isNotNull()
+            F.zip_with(
+                firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+            ),
+            lambda r: r["last"].isNotNull(),
         )
 
-    firsts = marks(
-        lambda x, i: ~x.isin(separators) & ((i == 0) | F.get(ids, i - 1).isin(separators))
-    )
-    lasts = marks(
-        lambda x, i: x.isin(separators) & (i > 0) & ~F.get(ids, i - 1).isin(separators)
-    )
-    return F.filter(
-        F.arrays_zip(firsts.alias("first"), lasts.alias("last")), lambda r: r["last"].isNotNull()
-    )
+    return bind(ids, closed)
 
 
 def mask_cells(ranges: Column) -> Column:

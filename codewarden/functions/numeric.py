@@ -100,9 +100,13 @@ def linear_head(
     vector: Column, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None
 ) -> Column:
     """Logits of a linear layer: one weight row per class, as literals of the plan."""
-    logits = []
-    for i, row in enumerate(weights):
-        w = F.array(*[F.lit(float(x)) for x in row])
-        dot = _sum(F.zip_with(vector, w, lambda x, y: x.cast("double") * y))
-        logits.append(dot if bias is None else dot + float(bias[i]))
-    return F.array(*logits)
+
+    def logits(known: Column) -> Column:
+        out = []
+        for i, row in enumerate(weights):
+            w = F.array(*[F.lit(float(x)) for x in row])
+            dot = _sum(F.zip_with(known, w, lambda x, y: x.cast("double") * y))
+            out.append(dot if bias is None else dot + float(bias[i]))
+        return F.array(*out)
+
+    return bind(vector, logits)

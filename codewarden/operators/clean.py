@@ -69,10 +69,10 @@ def fits_context(df: DataFrame, limit: int, prompt: str = "prompt") -> DataFrame
 def valid_slots(df: DataFrame, labels: str = "labels", weights: str | None = None) -> DataFrame:
     """One row per used slot: label 0 or more, or for the loss a label and a positive weight."""
     if weights is None:
-        slots = df.select("*", F.posexplode(labels).alias("slot", "label"))
+        slots = df.select("*", F.posexplode_outer(labels).alias("slot", "label"))
         return slots.filter(F.col("label") >= 0).drop(labels)
     pairs = F.arrays_zip(F.col(labels).alias("label"), F.col(weights).alias("weight"))
-    slots = df.select("*", F.posexplode(pairs).alias("slot", "__pair"))
+    slots = df.select("*", F.posexplode_outer(pairs).alias("slot", "__pair"))
     return (
         slots.select("*", "__pair.label", "__pair.weight")
         .filter((F.col("label") != -100) & (F.col("weight") > 0))

@@ -59,7 +59,8 @@ def cls_pool(vectors: DataFrame) -> DataFrame:
 def segment_ends(sequences: DataFrame, separator: int, ids: str = "ids") -> DataFrame:
     """(seq_id, segment, pos): where each function of a sequence ends."""
     ends = encoding.segment_ends(F.col(ids), separator)
-    return sequences.select("seq_id", F.posexplode(ends).alias("segment", "pos"))
+    rows = sequences.select("seq_id", F.posexplode_outer(ends).alias("segment", "pos"))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def last_token_pool(

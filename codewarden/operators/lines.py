@@ -110,7 +110,10 @@ def line_scores(df: DataFrame, tokens: str = "tokens", out: str = "lines") -> Da
     whose tokens sum to 0 yields no line, and its text moves on to the next line; the closing
     token's text belongs to no line.
     """
-    pairs = F.col(tokens)
+    return df.withColumn(out, bind(F.col(tokens), _lines_of))
+
+
+def _lines_of(pairs: Column) -> Column:
     separators = text.LINE_SEPARATORS
 
     def between(after: Column, end: Column) -> Column:
@@ -157,24 +160,30 @@ def line_scores(df: DataFrame, tokens: str = "tokens", out: str = "lines") -> Da
             ),
         )
 
-    return df.withColumn(out, bind(F.filter(stretches, lambda s: s["total"] != 0), to_lines))
+    return bind(F.filter(stretches, lambda s: s["total"] != 0), to_lines)
 
 
 def verified_flaws(flaws: Column, code: Column) -> Column:
     """Those flaw texts that occur inside the function's text."""
-    return F.filter(flaws, lambda flaw: F.contains(code, flaw))
+    return bind(code, lambda whole: F.filter(flaws, lambda flaw: F.contains(whole, flaw)))
 
 
 def label_lines(lines: Column, flaws: Column) -> Column:
     """Add to each line its label: 1 if its text equals a flaw line."""
-    return F.transform(
-        lines,
-        lambda x: F.struct(
-            x["line"].alias("line"),
-            x["score"].alias("score"),
-            F.coalesce(F.array_contains(flaws, x["line"]), F.lit(False)).cast("int").alias("label"),
-        ),
-    )
+
+    def labelled(known: Column) -> Column:
+        return F.transform(
+            lines,
+            lambda x: F.struct(
+                x["line"].alias("line"),
+                x["score"].alias("score"),
+                F.coalesce(F.array_contains(known, x["line"]), F.lit(False))
+                .cast("int")
+                .alias("label"),
+            ),
+        )
+
+    return bind(flaws, labelled)
 
 
 def flaw_line_match(lines: DataFrame, flaws: DataFrame) -> DataFrame:

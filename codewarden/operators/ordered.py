@@ -91,6 +91,7 @@ def running_totals(
         df, cells = with_ranges(df, order, rows_per_range)
     names = list(totals)
     hidden = {name: f"__sum_{name}" for name in names}
+    kept = [c for c in df.columns if c not in cells] + names + list(grand.values())
     staged = df.withColumns({hidden[n]: totals[n] for n in names})
     to_here = (W.unboundedPreceding, W.currentRow)
 
@@ -101,7 +102,7 @@ def running_totals(
             {n: F.sum(hidden[n]).over(along) for n in names}
             | {g: F.sum(hidden[n]).over(whole) for n, g in grand.items()}
         )
-        return out.drop(*hidden.values())
+        return out.select(*kept)
 
     source = staged if base is None else base.withColumns({hidden[n]: totals[n] for n in names})
     per_cell = source.groupBy(*keys, *cells).agg(
@@ -122,7 +123,7 @@ def running_totals(
         {n: F.sum(hidden[n]).over(along) for n in names}
         | {g: F.max(g).over(along) for g in grand.values()}
     )
-    return out.filter("__row = 1").drop("__row", *cells, *hidden.values())
+    return out.filter("__row = 1").select(*kept)
 
 
 def global_rank(

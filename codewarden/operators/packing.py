@@ -157,6 +157,6 @@ def pad_logits(packed_logits: DataFrame, max_functions: int, classes: int) -> Da
 def unpack_predictions(pack_logits: DataFrame, packed: DataFrame) -> DataFrame:
     """Back to one row per function: the padded logits joined to the functions' slots."""
     slots = pack_logits.select(
-        "epoch", "shard", "pack", F.posexplode("logits").alias("slot", "logits")
+        "epoch", "shard", "pack", F.posexplode_outer("logits").alias("slot", "logits")
     )
     return packed.join(slots, ["epoch", "shard", "pack", "slot"])

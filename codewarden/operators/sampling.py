@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals, with_ranges
 from codewarden.support import small_side
 
-# Fixed values of the multiplicative hash that stands for a random permutation.
+# Fixed values of the hash that stands for a random permutation.
 HASH_FACTOR = 2654435761
+MIX_FACTOR = 1597334677
 SEED_FACTOR = 40503
 HASH_RANGE = 2**32
 ID_RANGE = 2**31
 
 
 def shuffle_key(idx: Column, seed: Column | int = 0) -> Column:
-    """Pseudo-random key in [0, 2**32) from id and seed; equal in every engine and every run."""
+    """Pseudo-random key in [0, 2**32) from id and seed; equal in every engine and every run.
+
+    The seed is mixed in between two multiplications: added at the end, it would only turn the
+    same order round. No product leaves the range of a long.
+    """
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    folded = F.pmod(idx.cast("long"), F.lit(ID_RANGE))
-    return F.pmod(
-        folded * F.lit(HASH_FACTOR) + seed.cast("long") * SEED_FACTOR, F.lit(HASH_RANGE)
+    spread = F.pmod(
+        F.pmod(idx.cast("long"), F.lit(ID_RANGE)) * F.lit(HASH_FACTOR), F.lit(HASH_RANGE)
     )
+    salt = F.pmod(seed.cast("long") * SEED_FACTOR, F.lit(HASH_RANGE))
+    mixed = spread.bitwiseXOR(F.shiftright(spread, 15)).bitwiseXOR(salt)
+    return F.pmod(mixed * F.lit(MIX_FACTOR), F.lit(HASH_RANGE))
 
 
 def seeded_shuffle(df: DataFrame, seed: int = 0, key: str = "idx") -> DataFrame:

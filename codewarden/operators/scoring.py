@@ -43,7 +43,8 @@ def score_with(
                 probs, errors = [], []
                 for i in range(len(rows)):
                     try:
-                        probs.append(float(scorer(rows[list(inputs)].iloc[i : i + 1])[0]))
+                        (one,) = scorer(rows[list(inputs)].iloc[i : i + 1])
+                        probs.append(float(one))
                         errors.append(None)
                     except Exception as failure:
                         probs.append(None)

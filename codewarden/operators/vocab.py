@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.functions import text
+from codewarden.functions.binding import bind
 
 # Special tokens in id order, and the vocabulary's size and frequency limits.
 SPECIAL = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
@@ -26,7 +27,8 @@ def train_vocab(
     ``size``, are numbered.
     """
     counts = (
-        df.select(F.explode(text.word_tokens(F.col(code))).alias("token"))
+        df.select(F.explode_outer(text.word_tokens(F.col(code))).alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_count)
@@ -64,12 +66,13 @@ def vocab_lookup(
     df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", unknown: int = 0
 ) -> DataFrame:
     """Add the array of ids of an array of tokens; unknown words get the id ``unknown``."""
-    slots = lookup_value(vocab)
-    ids = F.transform(
-        F.col(tokens),
-        lambda t: F.coalesce(F.get(slots, _slot(t))[t], F.lit(unknown)),
+    ids = bind(
+        F.col("__slots"),
+        lambda slots: F.transform(
+            F.col(tokens), lambda t: F.coalesce(F.get(slots, _slot(t))[t], F.lit(unknown))
+        ),
     )
-    return df.withColumn(out, ids)
+    return df.withColumn("__slots", lookup_value(vocab)).withColumn(out, ids).drop("__slots")
 
 
 def encode_vocab(
@@ -82,6 +85,6 @@ def encode_vocab(
 
 def corpus_lines(df: DataFrame, code: str = "code") -> DataFrame:
     """All lines that are not empty, one a row."""
-    return df.select(F.explode(text.code_lines(F.col(code))).alias("line")).filter(
+    return df.select(F.explode_outer(text.code_lines(F.col(code))).alias("line")).filter(
         F.length("line") > 0
     )

@@ -6,6 +6,8 @@ from codewarden.plans import (  # noqa: F401
     metric_queries,
     packing_queries,
     row_queries,
+    scoring_queries,
+    source_queries,
 )
 from codewarden.plans.registry import ORACLE, QUERIES
 

@@ -175,7 +175,7 @@ def weighted_sample(spark, sf):
     return drawn.select("draw", "idx", "target")
 
 
-_KEY = "(idx % 2147483648 * 2654435761 + 3 * 40503) % 4294967296"
+_KEY = views.shuffle_key_sql(3)
 
 
 @query(

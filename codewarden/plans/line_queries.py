@@ -66,9 +66,9 @@ def drop_special_tokens(spark, sf):
         ),
     )
     kept = views.token_arrays(spark, sf).select(
-        "func_id", F.inline(lines.drop_special_tokens(marked))
+        "func_id", F.inline_outer(lines.drop_special_tokens(marked))
     )
-    return kept.select("func_id", "pos", "token")
+    return kept.filter(F.col("pos").isNotNull()).select("func_id", "pos", "token")
 
 
 @query(
@@ -95,8 +95,8 @@ def pair_token_scores(spark, sf):
             F.transform("tokens", lambda p: p["token"]), F.transform("tokens", lambda p: p["score"])
         ).alias("pairs"),
     )
-    rows = scored.select("func_id", F.posexplode("pairs").alias("pos", "pair"))
-    return rows.select(
+    rows = scored.select("func_id", F.posexplode_outer("pairs").alias("pos", "pair"))
+    return rows.filter(F.col("pos").isNotNull()).select(
         "func_id",
         F.col("pos").cast("long").alias("pos"),
         "pair.token",
@@ -115,8 +115,8 @@ def pair_token_scores(spark, sf):
 )
 def line_scores(spark, sf):
     scored = lines.line_scores(views.token_arrays(spark, sf))
-    rows = scored.select("func_id", F.posexplode("lines").alias("line_idx", "x"))
-    return rows.select("func_id", "line_idx", "x.line", rounded("x.score").alias("score"))
+    rows = scored.select("func_id", F.posexplode_outer("lines").alias("line_idx", "x"))
+    return rows.filter(F.col("line_idx").isNotNull()).select("func_id", "line_idx", "x.line", rounded("x.score").alias("score"))
 
 
 def _wanted(spark, sf):
@@ -159,11 +159,11 @@ def verify_flaws(spark, sf):
     spelled = F.array_join(
         F.transform("tokens", lambda p: text.strip_token_marks(p["token"])), ""
     )
-    ready = _wanted(spark, sf).select("func_id", wanted.alias("wanted"), spelled.alias("code"))
-    return ready.filter(F.size("wanted") > 0).select(
+    ready = _wanted(spark, sf).select("func_id", wanted.alias("texts"), spelled.alias("code"))
+    return ready.filter(F.size("texts") > 0).select(
         "func_id",
-        F.size("wanted").alias("wanted"),
-        F.size(lines.verified_flaws(F.col("wanted"), F.col("code"))).alias("verified"),
+        F.size("texts").alias("wanted"),
+        F.size(lines.verified_flaws(F.col("texts"), F.col("code"))).alias("verified"),
     )
 
 
@@ -182,7 +182,7 @@ def label_lines(spark, sf):
     labelled = views.line_arrays(spark, sf).select(
         "func_id", lines.label_lines(F.col("lines"), flaws).alias("lines")
     )
-    rows = labelled.select("func_id", F.posexplode("lines").alias("line_idx", "x"))
+    rows = labelled.select("func_id", F.posexplode_outer("lines").alias("line_idx", "x"))
     return rows.select("func_id", "line_idx", rounded("x.score").alias("score"), "x.label")
 
 
@@ -195,7 +195,7 @@ def label_lines(spark, sf):
 )
 def rank_in_function(spark, sf):
     ranked = views.line_arrays(spark, sf).select(
-        "func_id", F.posexplode(lines.ranked_lines(F.col("lines"))).alias("rank", "x")
+        "func_id", F.posexplode_outer(lines.ranked_lines(F.col("lines"))).alias("rank", "x")
     )
     return ranked.select("func_id", "x.line_idx", "rank")
 
@@ -247,7 +247,7 @@ def topk_localized(spark, sf):
 )
 def flaw_in_topk(spark, sf):
     ranked = views.line_arrays(spark, sf).select(
-        "func_id", F.posexplode(lines.ranked_lines(F.col("lines"))).alias("rank", "x")
+        "func_id", F.posexplode_outer(lines.ranked_lines(F.col("lines"))).alias("rank", "x")
     )
     return ranked.filter("x.label = 1").select(
         "func_id", "x.line_idx", (F.col("rank") < 5).alias("in_top")

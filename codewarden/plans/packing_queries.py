@@ -127,7 +127,11 @@ def segment_ends(spark, sf):
 )
 def segments(spark, sf):
     ranges = encoding.segments(F.col("input_ids"), [SEPARATOR, PAD])
-    return _emitted(spark, sf).select("shard", "pack", F.inline(ranges))
+    return (
+        _emitted(spark, sf)
+        .select("shard", "pack", F.inline_outer(ranges))
+        .filter(F.col("first").isNotNull())
+    )
 
 
 @query(

@@ -76,7 +76,7 @@ def line_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document with a score and a flaw label."""
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("func_id"),
-        F.posexplode(text.code_lines(F.col("text"))).alias("line_idx", "line"),
+        F.posexplode_outer(text.code_lines(F.col("text"))).alias("line_idx", "line"),
     ).select(
         "func_id",
         "line_idx",
@@ -316,7 +316,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         ("lengths",),
         """SELECT *, row_number() OVER (PARTITION BY shard ORDER BY key, idx) AS turn
            FROM (SELECT idx, n, key, CAST(key * shards // 4294967296 AS INTEGER) AS shard
-                 FROM (SELECT idx, n, (idx % 2147483648) * 2654435761 % 4294967296 AS key,
+                 FROM (SELECT idx, n, {key} AS key,
                          (SELECT greatest(4, (count(*) + 49999) // 50000) FROM lengths) AS shards
                        FROM lengths WHERE n < 512))""",
     ),
@@ -336,6 +336,11 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def shuffle_key_sql(seed: int) -> str:
+    spread = "(idx % 2147483648 * 2654435761 % 4294967296)"
+    return f"(xor(xor({spread}, {spread} >> 15), {seed * 40503}) * 1597334677 % 4294967296)"
+
+
 def sql(body: str, *uses: str) -> str:
     """``body`` behind the views it uses, in the order they build on each other."""
     needed: list[str] = []
@@ -350,5 +355,6 @@ def sql(body: str, *uses: str) -> str:
         need(name)
     if not needed:
         return body
-    views = ",\n".join(f"{name} AS ({_SQL[name][1]})" for name in needed)
+    texts = {name: _SQL[name][1].replace("{key}", shuffle_key_sql(0)) for name in needed}
+    views = ",\n".join(f"{name} AS ({text})" for name, text in texts.items())
     return f"WITH RECURSIVE {views}\n{body}"

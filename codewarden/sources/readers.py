@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import tarfile
 from collections.abc import Iterator, Mapping
 
@@ -57,11 +56,9 @@ def read_jsonl_gz(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType = PAIR_SCHEMA,
-    partitions: int | None = None,
 ) -> DataFrame:
     """Compressed JSON lines. One file is one task, so the rows are spread out again after it."""
-    rows = read_jsonl(spark, path, schema)
-    return rows.repartition(partitions) if partitions else rows.repartition()
+    return read_jsonl(spark, path, schema).hint("rebalance")
 
 
 def read_splits(
@@ -135,7 +132,7 @@ def read_archive(
     """Labelled functions out of ``tar.gz`` archives in a folder, spread out after unpacking."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path)
     # One archive a task: large ones must not queue behind each other.
-    return parse_lines(archive_lines(archives.repartition("path"), member).repartition(), schema)
+    return parse_lines(archive_lines(archives.repartition("path"), member).hint("rebalance"), schema)
 
 
 def read_archive_splits(
@@ -164,7 +161,3 @@ def pack_archive(rows: pd.DataFrame, member_column: str = "member", line_column:
 def record_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
-
-
-def dumps(record: Mapping) -> str:
-    return json.dumps(record)

@@ -237,6 +237,7 @@ def best_threshold(spark, sf):
 
 def _split_curve(name: str, split: str) -> str:
     """The curve of one split of the predictions, under a name of its own."""
+    # Views of this shape hold target, prob and split.
     return f"""{name} AS (SELECT prob AS score, CAST(sum(target) AS DOUBLE) AS pos,
         CAST(sum(1 - target) AS DOUBLE) AS neg, CAST(sum(sum(target)) OVER () AS DOUBLE) AS p,
         CAST(sum(sum(1 - target)) OVER () AS DOUBLE) AS n,
@@ -245,7 +246,7 @@ def _split_curve(name: str, split: str) -> str:
       FROM predictions WHERE split = '{split}' GROUP BY prob)"""
 
 
-_QUALITY = sql("", "predictions").rstrip() + f""",
+_QUALITY = f"""{{views}},
 {_split_curve('valid_curve', 'valid')},
 {_split_curve('test_curve', 'test')},
 curve AS (SELECT *, p - pos_le + pos AS tp, n - neg_le + neg AS fp FROM valid_curve),
@@ -273,7 +274,7 @@ SELECT metric, class, measure, round(value, 6) AS value, round(threshold, 6) AS
     sum(pos * (neg_le - neg + neg / 2)) / nullif(max(p) * max(n), 0), 0.5 FROM test_curve)"""
 
 
-@query("quality_report", _QUALITY)
+@query("quality_report", _QUALITY.replace("{views}", sql("", "predictions").rstrip()))
 def quality_report(spark, sf):
     preds = views.predictions(spark, sf).select("split", "prob", F.col("target").alias("label"))
     report = metrics.quality_report(
@@ -282,6 +283,21 @@ def quality_report(spark, sf):
     return round_doubles(report)
 
 
+_BIG = """predictions AS (SELECT label AS target, prob,
+    CASE WHEN idx % 2 = 0 THEN 'valid' ELSE 'test' END AS split FROM scores)"""
+
+
+@query(
+    "quality_report_items",
+    _QUALITY.replace("{views}", sql("", "scores").rstrip() + ",\n" + _BIG),
+)
+def quality_report_items(spark, sf):
+    """The report over one prediction per line item: even ids choose, odd ids are measured."""
+    preds = views.scores(spark, sf)
+    report = metrics.quality_report(preds.filter("idx % 2 = 0"), preds.filter("idx % 2 <> 0"))
+    return round_doubles(report)
+
+
 _THRESHOLDS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 

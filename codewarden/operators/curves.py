@@ -52,23 +52,31 @@ def score_table(
     )
 
 
-def roc_auc(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve; tied pairs count half. Null when a class is missing."""
+def auc_of_table() -> Column:
+    """Aggregate over a score table: the area under the ROC curve, tied pairs counting half.
+
+    Null when a class is missing.
+    """
     below = F.col("neg_le") - F.col("neg")
     won = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0)))
     pairs = F.max("p").cast("double") * F.max("n").cast("double")
-    return table.groupBy(*keys).agg((won / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    return won / F.nullif(pairs, F.lit(0.0))
 
 
-def average_precision(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Precision at each distinct score, weighted by the recall gained there."""
+def ap_of_table() -> Column:
+    """Aggregate over a score table: precision at each score, weighted by the recall gained."""
     tp = F.col("p") - F.col("pos_le") + F.col("pos")
     fp = F.col("n") - F.col("neg_le") + F.col("neg")
     gained = F.sum(F.col("pos").cast("double") * ratio(tp, tp + fp))
-    total = F.max("p").cast("double")
-    return table.groupBy(*keys).agg(
-        (gained / F.nullif(total, F.lit(0.0))).alias("average_precision")
-    )
+    return gained / F.nullif(F.max("p").cast("double"), F.lit(0.0))
+
+
+def roc_auc(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return table.groupBy(*keys).agg(auc_of_table().alias("roc_auc"))
+
+
+def average_precision(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return table.groupBy(*keys).agg(ap_of_table().alias("average_precision"))
 
 
 def _at_or_above(table: DataFrame) -> DataFrame:
@@ -118,24 +126,30 @@ def _curve_f1(precision: Column, recall: Column) -> Column:
 def paired_curves(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Both classes' curves at each threshold: the positive class takes ``score >= t``, the
     negative class ``1 - score >= 1 - t``, that is ``score <= t``."""
-    t = _at_or_above(table)
-    pos_f1 = _curve_f1(
-        ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("p"))
-    )
-    neg_f1 = _curve_f1(
-        ratio(F.col("neg_le"), F.col("pos_le") + F.col("neg_le")),
-        ratio(F.col("neg_le"), F.col("n")),
-    )
-    return t.select(
+    t = _at_or_above(table).select(
         *keys,
         F.col("score").alias("threshold"),
-        pos_f1.alias("f1_pos"),
-        neg_f1.alias("f1_neg"),
-        ((pos_f1 + neg_f1) / 2.0).alias("macro_f1"),
-        ((ratio(F.col("tp"), F.col("p")) + 1.0 - ratio(F.col("fp"), F.col("n"))) / 2.0).alias(
-            "macro_recall"
-        ),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("prec"),
+        ratio(F.col("tp"), F.col("p")).alias("tpr"),
+        ratio(F.col("fp"), F.col("n")).alias("fpr"),
+        ratio(F.col("neg_le"), F.col("pos_le") + F.col("neg_le")).alias("neg_prec"),
+        ratio(F.col("neg_le"), F.col("n")).alias("neg_rec"),
+    )
+    scored = t.withColumns(
+        {
+            "f1_pos": _curve_f1(F.col("prec"), F.col("tpr")),
+            "f1_neg": _curve_f1(F.col("neg_prec"), F.col("neg_rec")),
+            "macro_recall": (F.col("tpr") + 1.0 - F.col("fpr")) / 2.0,
+        }
+    )
+    return scored.select(
+        *keys,
+        "threshold",
+        "f1_pos",
+        "f1_neg",
+        ((F.col("f1_pos") + F.col("f1_neg")) / 2.0).alias("macro_f1"),
+        "macro_recall",
+        "prec",
     )
 
 

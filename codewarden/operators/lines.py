@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import text
-from codewarden.functions.binding import bind
+from codewarden.functions.binding import bind, emit
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals
 from codewarden.support import truncated
 
@@ -221,39 +221,46 @@ def flaw_ranks(lines: Column) -> Column:
 def line_eval(df: DataFrame, fractions: Sequence[float], lines: str = "lines") -> DataFrame:
     """Per function and fraction: flaws within the top lines, and how many lines come before
     the first (initial false alarm) and the last flaw. Functions without flaw lines drop out."""
-    ranked = df.select(
-        "func_id",
-        F.size(lines).alias("total_lines"),
-        flaw_ranks(F.col(lines)).alias("ranks"),
-        F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"),
-    ).filter(F.size("ranks") > 0)
-    k = truncated(F.col("total_lines") * F.col("fraction"))
-    return ranked.withColumn("k", k).select(
-        "func_id",
-        "fraction",
-        "total_lines",
-        F.size("ranks").alias("flaw_lines"),
-        F.size(F.filter("ranks", lambda r: r < F.col("k"))).alias("hits"),
-        F.array_min("ranks").alias("first_flaw"),
-        F.array_max("ranks").alias("last_flaw"),
-    )
+    wanted = F.array(*[F.lit(float(f)) for f in fractions])
+
+    def measured(known: Column) -> Column:
+        total = F.size(known)
+
+        def at(ranks: Column) -> Column:
+            return F.transform(
+                F.when(F.size(ranks) > 0, wanted),
+                lambda f: F.struct(
+                    f.alias("fraction"),
+                    total.alias("total_lines"),
+                    F.size(ranks).alias("flaw_lines"),
+                    F.size(F.filter(ranks, lambda r: r < truncated(total * f))).alias("hits"),
+                    F.array_min(ranks).alias("first_flaw"),
+                    F.array_max(ranks).alias("last_flaw"),
+                ),
+            )
+
+        return bind(flaw_ranks(known), at)
+
+    return emit(df, bind(F.col(lines), measured), ["func_id"], "fraction")
 
 
 def topk_localized(df: DataFrame, ks: Sequence[int], lines: str = "lines") -> DataFrame:
     """Per function and constant k: flaws among the first k lines, and whether there is any."""
-    ranked = df.select(
-        "func_id",
-        flaw_ranks(F.col(lines)).alias("ranks"),
-        F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"),
-    ).filter(F.size("ranks") > 0)
-    hits = F.size(F.filter("ranks", lambda r: r < F.col("k")))
-    return ranked.select(
-        "func_id",
-        "k",
-        F.size("ranks").alias("flaw_lines"),
-        hits.alias("hits"),
-        (hits > 0).alias("located"),
-    )
+    wanted = F.array(*[F.lit(int(k)) for k in ks])
+
+    def measured(ranks: Column) -> Column:
+        def at(k: Column) -> Column:
+            hits = F.size(F.filter(ranks, lambda r: r < k))
+            return F.struct(
+                k.alias("k"),
+                F.size(ranks).alias("flaw_lines"),
+                hits.alias("hits"),
+                (hits > 0).alias("located"),
+            )
+
+        return F.transform(F.when(F.size(ranks) > 0, wanted), at)
+
+    return emit(df, bind(flaw_ranks(F.col(lines)), measured), ["func_id"], "k")
 
 
 def localize(df: DataFrame, fractions: Sequence[float], ks: Sequence[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -279,9 +286,13 @@ def localize(df: DataFrame, fractions: Sequence[float], ks: Sequence[int]) -> tu
         .withColumn("code", spelled)
         .withColumn("verified", verified_flaws(F.col("wanted"), F.col("code")))
     )
-    found = line_scores(checked.filter(F.size("verified") > 0))
-    found = found.withColumn("lines", label_lines(F.col("lines"), F.col("verified")))
-    rejects = checked.filter(F.size("verified") == 0).select("func_id", "code", "wanted")
+    labelled = F.when(
+        F.size("verified") > 0,
+        label_lines(bind(F.col("tokens"), _lines_of), F.col("verified")),
+    )
+    found = checked.select("func_id", labelled.alias("lines"))
+    missed = F.when(F.size("verified") == 0, F.array(F.struct("code", "wanted")))
+    rejects = emit(checked, missed, ["func_id"], "code")
     return line_eval(found, fractions), topk_localized(found, ks), rejects
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codewarden.operators import curves
 from codewarden.operators.ordered import global_rank, running_totals
-from codewarden.support import checked_score, ratio
+from codewarden.support import ratio
 
 
 def threshold_predict(preds: DataFrame, threshold: float = 0.5, prob: str = "prob") -> DataFrame:
@@ -194,41 +194,34 @@ def mcc(preds: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame
     return counts.select(scores["mcc"].alias("mcc"))
 
 
+def _cells_at(above: Column) -> list[Column]:
+    """Confusion counts of a score table when the scores in ``above`` are predicted positive."""
+    return [
+        F.coalesce(F.sum(F.when(side, F.col(column))), F.lit(0)).alias(name)
+        for name, column, side in (
+            ("tn", "neg", ~above),
+            ("fp", "neg", above),
+            ("fn", "pos", ~above),
+            ("tp", "pos", above),
+        )
+    ]
+
+
 def binary_report(preds: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """All test measures of a binary classifier at threshold 0.5, as one row.
 
     The counts at the threshold are read off the same score table as the two areas.
     """
     table = curves.score_table(preds, label, prob)
-    above = F.col("score") > 0.5
-    tp, fp, fn, tn = (
-        F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))
-        for c, side in (("pos", above), ("neg", above), ("pos", ~above), ("neg", ~above))
-    )
-    below = F.col("neg_le") - F.col("neg")
-    tp_at = F.col("p") - F.col("pos_le") + F.col("pos")
-    fp_at = F.col("n") - F.col("neg_le") + F.col("neg")
     one = table.agg(
-        tn.alias("TN"),
-        fp.alias("FP"),
-        fn.alias("FN"),
-        tp.alias("TP"),
-        (
-            F.sum(F.col("pos").cast("double") * ratio(tp_at, tp_at + fp_at))
-            / F.nullif(F.max("p").cast("double"), F.lit(0.0))
-        ).alias("PRC_AUC"),
-        (
-            F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0)))
-            / F.nullif(F.max("p").cast("double") * F.max("n"), F.lit(0.0))
-        ).alias("ROC_AUC"),
+        *_cells_at(F.col("score") > 0.5),
+        curves.ap_of_table().alias("PRC_AUC"),
+        curves.auc_of_table().alias("ROC_AUC"),
     )
-    s = scores_from_counts(*[F.col(c) for c in ("TN", "FP", "FN", "TP")])
+    s = scores_from_counts(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
     return one.select(
         s["accuracy"].alias("Acc"),
-        "TP",
-        "TN",
-        "FP",
-        "FN",
+        *[F.col(c).alias(c.upper()) for c in ("tp", "tn", "fp", "fn")],
         s["neg_precision"].alias("Neg_pre"),
         s["neg_recall"].alias("Neg_rec"),
         s["neg_f1"].alias("Neg_f1"),
@@ -245,30 +238,12 @@ def multi_threshold_report(
 ) -> DataFrame:
     """Macro and per-class scores, MCC and AUC at each threshold, from one score table."""
     table = curves.score_table(preds, label, prob)
-    below = F.col("neg_le") - F.col("neg")
-    counts = []
-    for t in thresholds:
-        above = F.col("score") > float(t)
-        counts.append(
-            F.struct(
-                F.lit(float(t)).alias("threshold"),
-                *[
-                    F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).alias(name)
-                    for name, c, side in (
-                        ("tn", "neg", ~above),
-                        ("fp", "neg", above),
-                        ("fn", "pos", ~above),
-                        ("tp", "pos", above),
-                    )
-                ],
-            )
-        )
+    counts = [
+        F.struct(F.lit(float(t)).alias("threshold"), *_cells_at(F.col("score") > float(t)))
+        for t in thresholds
+    ]
     rows = table.agg(
-        F.array(*counts).alias("counts"),
-        (
-            F.sum(F.col("pos").cast("double") * (below + F.col("neg") / F.lit(2.0)))
-            / F.nullif(F.max("p").cast("double") * F.max("n"), F.lit(0.0))
-        ).alias("roc_auc"),
+        F.array(*counts).alias("counts"), curves.auc_of_table().alias("roc_auc")
     ).select("roc_auc", F.inline("counts"))
     s = scores_from_counts(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
     return rows.select(
@@ -306,68 +281,58 @@ def quality_report(
     as ``score > t``; ``inclusive`` applies them as chosen.
     """
     chosen = curves.best_threshold(curves.score_table(valid, label, prob), metrics)
-    test_table = curves.score_table(test, label, prob)
-    auc = curves.roc_auc(test_table).select(
-        F.lit("roc_auc").alias("metric"),
-        F.lit("best").alias("class"),
-        F.lit("roc_auc").alias("measure"),
-        F.col("roc_auc").alias("value"),
-        F.lit(0.5).alias("threshold"),
-    )
-    # The choice is a few numbers, so it enters the scan of the test rows as one scalar map.
-    cuts = chosen.agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "best_threshold"))).alias("cuts")
-    ).scalar()
+    # One row per metric: the choice becomes literals of the single pass over the test scores.
+    cuts = {row["metric"]: row["best_threshold"] for row in chosen.collect()}
+    table = curves.score_table(test, label, prob)
     counts = []
-    scored = test.select(
-        (F.col(label) == 1).alias("truth"), checked_score(F.col(prob)).alias("score")
-    )
-    for metric in metrics:
-        cut = cuts[metric]
-        scored = scored.withColumn(
-            f"above_{metric}", F.col("score") >= cut if inclusive else F.col("score") > cut
-        ).withColumn(f"cut_{metric}", cut)
     for metric in metrics:
-        cells = binary_counts(F.col("truth").cast("int"), F.col(f"above_{metric}"))
+        cut = F.lit(cuts[metric]).cast("double")
+        above = F.col("score") >= cut if inclusive else F.col("score") > cut
         counts.append(
-            F.struct(
-                F.lit(metric).alias("metric"),
-                F.max(f"cut_{metric}").alias("threshold"),
-                *[c.alias(name) for name, c in cells.items()],
-            )
+            F.struct(F.lit(metric).alias("metric"), cut.alias("threshold"), *_cells_at(above))
         )
-    rows = scored.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
+    measured = table.agg(F.array(*counts).alias("counts"), curves.auc_of_table().alias("roc_auc"))
+    rows = measured.select("roc_auc", F.inline("counts"))
     s = scores_from_counts(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
-    pairs = {
-        "precision": ("neg_precision", "precision"),
-        "recall": ("neg_recall", "recall"),
-        "f1": ("neg_f1", "f1"),
-    }
-    items = []
-    for measure, (neg, pos) in pairs.items():
-        for name, value in (
-            ("0", s[neg]),
-            ("1", s[pos]),
-            ("macro", (s[neg] + s[pos]) / 2.0),
-        ):
-            items.append((name, measure, value))
-    best = (
-        F.when(F.col("metric") == "f1", s["f1"])
-        .when(F.col("metric") == "macro_f1", (s["f1"] + s["neg_f1"]) / 2.0)
-        .when(F.col("metric") == "macro_recall", (s["recall"] + s["neg_recall"]) / 2.0)
-        .otherwise(s["precision"])
-    )
-    structs = [
-        F.struct(F.lit(c).alias("class"), F.lit(m).alias("measure"), v.alias("value"))
-        for c, m, v in items
+    both = {m: (f"neg_{m}", m) for m in ("precision", "recall", "f1")}
+    scored = rows.select(
+        "metric", "threshold", "roc_auc", *[s[c].alias(c) for pair in both.values() for c in pair]
+    ).withColumns({f"macro_{m}": (F.col(n) + F.col(p)) / 2.0 for m, (n, p) in both.items()})
+
+    def line(metric: Column, name: str, measure: Column, value: Column, cut: Column) -> Column:
+        return F.struct(
+            metric.alias("metric"),
+            F.lit(name).alias("class"),
+            measure.alias("measure"),
+            value.alias("value"),
+            cut.alias("threshold"),
+        )
+
+    metric, threshold, roc_auc = F.col("metric"), F.col("threshold"), F.lit("roc_auc")
+    lines = [
+        line(metric, name, F.lit(m), F.col(column), threshold)
+        for m, (neg, pos) in both.items()
+        for name, column in (("0", neg), ("1", pos), ("macro", f"macro_{m}"))
     ]
-    structs.append(
-        F.struct(F.lit("best").alias("class"), F.col("metric").alias("measure"), best.alias("value"))
+    best = F.coalesce(
+        *[
+            F.when(metric == name, F.col(column))
+            for name, column in (
+                ("f1", "f1"),
+                ("macro_f1", "macro_f1"),
+                ("macro_recall", "macro_recall"),
+                ("prec", "precision"),
+            )
+        ]
     )
-    long = rows.select(
-        "metric", F.inline(F.array(*structs)), "threshold"
+    lines.append(line(metric, "best", metric, best, threshold))
+    # The area belongs to no metric's row: it goes with the first one.
+    lines.append(
+        F.when(
+            metric == metrics[0], line(roc_auc, "best", roc_auc, F.col("roc_auc"), F.lit(0.5))
+        )
     )
-    return long.unionByName(auc)
+    return scored.select(F.inline(F.array(*lines))).filter("metric is not null")
 
 
 def best_run(

@@ -26,34 +26,30 @@ def score_with(
 ) -> DataFrame:
     """Score rows in Arrow batches: the kept columns, ``prob`` and ``error``.
 
-    ``load`` runs once a task and returns the scorer. When a batch fails, its rows are scored one
-    by one, so that only rows that fail themselves end up with an error and no probability.
+    ``load`` runs once a task and returns the scorer. A batch that fails is halved until the rows
+    that fail by themselves are found; only they end up with an error and no probability.
     """
     columns = list(dict.fromkeys([*keep, *inputs]))
     narrow = df.select(*columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
-        for rows in batches:
-            out = rows[list(keep)].copy()
+
+        def scored(rows: pd.DataFrame) -> list[tuple[float | None, str | None]]:
             try:
-                out["prob"] = [float(p) for p in scorer(rows[list(inputs)])]
-                out["error"] = None
-            except Exception:
-                probs, errors = [], []
-                for i in range(len(rows)):
-                    try:
-                        (one,) = scorer(rows[list(inputs)].iloc[i : i + 1])
-                        probs.append(float(one))
-                        errors.append(None)
-                    except Exception as failure:
-                        probs.append(None)
-                        errors.append(str(failure) or type(failure).__name__)
-                out["prob"] = pd.Series(probs, dtype="float64", index=out.index)
-                out["error"] = pd.Series(errors, dtype="object", index=out.index)
+                return [(float(p), None) for p in scorer(rows)]
+            except Exception as failure:
+                if len(rows) == 1:
+                    return [(None, str(failure) or type(failure).__name__)]
+                half = len(rows) // 2
+                return scored(rows.iloc[:half]) + scored(rows.iloc[half:])
+
+        for rows in batches:
+            probs, errors = zip(*scored(rows[list(inputs)]))
             # Missing results are nulls, not NaN, on the Spark side.
-            out["prob"] = out["prob"].astype("Float64")
-            yield out
+            yield rows[list(keep)].assign(
+                prob=pd.array(probs, dtype="Float64"), error=pd.array(errors, dtype="object")
+            )
 
     fields = [narrow.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

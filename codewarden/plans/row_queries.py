@@ -89,7 +89,7 @@ def exclude_by_flag(spark, sf):
 
 def pair_records(spark, sf):
     """Documents as nested pair records: words on the vulnerable side, lines on the patched."""
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         F.col("doc_id").alias("idx"),
         (F.col("doc_id") % 2).cast("int").alias("target"),
         F.struct(
@@ -307,7 +307,7 @@ def flaw_line_match(spark, sf):
     ),
 )
 def flaw_snippet_contains(spark, sf):
-    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("func_id"), "text")
+    docs = views.documents(spark, sf).select(F.col("doc_id").alias("func_id"), "text")
     return _flaw_texts(spark, sf).join(docs, "func_id").select(
         "func_id", "line", F.contains("text", "line").alias("verified")
     )

@@ -246,19 +246,19 @@ def last_token_pool(spark, sf):
 
 
 def load_length_scorer():
-    """A scorer by text length; it cannot handle lengths divisible by 17."""
+    """A scorer by text length; it cannot handle lengths divisible by 211."""
 
     def score(rows: pd.DataFrame):
         lengths = rows["code"].str.len()
-        if (lengths % 17 == 0).any():
-            raise ValueError("length divisible by 17")
+        if (lengths % 211 == 0).any():
+            raise ValueError("length divisible by 211")
         return (lengths % 1000) / 1000.0
 
     return score
 
 
-_SCORED = """(SELECT doc_id AS idx, CASE WHEN length(text) % 17 <> 0 THEN length(text) % 1000 / 1000.0 END AS prob,
-    CASE WHEN length(text) % 17 = 0 THEN 'length divisible by 17' END AS error FROM documents)"""
+_SCORED = """(SELECT doc_id AS idx, CASE WHEN length(text) % 211 <> 0 THEN length(text) % 1000 / 1000.0 END AS prob,
+    CASE WHEN length(text) % 211 = 0 THEN 'length divisible by 211' END AS error FROM documents)"""
 
 
 @query("score_with", f"SELECT idx, round(CAST(prob AS DOUBLE), 6) AS prob, error FROM {_SCORED}")

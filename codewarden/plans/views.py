@@ -10,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewarden.functions import text
+from codewarden.support import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts, whose tokens and lines take long to work on."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+
+
 def functions(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents as labelled functions."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, sf)
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
     digit = F.col("doc_id") % 10
     return docs.join(labels, "doc_id").select(
@@ -39,7 +45,7 @@ def functions(spark: SparkSession, sf: str) -> DataFrame:
 
 def code(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as (idx, code)."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("idx"), F.col("text").alias("code")
     )
 
@@ -65,7 +71,7 @@ def class_probs(spark: SparkSession, sf: str) -> DataFrame:
     """Three class probabilities per document, and a class label."""
     a, b, c = (F.col("doc_id") % m + 1 for m in (7, 11, 13))
     total = (a + b + c).cast("double")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("idx"),
         (F.col("doc_id") % 3).cast("int").alias("label"),
         F.array(a / total, b / total, c / total).alias("probs"),
@@ -74,7 +80,7 @@ def class_probs(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document with a score and a flaw label."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("func_id"),
         F.posexplode_outer(text.code_lines(F.col("text"))).alias("line_idx", "line"),
     ).select(
@@ -96,7 +102,7 @@ def line_arrays(spark: SparkSession, sf: str) -> DataFrame:
             ((F.col("doc_id") + i) % 13 == 0).cast("int").alias("label"),
         ),
     )
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("func_id"), lines.alias("lines")
     )
 
@@ -114,13 +120,13 @@ def token_arrays(spark: SparkSession, sf: str) -> DataFrame:
             t.alias("token"), (((F.col("doc_id") + i) % 19) / 19.0).alias("score")
         ),
     )
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("func_id"), "text", tokens.alias("tokens")
     )
 
 
 def lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("idx"), F.size(text.word_tokens(F.col("text"))).alias("n")
     )
 

@@ -35,6 +35,16 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a source of few files, spread over all tasks before costly work on each row.
+
+    A source with at least as many files as there are task slots is left as it is: at scale this
+    adds no shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if, and only if, it was seen to hold at most ``max_rows`` rows.
 

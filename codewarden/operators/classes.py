@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.operators.clean import status_as_class
+from codewarden.operators.ordered import global_rank
 from codewarden.support import small_side
 
 # Fixed value: the order in which the splits are read when class ids are given out.
@@ -42,10 +43,16 @@ def _in_all(stats_row: Sequence[Column]) -> Column:
 def class_index(stats: DataFrame) -> DataFrame:
     """Class ids by first appearance.
 
-    The window runs over one row per class, not over data.
+    The classes are numbered as a whole only after a check that they are few.
     """
-    by_first = W.orderBy("first_seen")
-    return stats.select("class", (F.row_number().over(by_first) - 1).alias("class_id"))
+    seen = stats.select("class", "first_seen.split_rank", "first_seen.at")
+    order = ["split_rank", "at"]
+    few = small_side(seen)
+    if few is seen:
+        ranked = global_rank(seen, order, "class_id")
+        return ranked.select("class", (F.col("class_id") - 1).cast("int").alias("class_id"))
+    number = F.row_number().over(W.orderBy(*order))
+    return few.select("class", (number - 1).alias("class_id"))
 
 
 def classes_of(classed: DataFrame, split: str) -> DataFrame:

@@ -163,6 +163,49 @@ def _lines_of(pairs: Column) -> Column:
     return bind(F.filter(stretches, lambda s: s["total"] != 0), to_lines)
 
 
+def line_scores_rows(tokens: DataFrame, chunk: int = 4096) -> DataFrame:
+    """:func:`line_scores` for tokens that come as rows, for functions of any length.
+
+    ``tokens`` holds (func_id, pos, token, score), the positions counting from 0. A function is
+    cut in chunks of positions, so no task holds a whole one; only the text of a single line is
+    gathered. Returns (func_id, line_idx, line, score).
+    """
+    last = tokens.groupBy("func_id").agg(F.max("pos").alias("__last"))
+    closing = F.col("token").isin(text.LINE_SEPARATORS) | (F.col("pos") == F.col("__last"))
+    marked = tokens.join(last, "func_id").withColumns(
+        {"__closes": closing.cast("long"), "__chunk": F.floor(F.col("pos") / chunk)}
+    )
+    counted = running_totals(
+        marked, ["pos"], {"__upto": F.col("__closes")}, keys=["func_id"], cells=["__chunk"]
+    )
+    inside = F.col("__closes") == 0
+    pieces = counted.groupBy("func_id", (F.col("__upto") - F.col("__closes")).alias("stretch")).agg(
+        F.coalesce(F.sum(F.when(inside, F.col("score"))), F.lit(0.0)).alias("total"),
+        F.max(F.when(~inside, F.col("score"))).alias("closing"),
+        _joined_in_order("pos", F.when(inside, F.col("token"))).alias("piece"),
+    )
+    live = F.col("total") != 0
+    numbered = running_totals(
+        pieces.withColumn("__chunk", F.floor(F.col("stretch") / chunk)),
+        ["stretch"],
+        {"__lines": live.cast("long")},
+        keys=["func_id"],
+        cells=["__chunk"],
+    )
+    line_idx = F.col("__lines") - live.cast("long")
+    found = numbered.groupBy("func_id", line_idx.alias("line_idx")).agg(
+        _joined_in_order("stretch", F.col("piece")).alias("line"),
+        F.max(F.when(live, F.col("total") + F.col("closing"))).alias("score"),
+    )
+    return found.filter(F.col("score").isNotNull())
+
+
+def _joined_in_order(order: str, part: Column) -> Column:
+    """Aggregate: the non-null parts joined in the order of a column."""
+    pairs = F.collect_list(F.when(part.isNotNull(), F.struct(F.col(order), part.alias("part"))))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["part"]), "")
+
+
 def verified_flaws(flaws: Column, code: Column) -> Column:
     """Those flaw texts that occur inside the function's text."""
     return bind(code, lambda whole: F.filter(flaws, lambda flaw: F.contains(whole, flaw)))

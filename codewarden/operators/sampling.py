@@ -98,36 +98,27 @@ def weighted_sample(
 ) -> DataFrame:
     """Draw ``n`` rows with replacement by arbitrary weights.
 
-    Running weights turn each row into an interval of [0, 1); a draw is a point. Intervals and
-    points meet on equal slices of the unit line, so no row is compared with every draw.
+    Running weights place each row at a start on the unit line; a draw is a point and takes the
+    last row that starts at or before it. Starts and points are walked together in one order, so
+    each draw learns the number of its row, and an equi-join on that number fetches it.
     """
-    ranked = running_totals(
-        df,
+    placed = running_totals(
+        df.filter(F.col(weight) > 0),
         [key],
         {"__upto": F.col(weight).cast("double")},
         grand={"__upto": "__all"},
         rows_per_range=rows_per_range,
     )
-    slices = max(1, n)
-    low = (F.col("__upto") - F.col(weight)) / F.col("__all")
-    high = F.col("__upto") / F.col("__all")
-    spans = ranked.withColumns({"__low": low, "__high": high}).filter(F.col(weight) > 0)
-    spans = spans.withColumn(
-        "__slice",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("__low") * slices).cast("long"),
-                F.floor(F.col("__high") * slices).cast("long"),
-            )
-        ),
-    )
+    start = (F.col("__upto") - F.col(weight)) / F.col("__all")
     point = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(2**52)) / float(2**52)
-    draws = (
-        df.sparkSession.range(n)
-        .select(F.col("id").alias("draw"), point.alias("__point"))
-        .withColumn("__slice", F.floor(F.col("__point") * slices).cast("long"))
-    )
-    met = draws.join(spans, "__slice").filter(
-        (F.col("__point") >= F.col("__low")) & (F.col("__point") < F.col("__high"))
+    starts = placed.select(start.alias("at"), F.lit(0).alias("kind"), F.col(key).alias("id"))
+    points = df.sparkSession.range(n).select(point.alias("at"), F.lit(1).alias("kind"), "id")
+    walked = running_totals(
+        starts.union(points),
+        ["at", "kind", "id"],
+        {"__number": (F.col("kind") == 0).cast("long")},
+        rows_per_range=rows_per_range,
     )
-    return met.drop("__slice", "__point", "__low", "__high", "__upto", "__all")
+    numbers = walked.filter("kind = 0").select(F.col("id").alias(key), "__number")
+    draws = walked.filter("kind = 1").select(F.col("id").alias("draw"), "__number")
+    return draws.join(numbers, "__number").drop("__number").join(df, key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codewarden.functions import text
 from codewarden.functions.binding import bind
+from codewarden.support import small_side
 
 # Special tokens in id order, and the vocabulary's size and frequency limits.
 SPECIAL = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
@@ -63,16 +64,46 @@ def lookup_value(vocab: DataFrame) -> Column:
 
 
 def vocab_lookup(
-    df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", unknown: int = 0
+    df: DataFrame,
+    vocab: DataFrame,
+    tokens: str = "tokens",
+    out: str = "ids",
+    unknown: int = 0,
+    key: str = "idx",
 ) -> DataFrame:
-    """Add the array of ids of an array of tokens; unknown words get the id ``unknown``."""
+    """Add the array of ids of an array of tokens; unknown words get the id ``unknown``.
+
+    A vocabulary that a check finds too large for one value is joined to the exploded tokens
+    instead, which are then gathered again by position; ``key`` must be unique for that.
+    """
+    few = small_side(vocab)
+    if few is vocab:
+        return _lookup_by_join(df, vocab, tokens, out, unknown, key)
     ids = bind(
         F.col("__slots"),
         lambda slots: F.transform(
             F.col(tokens), lambda t: F.coalesce(F.get(slots, _slot(t))[t], F.lit(unknown))
         ),
     )
-    return df.withColumn("__slots", lookup_value(vocab)).withColumn(out, ids).drop("__slots")
+    return df.withColumn("__slots", lookup_value(few)).withColumn(out, ids).drop("__slots")
+
+
+def _lookup_by_join(
+    df: DataFrame, vocab: DataFrame, tokens: str, out: str, unknown: int, key: str
+) -> DataFrame:
+    found = (
+        df.select(key, F.posexplode_outer(tokens).alias("__pos", "token"))
+        .filter(F.col("__pos").isNotNull())
+        .join(vocab, "token", "left")
+        .withColumn("id", F.coalesce("id", F.lit(unknown)))
+    )
+    gathered = found.groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("__pos", "id"))), lambda x: x["id"]
+        ).alias(out)
+    )
+    none = F.array().cast("array<int>")
+    return df.join(gathered, key, "left").withColumn(out, F.coalesce(out, none))
 
 
 def encode_vocab(

@@ -119,6 +119,21 @@ def line_scores(spark, sf):
     return rows.filter(F.col("line_idx").isNotNull()).select("func_id", "line_idx", "x.line", rounded("x.score").alias("score"))
 
 
+@query(
+    "line_scores_rows",
+    sql(
+        "SELECT func_id, CAST(line_idx AS BIGINT) AS line_idx, line, round(score, 6) AS score FROM token_lines",
+        "token_lines",
+    ),
+)
+def line_scores_rows(spark, sf):
+    rows = views.token_arrays(spark, sf).select(
+        "func_id", F.posexplode_outer("tokens").alias("pos", "t")
+    )
+    tokens = rows.filter(F.col("pos").isNotNull()).select("func_id", "pos", "t.token", "t.score")
+    return round_doubles(lines.line_scores_rows(tokens))
+
+
 def _wanted(spark, sf):
     """Token arrays beside the joined flaw texts of the same document."""
     tokens = views.token_arrays(spark, sf).select("func_id", "tokens")

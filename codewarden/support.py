@@ -36,13 +36,13 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a source of few files, spread over all tasks before costly work on each row.
+    """Rows of a small source, spread over all tasks before costly work on each row.
 
-    A source with at least as many files as there are task slots is left as it is: at scale this
-    adds no shuffle.
+    A source that is read in at least as many partitions as there are task slots is left as it
+    is: at scale this adds no shuffle.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -62,3 +62,10 @@ def test_a_side_beyond_the_bound_is_joined_without_broadcast(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("class"))
     assert small_side(df, 10) is df
     assert small_side(df, 50).count() == 50
+
+
+def test_many_classes_are_numbered_in_ranges(spark, monkeypatch):
+    stats = classes.class_stats(status_as_class(functions(spark)))
+    want = index_of(classes.class_index(stats))
+    monkeypatch.setattr(classes, "small_side", lambda frame: frame)
+    assert index_of(classes.class_index(stats)) == want

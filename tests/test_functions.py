@@ -136,6 +136,17 @@ def test_vocabulary_against_counting(spark):
     assert [r["ids"] for r in encoded] == [[want.get(w, 0) for w in t.split()] for t in texts]
 
 
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    words = spark.range(50).select(
+        F.concat(F.lit("w"), F.col("id")).alias("token"), F.col("id").cast("int").alias("id")
+    )
+    rows = [(1, ["w3", "no", "w49", "w3"]), (2, [])]
+    df = spark.createDataFrame(rows, "idx long, tokens array<string>")
+    monkeypatch.setattr(vocab, "small_side", lambda frame: frame)
+    got = {r["idx"]: r["ids"] for r in vocab.vocab_lookup(df, words, unknown=-1).collect()}
+    assert got == {1: [3, -1, 49, 3], 2: []}
+
+
 def test_vocabulary_matches_the_tokenizer_library(spark, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     rng = random.Random(3)

@@ -51,6 +51,23 @@ def test_lines_against_direct_evaluation(spark):
         assert [tuple(x) for x in r["lines"]] == brute(rows[r["func_id"]][1])
 
 
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_lines_of_rows_agree(spark, chunk):
+    rng = random.Random(6)
+    words = ["x", "y", SEP, "z", SEP * 2]
+    rows = {
+        i: [(rng.choice(words), float(rng.choice([0, 0, 1, 2]))) for _ in range(rng.randrange(1, 60))]
+        for i in range(60)
+    }
+    flat = [(i, p, t, s) for i, pairs in rows.items() for p, (t, s) in enumerate(pairs)]
+    df = spark.createDataFrame(flat, "func_id long, pos int, token string, score double")
+    got = {}
+    for r in lines.line_scores_rows(df, chunk).orderBy("func_id", "line_idx").collect():
+        assert r["line_idx"] == len(got.setdefault(r["func_id"], []))
+        got[r["func_id"]].append((r["line"], r["score"]))
+    assert got == {i: brute(pairs) for i, pairs in rows.items() if brute(pairs)}
+
+
 LINES = "func_id long, lines array<struct<line:string,score:double,label:int>>"
 
 

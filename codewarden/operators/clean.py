@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,16 @@ def status_weight(df: DataFrame, weight: float, status: str = "status") -> DataF
     )
 
 
-def fits_context(df: DataFrame, limit: int, prompt: str = "prompt") -> DataFrame:
+def fits_context(
+    df: DataFrame,
+    limit: int,
+    prompt: str = "prompt",
+    tokenize: Callable[[Column], Column] = text.word_tokens,
+) -> DataFrame:
     """Add ``fits``: the prompt stays below the limit with either answer appended."""
 
     def short(answer: str) -> Column:
-        return F.size(text.word_tokens(F.concat(F.col(prompt), F.lit(answer)))) < limit
+        return F.size(tokenize(F.concat(F.col(prompt), F.lit(answer)))) < limit
 
     return df.withColumn("fits", short("YES") & short("NO"))
 

@@ -57,9 +57,10 @@ def with_ranges(
         df = Bucketizer(
             splits=[-math.inf, *splits, math.inf], inputCol=value, outputCol=cell
         ).transform(df.withColumn(value, F.col(name).cast("double")))
+        number = F.col(cell).cast("int")
         if tied is not None:
-            df = df.withColumn(cell, F.when(tied, F.col(cell)).otherwise(0.0))
-        df = df.drop(value)
+            number = F.when(tied, number).otherwise(0)
+        df = df.withColumn(cell, number).drop(value)
         cells.append(cell)
         if not heavy:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +21,16 @@ MIN_COUNT = 2
 SLOTS = 4096
 
 
+# A tokenizer is any column function from text to an array of strings, also a pandas UDF.
+Tokenizer = Callable[[Column], Column]
+
+
 def train_vocab(
-    df: DataFrame, code: str = "code", size: int = VOCAB_SIZE, min_count: int = MIN_COUNT
+    df: DataFrame,
+    code: str = "code",
+    size: int = VOCAB_SIZE,
+    min_count: int = MIN_COUNT,
+    tokenize: Tokenizer = text.word_tokens,
 ) -> DataFrame:
     """(token, id): the special tokens, then the most frequent words; equal counts by word.
 
@@ -28,7 +38,7 @@ def train_vocab(
     ``size``, are numbered.
     """
     counts = (
-        df.select(F.explode_outer(text.word_tokens(F.col(code))).alias("token"))
+        df.select(F.explode_outer(tokenize(F.col(code))).alias("token"))
         .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -107,10 +117,15 @@ def _lookup_by_join(
 
 
 def encode_vocab(
-    df: DataFrame, vocab: DataFrame, code: str = "code", out: str = "ids", unknown: int = 0
+    df: DataFrame,
+    vocab: DataFrame,
+    code: str = "code",
+    out: str = "ids",
+    unknown: int = 0,
+    tokenize: Tokenizer = text.word_tokens,
 ) -> DataFrame:
     """Text to ids with a trained vocabulary."""
-    tokenized = df.withColumn("__tokens", text.word_tokens(F.col(code)))
+    tokenized = df.withColumn("__tokens", tokenize(F.col(code)))
     return vocab_lookup(tokenized, vocab, "__tokens", out, unknown).drop("__tokens")
 
 

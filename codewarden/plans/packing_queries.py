@@ -44,7 +44,31 @@ def pack_stats(spark, sf):
     return round_doubles(packing.pack_stats(_packed(spark, sf), LENGTH).drop("epoch"))
 
 
-@query("pack_epochs")
+_EPOCHS = f"""shuffled_epochs AS (SELECT *, row_number() OVER (PARTITION BY epoch, shard ORDER BY key, idx) AS turn
+  FROM (SELECT epoch, idx, n, key, CAST(key * shards // 4294967296 AS INTEGER) AS shard
+        FROM (SELECT epoch, idx, n, {views.shuffle_key_sql('(epoch - 1)')} AS key,
+                (SELECT greatest(4, (count(*) + 49999) // 50000) FROM lengths) AS shards
+              FROM lengths, generate_series(1, 3) AS e(epoch) WHERE n < 512))),
+walked AS (SELECT epoch, n, shard, turn, 0 AS pack, 0 AS slot, n - 1 AS last_pos
+  FROM shuffled_epochs WHERE turn = 1
+  UNION ALL
+  SELECT s.epoch, s.n, s.shard, s.turn,
+    CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN w.pack + 1 ELSE w.pack END,
+    CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN 0 ELSE w.slot + 1 END,
+    CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN s.n - 1 ELSE w.last_pos + 1 + s.n END
+  FROM walked w JOIN shuffled_epochs s ON s.epoch = w.epoch AND s.shard = w.shard AND s.turn = w.turn + 1)"""
+
+
+@query(
+    "pack_epochs",
+    sql("", "lengths").rstrip()
+    + f""",
+{_EPOCHS}
+SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS packs, CAST(sum(functions) AS BIGINT) AS functions,
+  round(sum(filled) / (count(*) * 512.0), 6) AS fill
+FROM (SELECT epoch, count(*) AS functions, sum(n + 1) AS filled FROM walked GROUP BY epoch, shard, pack)
+GROUP BY epoch""",
+)
 def pack_epochs(spark, sf):
     packed = packing.pack_sequences(views.lengths(spark, sf), LENGTH, FUNCTIONS, epochs=3)
     return round_doubles(packing.pack_stats(packed, LENGTH))

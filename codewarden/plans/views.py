@@ -342,9 +342,10 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def shuffle_key_sql(seed: int) -> str:
+def shuffle_key_sql(seed: int | str) -> str:
+    """SQL of the shuffle key for a seed, given as a number or as an expression."""
     spread = "(idx % 2147483648 * 2654435761 % 4294967296)"
-    return f"(xor(xor({spread}, {spread} >> 15), {seed * 40503}) * 1597334677 % 4294967296)"
+    return f"(xor(xor({spread}, {spread} >> 15), {seed} * 40503) * 1597334677 % 4294967296)"
 
 
 def sql(body: str, *uses: str) -> str:

@@ -156,3 +156,17 @@ def test_vocabulary_matches_the_tokenizer_library(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "idx long, code string")
     got = df.select("idx", text.word_tokens(F.col("code")).alias("t")).orderBy("idx").collect()
     assert [r["t"] for r in got] == [[w for w, _ in pre.pre_tokenize_str(t)] for t in texts]
+
+
+def test_a_tokenizer_can_be_passed(spark):
+    def characters(code):
+        return F.split(code, "")
+
+    df = spark.createDataFrame([(1, "aba")], "idx long, code string")
+    trained = vocab.train_vocab(df, tokenize=characters)
+    assert {r["token"]: r["id"] for r in trained.collect()}["a"] == 5
+    encoded = vocab.encode_vocab(df, trained, tokenize=characters).first()["ids"]
+    assert encoded == [5, 0, 5]
+    prompts = spark.createDataFrame([("ab",), ("a",)], "prompt string")
+    fits = clean.fits_context(prompts, 5, tokenize=characters).collect()
+    assert [r["fits"] for r in fits] == [False, True]

@@ -152,3 +152,12 @@ def test_missing_scores_stop_the_job(spark):
         preds = spark.createDataFrame([(1, 0.5), (0, bad)], "label int, prob double")
         with pytest.raises(Exception, match="score is null or NaN"):
             curves.score_table(preds).collect()
+
+
+def test_no_task_orders_all_rows(df):
+    ranked = global_rank(df, ORDER, rows_per_range=100)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    # Only the table of range totals is brought to one partition, behind its aggregate.
+    assert plan.count("SinglePartition") == 1
+    assert plan.count("hashpartitioning(__range0") >= 2
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

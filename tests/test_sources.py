@@ -98,6 +98,19 @@ def test_failing_rows_do_not_fail_their_batch(spark):
     assert (counts["scored"], counts["skipped"]) == (5, 1)
 
 
+def test_baseline_learns_and_chooses(spark):
+    rows = [
+        (i, f"{'strcpy buffer' if i % 2 else 'safe copy'} word{i % 5}", i % 2, split)
+        for split in ("train", "valid", "test")
+        for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, "idx long, code string, target int, split string")
+    got = scoring.train_baseline(df, (0.0, 0.1), features=256, max_iter=5, weight=None).collect()
+    assert [r["chosen"] for r in sorted(got, key=lambda r: r["epoch"])] == [True, False]
+    assert all(r["valid_auc"] == 1.0 for r in got)
+    assert [r["test_auc"] for r in got if r["chosen"]] == [1.0]
+
+
 def test_stream_report_goes_on_from_its_checkpoint(spark, tmp_path):
     schema = T.StructType.fromDDL("label int, prob double")
     folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codewarden.llm import near_dup
+from codewarden.llm import decontaminate, near_dup, spans
 from codewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_spaced_seeds")
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks a benchmark item, with the item and where it stands."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "first_word", "last_word")
+
+
+@query("op5_sentence_spans")
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences that an earlier document has in a run."""
+    docs = table(spark, sf_dir, "documents")
+    cut = spans.cut_repeats(docs)
+    return cut.selectExpr(
+        "nullif(__id, -9223372036854775808) AS doc_id", "cut_text AS text", "sentences", "removed"
+    )
+
+
 @query("op9_hyperminhash")
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""

@@ -16,6 +16,8 @@ BLOCK = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For texts that are compared without their punctuation: all ASCII but letters and digits.
+IS_GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[ord("A") : ord("Z") + 1] += 32
 
@@ -66,9 +68,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0], known
 
 
-def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    raw: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and where each text's words begin among them."""
-    space = IS_SPACE[raw]
+    space = gaps[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[bounds] = True
     first = ~space
@@ -99,10 +103,12 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(out ^ ((ends - starts).astype(U64) << U64(48)))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: pa.Array, gaps: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, where each text's words begin among them, and which texts are known."""
     raw, bounds, known = text_bytes(texts)
-    starts, ends, first = word_spans(raw, bounds)
+    starts, ends, first = word_spans(raw, bounds, gaps)
     return hash_spans(raw, starts, ends), first, known
 
 

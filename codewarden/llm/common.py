@@ -30,3 +30,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, f"llm-{purpose}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fold(doc_id: str, folds: int) -> Column:
+    """Which of ``folds`` parts a document is in, by its id alone; a missing id is in part 0."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(0))

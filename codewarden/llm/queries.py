@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codewarden.llm import decontaminate, near_dup, spans
-from codewarden.llm.common import table
+from codewarden.llm import decontaminate, language, near_dup, spans
+from codewarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +41,16 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_rank_order")
+def op6_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.RankModel(language.profiles(docs.filter(fold("doc_id", 3) != 1)))
+    found = language.identify(docs, model)
+    held_out = (fold("doc_id", 3) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 @query("op9_hyperminhash")
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""

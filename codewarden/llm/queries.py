@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import decontaminate, language, near_dup, spans
+from codewarden.llm import decontaminate, language, near_dup, spans, toxicity
 from codewarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,21 @@ def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "first_word", "last_word")
 
 
+@query("op4_bigru")
+def op4_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from four fifths of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = fold("doc_id", 5) != 0
+    sample = toxicity.learning_texts(docs.filter(learn), labels.filter(learn))
+    found = toxicity.score(docs, toxicity.Scorer(sample))
+    return found.select(
+        "doc_id",
+        (~learn).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op5_sentence_spans")
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the sentences that an earlier document has in a run."""

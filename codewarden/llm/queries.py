@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import decontaminate, language, near_dup, spans, toxicity
+from codewarden.llm import decontaminate, language, mixing, mixing_sql, near_dup, spans, toxicity
 from codewarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,16 @@ def op6_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+@query("op8_exponential_keys", mixing_sql.MIXED)
+def op8_exponential_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    found = mixing.records(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixing.choose(found).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken
+    )
+
+
 @query("op9_hyperminhash")
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import decontaminate, language, mixing, mixing_sql, near_dup, spans, toxicity
+from codewarden.llm import (
+    decontaminate,
+    language,
+    licences,
+    mixing,
+    mixing_sql,
+    near_dup,
+    perspectives,
+    spans,
+    toxicity,
+)
 from codewarden.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +34,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_perspectives", perspectives.PERSPECTIVES_SQL)
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as each of its speakers sees it, with the learned stretches."""
+    found = perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    span = lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", span), " "))
+
+
 @query("op3_spaced_seeds")
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that leaks a benchmark item, with the item and where it stands."""
@@ -66,6 +84,12 @@ def op6_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+@query("op7_licence_digests", licences.SCAN_SQL)
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical digest of every document, and every licence text found."""
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 @query("op8_exponential_keys", mixing_sql.MIXED)
 def op8_exponential_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""

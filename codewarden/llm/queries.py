@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from codewarden.llm import (
     decontaminate,
+    hamming,
     language,
     licences,
     mixing,
     mixing_sql,
     near_dup,
     perspectives,
+    slots,
     spans,
     toxicity,
 )
-from codewarden.llm.common import fold, table
+from codewarden.llm.common import fold, table, written
+from codewarden.support import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +45,30 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.array_join(F.transform("spans", span), " "))
 
 
+@query("op2_virtual_slots")
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 23: a first map of the slots, and its edited second version."""
+    found = written(slots.records(table(spark, sf_dir, "documents")), "slots")
+    weight, rows = slots.slot_totals(found)
+    path = shared_dir(spark, "llm-slot-map")
+    shard_of = slots.first_map(24)
+    slots.write_map(slots.map_frame(spark, shard_of, rows, 1).drop("version"), path, 1)
+    shard_of = slots.rebalance(shard_of, weight, 24)
+    slots.write_map(slots.map_frame(spark, shard_of, rows, 2).drop("version"), path, 2)
+    placed = slots.place(found, slots.read_map(spark, path))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+        "version",
+    )
+
+
 @query("op3_spaced_seeds")
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that leaks a benchmark item, with the item and where it stands."""
@@ -107,3 +134,10 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr(
         "doc_id", "n_shingles", "component_id", "doc_id <=> component_id AS kept"
     )
+
+
+@query("op10_multi_index", hamming.SEARCH_SQL)
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors, by sign bits, of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.search(vectors, vectors.filter(F.col("vec_id") % hamming.EVERY == 0))

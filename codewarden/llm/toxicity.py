@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import row_key
 from codewarden.llm.recurrent import Adam, Lexicon, Network, gather, windows
 
 PER_LABEL = 1500
@@ -38,8 +38,8 @@ RATE = 0.01
 CLEAN_PER_TOXIC = 9.0
 #: Logits from the threshold to a score of 0.73.
 SOFTNESS = 1.0
-#: Characters of text that one task scores at once.
-STRIP_CHARS = 4_000_000
+#: Bytes of text that a task scores at once.
+STRIP_BYTES = 4_000_000
 
 
 def learning_texts(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> pa.Table:
@@ -161,24 +161,36 @@ def _threshold(top: np.ndarray, toxic: np.ndarray) -> float:
     return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
 
 
+def _in_strips(texts: pa.Array, scorer: Scorer) -> np.ndarray:
+    """Scores of a batch, some millions of characters at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // STRIP_BYTES)) + 1), len(texts)]
+    found = [scorer.scores(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.concatenate(found)
+
+
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """``docs`` (doc_id, text) with ``score`` for each row."""
+    """(doc_id, score) for each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            sizes = np.cumsum([len(t.as_py() or "") for t in texts])
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // STRIP_CHARS)) + 1), len(texts)]
-            found = [scorer.scores(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            found = _in_strips(batch.column("text"), scorer)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(k) for k in ("__id", "__text", "doc_id")],
-                    pa.array(np.concatenate(found), pa.float64()),
-                ],
-                names=["__id", "__text", "doc_id", "score"],
+                [batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"]
             )
 
     rows = docs.select(
-        F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")
-    ).withColumns(row_key())
-    return rows.mapInArrow(run, "__id long, __text long, doc_id long, score double")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+    return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_below(docs: DataFrame, scorer: Scorer, limit: float) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, in all their columns; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
+            yield batch.filter(pa.array(_in_strips(texts, scorer) < limit))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -41,6 +41,8 @@ LEAST_WORDS = 5
 MOST_BITS = 1 << 26
 #: Words around a hit that any window over it can reach.
 REACH = 2 * WINDOW - 1 - min(max(m) for m in MASKS)
+#: What stands for positions outside a document and outside an item; they never match.
+OUTSIDE = (0, 1)
 #: Positions hashed in one go, so the arrays stay in the processor's cache.
 STRIP = 1 << 16
 
@@ -97,7 +99,7 @@ def index(benchmark: DataFrame) -> DataFrame:
             hashes, first, _ = words.word_hashes(batch.column("text"), words.IS_GAP)
             counts = np.diff(first)
             short = sorted({int(n) for n in counts if LEAST_WORDS <= n < WINDOW})
-            for part in _places(hashes, first, tuple(short), 1, lambda h: np.ones(len(h), bool)):
+            for part in _places(hashes, first, tuple(short), OUTSIDE[1], lambda h: np.ones(len(h), bool)):
                 mask, found, owner, at, around = part
                 # Long items are looked for by masks, short ones as a whole.
                 fits = counts[owner] == -mask if mask < 0 else counts[owner] >= WINDOW
@@ -143,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             hashes, first, _ = words.word_hashes(batch.column("text"), words.IS_GAP)
             keys = ["__id", "__text", "doc_id"]
-            places = _places(hashes, first, lengths, 0, known)
+            places = _places(hashes, first, lengths, OUTSIDE[0], known)
             yield from _batch([batch.column(k) for k in keys], keys, places, lengths)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     span, size = max(MASKS[n]) + 1, WINDOW
                     mine = part.column("around").flatten().to_numpy().reshape(-1, REACH)
                     test_ = part.column("item_around").flatten().to_numpy().reshape(-1, REACH)
-                    sums = np.cumsum(np.pad(mine == test_, ((0, 0), (1, 0))), axis=1)
+                    # Positions outside the document or the item rule a window out.
+                    gain = (mine == test_) - WINDOW * ((mine == OUTSIDE[0]) | (test_ == OUTSIDE[1]))
+                    sums = np.cumsum(np.pad(gain, ((0, 0), (1, 0))), axis=1)
                     equal = sums[:, WINDOW : WINDOW + WINDOW - span + 1] - sums[:, : WINDOW - span + 1]
                     best, shift = equal.max(axis=1), equal.argmax(axis=1)
                     start = at - (WINDOW - span) + shift

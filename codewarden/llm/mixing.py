@@ -90,7 +90,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         "capped", F.col("cap") * F.col("heavy") <= F.col("left") * F.col("weight")
     )
     # Caps stop at the first source that stays below its own; it sets the level for the rest.
-    level = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "left", "heavy"))).over(whole)
+    # That is the one with the most weight from it on.
+    level = F.max(F.when(~F.col("capped"), F.struct("heavy", "left"))).over(whole)
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(
         F.col("level.left").cast("double") * F.col("weight") / F.col("level.heavy")
     )

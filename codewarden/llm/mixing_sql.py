@@ -33,7 +33,7 @@ levels AS (
 ),
 level AS (
   SELECT rest::DOUBLE AS rest, heavy::DOUBLE AS heavy FROM levels
-  WHERE cap * heavy > rest * weight ORDER BY cap / weight, rest LIMIT 1
+  WHERE cap * heavy > rest * weight ORDER BY heavy DESC LIMIT 1
 ),
 goals AS (
   SELECT l.source, l.source_size,

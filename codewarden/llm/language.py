@@ -51,7 +51,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
     letters = np.where(kept, codes, 1).astype(np.uint64)
     stays = kept.copy()
     stays[1:] |= kept[:-1]
-    line = np.concatenate([[1] if kept[0] else [], letters[stays], [1] if kept[-1] else []])
+    line = np.concatenate([[1], letters[stays], [1] if kept[-1] else []])
     line = line.astype(np.uint64)
     parts, totals = [], []
     for begin in range(0, len(line), STRIP):

@@ -17,18 +17,25 @@ SEPARATOR = 0
 PAD = 0
 
 
+# So few that even the smallest tables are cut in ranges, and ranges in groups of ranges.
+ROWS_PER_RANGE = 50
+FAN = 4
+
+
 def _packed(spark, sf):
-    return packing.pack_sequences(views.lengths(spark, sf), LENGTH, FUNCTIONS)
+    return packing.pack_sequences(
+        views.lengths(spark, sf), LENGTH, FUNCTIONS, rows_per_range=ROWS_PER_RANGE, fan=FAN
+    )
 
 
-@query("pack_sequences", sql("SELECT shard, pack, slot, idx, n FROM packed", "packed"))
+@query("pack_sequences", sql("SELECT CAST(pack AS BIGINT) AS pack, slot, idx, n FROM packed", "packed"))
 def pack_sequences(spark, sf):
-    return _packed(spark, sf).select("shard", "pack", "slot", "idx", "n")
+    return _packed(spark, sf).select("pack", "slot", "idx", "n")
 
 
-@query("slot_ends", sql("SELECT idx, shard, pack, slot, last_pos FROM packed", "packed"))
+@query("slot_ends", sql("SELECT idx, pack, slot, last_pos FROM packed", "packed"))
 def slot_ends(spark, sf):
-    return _packed(spark, sf).select("idx", "shard", "pack", "slot", "last_pos")
+    return _packed(spark, sf).select("idx", "pack", "slot", "last_pos")
 
 
 @query(
@@ -36,7 +43,7 @@ def slot_ends(spark, sf):
     sql(
         """SELECT count(*) AS packs, CAST(sum(functions) AS BIGINT) AS functions,
              round(sum(filled) / (count(*) * 512.0), 6) AS fill
-           FROM (SELECT count(*) AS functions, sum(n + 1) AS filled FROM packed GROUP BY shard, pack)""",
+           FROM (SELECT count(*) AS functions, sum(n + 1) AS filled FROM packed GROUP BY pack)""",
         "packed",
     ),
 )
@@ -44,19 +51,17 @@ def pack_stats(spark, sf):
     return round_doubles(packing.pack_stats(_packed(spark, sf), LENGTH).drop("epoch"))
 
 
-_EPOCHS = f"""shuffled_epochs AS (SELECT *, row_number() OVER (PARTITION BY epoch, shard ORDER BY key, idx) AS turn
-  FROM (SELECT epoch, idx, n, key, CAST(key * shards // 4294967296 AS INTEGER) AS shard
-        FROM (SELECT epoch, idx, n, {views.shuffle_key_sql('(epoch - 1)')} AS key,
-                (SELECT greatest(4, (count(*) + 49999) // 50000) FROM lengths) AS shards
-              FROM lengths, generate_series(1, 3) AS e(epoch) WHERE n < 512))),
-walked AS (SELECT epoch, n, shard, turn, 0 AS pack, 0 AS slot, n - 1 AS last_pos
+_EPOCHS = f"""shuffled_epochs AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY key, idx) AS turn
+  FROM (SELECT epoch, idx, n, {views.shuffle_key_sql('(epoch - 1)')} AS key
+        FROM lengths, generate_series(1, 3) AS e(epoch) WHERE n < 512)),
+walked AS (SELECT epoch, n, turn, 0 AS pack, 0 AS slot, n - 1 AS last_pos
   FROM shuffled_epochs WHERE turn = 1
   UNION ALL
-  SELECT s.epoch, s.n, s.shard, s.turn,
+  SELECT s.epoch, s.n, s.turn,
     CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN w.pack + 1 ELSE w.pack END,
     CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN 0 ELSE w.slot + 1 END,
     CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN s.n - 1 ELSE w.last_pos + 1 + s.n END
-  FROM walked w JOIN shuffled_epochs s ON s.epoch = w.epoch AND s.shard = w.shard AND s.turn = w.turn + 1)"""
+  FROM walked w JOIN shuffled_epochs s ON s.epoch = w.epoch AND s.turn = w.turn + 1)"""
 
 
 @query(
@@ -66,7 +71,7 @@ walked AS (SELECT epoch, n, shard, turn, 0 AS pack, 0 AS slot, n - 1 AS last_pos
 {_EPOCHS}
 SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS packs, CAST(sum(functions) AS BIGINT) AS functions,
   round(sum(filled) / (count(*) * 512.0), 6) AS fill
-FROM (SELECT epoch, count(*) AS functions, sum(n + 1) AS filled FROM walked GROUP BY epoch, shard, pack)
+FROM (SELECT epoch, count(*) AS functions, sum(n + 1) AS filled FROM walked GROUP BY epoch, pack)
 GROUP BY epoch""",
 )
 def pack_epochs(spark, sf):
@@ -91,7 +96,7 @@ def _emitted(spark, sf):
 
 
 _IDS = f"(SELECT doc_id, list_transform(regexp_extract_all(text, '{WORD}'), lambda t: length(t) + 9) AS ids FROM documents)"
-_EMITTED = f"""emitted AS (SELECT shard, pack,
+_EMITTED = f"""emitted AS (SELECT pack,
     string_agg(array_to_string(list_concat(ids, [0]), ' '), ' ' ORDER BY slot)
       || repeat(' 0', CAST(512 - sum(n + 1) AS INTEGER)) AS input_ids,
     string_agg(CAST(idx % 2 AS VARCHAR), ' ' ORDER BY slot)
@@ -100,11 +105,11 @@ _EMITTED = f"""emitted AS (SELECT shard, pack,
       AS attention_mask,
     string_agg(CAST(idx % 3 + 1 AS VARCHAR) || '.0', ' ' ORDER BY slot)
       || repeat(' -100.0', CAST(8 - count(*) AS INTEGER)) AS weights
-  FROM packed JOIN {_IDS} ON idx = doc_id GROUP BY shard, pack)"""
-_POSITIONS = """positions AS (SELECT shard, pack, i - 1 AS pos, CAST(ids[i] AS INTEGER) AS id,
-    CAST(lag(ids[i]) OVER (PARTITION BY shard, pack ORDER BY i) AS INTEGER) AS before
-  FROM (SELECT shard, pack, ids, unnest(generate_series(1, len(ids))) AS i
-        FROM (SELECT shard, pack, string_split(input_ids, ' ') AS ids FROM emitted)))"""
+  FROM packed JOIN {_IDS} ON idx = doc_id GROUP BY pack)"""
+_POSITIONS = """positions AS (SELECT pack, i - 1 AS pos, CAST(ids[i] AS INTEGER) AS id,
+    CAST(lag(ids[i]) OVER (PARTITION BY pack ORDER BY i) AS INTEGER) AS before
+  FROM (SELECT pack, ids, unnest(generate_series(1, len(ids))) AS i
+        FROM (SELECT pack, string_split(input_ids, ' ') AS ids FROM emitted)))"""
 
 
 def _with_emitted(body: str, *more: str) -> str:
@@ -118,7 +123,7 @@ def _text(name: str, sep: str = " "):
 @query("emit_packs", _with_emitted("SELECT * FROM emitted"))
 def emit_packs(spark, sf):
     return _emitted(spark, sf).select(
-        "shard", "pack", _text("input_ids"), _text("labels"), _text("attention_mask", ""),
+        "pack", _text("input_ids"), _text("labels"), _text("attention_mask", ""),
         _text("weights"),
     )
 
@@ -126,26 +131,26 @@ def emit_packs(spark, sf):
 @query(
     "segment_ends",
     _with_emitted(
-        """SELECT shard, pack, CAST(row_number() OVER (PARTITION BY shard, pack ORDER BY pos) - 1
+        """SELECT pack, CAST(row_number() OVER (PARTITION BY pack ORDER BY pos) - 1
              AS INTEGER) AS segment, CAST(pos - 1 AS INTEGER) AS pos
            FROM positions WHERE id = 0 AND before <> 0""",
         _POSITIONS,
     ),
 )
 def segment_ends(spark, sf):
-    packs = _emitted(spark, sf).withColumn("seq_id", F.struct("shard", "pack"))
+    packs = _emitted(spark, sf).withColumn("seq_id", F.col("pack"))
     return heads.segment_ends(packs, SEPARATOR, "input_ids").select(
-        "seq_id.shard", "seq_id.pack", "segment", "pos"
+        F.col("seq_id").alias("pack"), "segment", "pos"
     )
 
 
 @query(
     "segments",
     _with_emitted(
-        """SELECT shard, pack, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) + 1 AS INTEGER) AS last
-           FROM (SELECT *, sum(CAST(id = 0 AS INTEGER)) OVER (PARTITION BY shard, pack ORDER BY pos) AS run,
-                   max(CASE WHEN id = 0 THEN pos END) OVER (PARTITION BY shard, pack) AS last_sep
-                 FROM positions) WHERE id <> 0 AND pos < last_sep GROUP BY shard, pack, run""",
+        """SELECT pack, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) + 1 AS INTEGER) AS last
+           FROM (SELECT *, sum(CAST(id = 0 AS INTEGER)) OVER (PARTITION BY pack ORDER BY pos) AS run,
+                   max(CASE WHEN id = 0 THEN pos END) OVER (PARTITION BY pack) AS last_sep
+                 FROM positions) WHERE id <> 0 AND pos < last_sep GROUP BY pack, run""",
         _POSITIONS,
     ),
 )
@@ -153,7 +158,7 @@ def segments(spark, sf):
     ranges = encoding.segments(F.col("input_ids"), [SEPARATOR, PAD])
     return (
         _emitted(spark, sf)
-        .select("shard", "pack", F.inline_outer(ranges))
+        .select("pack", F.inline_outer(ranges))
         .filter(F.col("first").isNotNull())
     )
 
@@ -161,19 +166,19 @@ def segments(spark, sf):
 @query(
     "segment_mask_cells",
     _with_emitted(
-        """SELECT shard, pack, CAST(sum(size * size) AS BIGINT) AS cells FROM (
-             SELECT shard, pack, count(*) AS size
-             FROM (SELECT *, sum(CAST(id = 0 AS INTEGER)) OVER (PARTITION BY shard, pack ORDER BY pos) AS run,
-                     max(CASE WHEN id = 0 THEN pos END) OVER (PARTITION BY shard, pack) AS last_sep
-                   FROM positions) WHERE id <> 0 AND pos < last_sep GROUP BY shard, pack, run)
-           GROUP BY shard, pack""",
+        """SELECT pack, CAST(sum(size * size) AS BIGINT) AS cells FROM (
+             SELECT pack, count(*) AS size
+             FROM (SELECT *, sum(CAST(id = 0 AS INTEGER)) OVER (PARTITION BY pack ORDER BY pos) AS run,
+                     max(CASE WHEN id = 0 THEN pos END) OVER (PARTITION BY pack) AS last_sep
+                   FROM positions) WHERE id <> 0 AND pos < last_sep GROUP BY pack, run)
+           GROUP BY pack""",
         _POSITIONS,
     ),
 )
 def segment_mask_cells(spark, sf):
     ranges = encoding.segments(F.col("input_ids"), [SEPARATOR, PAD])
-    packs = _emitted(spark, sf).select("shard", "pack", ranges.alias("ranges"))
-    return packs.select("shard", "pack", encoding.mask_cells(F.col("ranges")).alias("cells")).filter(
+    packs = _emitted(spark, sf).select("pack", ranges.alias("ranges"))
+    return packs.select("pack", encoding.mask_cells(F.col("ranges")).alias("cells")).filter(
         F.col("cells") > 0
     )
 
@@ -181,7 +186,7 @@ def segment_mask_cells(spark, sf):
 @query(
     "unpack_predictions",
     sql(
-        """SELECT idx, shard, pack, slot, round(n / 100.0, 6) AS z0,
+        """SELECT idx, pack, slot, round(n / 100.0, 6) AS z0,
              round(idx % 7 / 7.0, 6) AS z1 FROM packed""",
         "packed",
     ),
@@ -191,7 +196,6 @@ def unpack_predictions(spark, sf):
     # Logits any scorer could give: padded to whole packs, then brought back to functions.
     scored = packed.select(
         "epoch",
-        "shard",
         "pack",
         "slot",
         F.array(F.col("n") / 100.0, F.col("idx") % 7 / 7.0).alias("logits"),
@@ -200,5 +204,5 @@ def unpack_predictions(spark, sf):
     z = F.col("logits")
     back = packing.unpack_predictions(padded, packed)
     return round_doubles(
-        back.select("idx", "shard", "pack", "slot", z[0].alias("z0"), z[1].alias("z1"))
+        back.select("idx", "pack", "slot", z[0].alias("z0"), z[1].alias("z1"))
     )

@@ -320,24 +320,20 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "shuffled": (
         ("lengths",),
-        """SELECT *, row_number() OVER (PARTITION BY shard ORDER BY key, idx) AS turn
-           FROM (SELECT idx, n, key, CAST(key * shards // 4294967296 AS INTEGER) AS shard
-                 FROM (SELECT idx, n, {key} AS key,
-                         (SELECT greatest(4, (count(*) + 49999) // 50000) FROM lengths) AS shards
-                       FROM lengths WHERE n < 512))""",
+        """SELECT idx, n, row_number() OVER (ORDER BY {key}, idx) AS turn FROM lengths WHERE n < 512""",
     ),
-    # Greedy packing as a walk over each shard, with 512 positions and 8 functions a pack.
+    # Greedy packing as a walk over the whole order, with 512 positions and 8 functions a pack.
     "packed": (
         ("shuffled",),
-        """SELECT idx, n, shard, turn, 0 AS pack, 0 AS slot, n - 1 AS last_pos
+        """SELECT idx, n, turn, 0::BIGINT AS pack, 0 AS slot, n - 1 AS last_pos
            FROM shuffled WHERE turn = 1
            UNION ALL
-           SELECT s.idx, s.n, s.shard, s.turn,
+           SELECT s.idx, s.n, s.turn,
              CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN w.pack + 1 ELSE w.pack END,
              CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN 0 ELSE w.slot + 1 END,
              CASE WHEN w.last_pos + 2 + s.n >= 512 OR w.slot + 2 >= 8 THEN s.n - 1
                   ELSE w.last_pos + 1 + s.n END
-           FROM packed w JOIN shuffled s ON s.shard = w.shard AND s.turn = w.turn + 1""",
+           FROM packed w JOIN shuffled s ON s.turn = w.turn + 1""",
     ),
 }
 

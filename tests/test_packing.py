@@ -31,8 +31,8 @@ def brute(lengths, seq_length, max_functions):
 
 def packs_of(rows):
     got = {}
-    for r in sorted(rows, key=lambda r: (r["epoch"], r["shard"], r["pack"], r["slot"])):
-        got.setdefault((r["epoch"], r["shard"], r["pack"]), []).append(r["idx"])
+    for r in sorted(rows, key=lambda r: (r["epoch"], r["pack"], r["slot"])):
+        got.setdefault((r["epoch"], r["pack"]), []).append(r["idx"])
     return got
 
 
@@ -41,24 +41,40 @@ def test_worked_example(spark):
     want = [3, 4, 2, 9, 1, 10]
     ids = sorted(range(6), key=key)
     df = spark.createDataFrame(list(zip(ids, want)), "idx long, n int")
-    got = packing.pack_sequences(df, 10, 3, shards=1).collect()
+    got = packing.pack_sequences(df, 10, 3).collect()
     by_length = {r["n"]: r["pack"] for r in got}
     assert by_length == {3: 0, 4: 0, 2: 1, 9: 2, 1: 3}
 
 
-@pytest.mark.parametrize("shards", [1, 3, 16])
-def test_against_a_plain_walk(spark, shards):
-    rng = random.Random(shards)
-    rows = [(i, rng.randrange(0, 70)) for i in range(800)]
+@pytest.mark.parametrize("per_range", [3, 50, 1000])
+@pytest.mark.parametrize("most", [1, 2, 6])
+def test_any_ranges_give_the_one_greedy_order(spark, per_range, most):
+    rng = random.Random(per_range)
+    rows = [(i, rng.randrange(0, 70)) for i in range(700)]
     df = spark.createDataFrame(rows, "idx long, n int").repartition(5)
-    got = packs_of(packing.pack_sequences(df, 64, 6, shards=shards).collect())
-    want = {}
-    for shard in range(shards):
-        mine = [r for r in rows if key(r[0]) * shards // HASH_RANGE == shard]
-        mine.sort(key=lambda r: (key(r[0]), r[0]))
-        for i, pack in enumerate(brute(mine, 64, 6)):
-            want[(1, shard, i)] = pack
-    assert got == want
+    found = packing.pack_sequences(df, 64, most, rows_per_range=per_range, fan=4).collect()
+    rows.sort(key=lambda r: (key(r[0]), r[0]))
+    want = {(1, i): pack for i, pack in enumerate(brute(rows, 64, most))}
+    assert packs_of(found) == want
+    lengths = dict(rows)
+    for r in found:
+        before = want[1, r["pack"]][: r["slot"] + 1]
+        assert r["last_pos"] == sum(lengths[i] + 1 for i in before) - 2
+
+
+def test_one_row_more_changes_nothing_before_it(spark):
+    rows = sorted(((i, i * 7 % 40) for i in range(300)), key=lambda r: (key(r[0]), r[0]))
+    less = spark.createDataFrame(rows[:-1], "idx long, n int")
+    more = spark.createDataFrame(rows, "idx long, n int")
+    one, two = (
+        {(r["idx"], r["pack"], r["slot"]) for r in packing.pack_sequences(df, 64, 6, rows_per_range=40).collect()}
+        for df in (less, more)
+    )
+    assert one < two and len(two) == len(one) + 1
+
+
+def test_no_rows(spark):
+    assert packing.pack_sequences(spark.createDataFrame([], "idx long, n int"), 64, 6).count() == 0
 
 
 def test_invariants(spark):
@@ -74,8 +90,8 @@ def test_invariants(spark):
     for epoch in (1, 2):
         mine = [r["idx"] for r in got if r["epoch"] == epoch]
         walked = sorted(mine, key=lambda i: (key(i, epoch - 1), i))
-        shard_of = {r["idx"]: r["shard"] for r in got if r["epoch"] == epoch}
-        assert [shard_of[i] for i in walked] == sorted(shard_of.values())
+        pack_of = {r["idx"]: r["pack"] for r in got if r["epoch"] == epoch}
+        assert [pack_of[i] for i in walked] == sorted(pack_of.values())
     first, second = (sorted(range(500), key=lambda i: key(i, seed)) for seed in (0, 1))
     moved = sum(abs(first.index(i) - second.index(i)) > 50 for i in range(500))
     assert moved > 300  # another order, not the same one turned round
@@ -86,7 +102,7 @@ def test_emitted_arrays(spark):
         [(1, [5, 6], 1, 30.0), (2, [7], 0, 1.0)], "idx long, ids array<int>, target int, weight double"
     )
     sizes = df.select("idx", F.size("ids").alias("n"))
-    packed = packing.pack_sequences(sizes, 8, 4, shards=1)
+    packed = packing.pack_sequences(sizes, 8, 4)
     pack = packing.emit_packs(packed, df, 8, 4, separator=0, pad=9, weights=True).first()
     first = [5, 6, 0, 7, 0] if key(1) < key(2) else [7, 0, 5, 6, 0]
     assert pack["input_ids"] == first + [9, 9, 9]
@@ -101,14 +117,10 @@ def test_unpacking_undoes_packing(spark):
     df = spark.range(100).select(F.col("id").alias("idx"), (F.col("id") % 13).cast("int").alias("n"))
     packed = packing.pack_sequences(df, 30, 5)
     logits = packed.select(
-        "epoch", "shard", "pack", "slot", F.array(F.col("idx") * 1.0, F.lit(0.5)).alias("logits")
+        "epoch", "pack", "slot", F.array(F.col("idx") * 1.0, F.lit(0.5)).alias("logits")
     )
     padded = packing.pad_logits(logits, 5, 2)
     assert {len(r["logits"]) for r in padded.collect()} == {5}
     back = packing.unpack_predictions(padded, packed).collect()
     assert sorted((r["idx"], r["logits"][0]) for r in back) == [(i, float(i)) for i in range(100)]
 
-
-def test_shard_count():
-    assert packing.shard_count(10) == 4
-    assert packing.shard_count(1_000_001) == 21

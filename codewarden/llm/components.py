@@ -1,4 +1,4 @@
-"""Connected components over links, by least labels and pointer jumping in whole-table joins."""
+"""Connected components over links, by contracting every node into its least neighbour."""
 
 from __future__ import annotations
 
@@ -8,43 +8,37 @@ from pyspark.sql import functions as F
 from codewarden.llm.common import written
 
 
-def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, part): the least node that links (a, b) reach from each of ``nodes``.
+def connected(links: DataFrame) -> DataFrame:
+    """(node, part): one node of its component for each node that ``links`` (a, b) name.
 
-    A round takes the least label among the neighbours and then the label of the label, so paths
-    shrink by halves. Labels are a table of their own each round, written to the shared folder; links
-    on a busy node meet in a map-side minimum, and joins on it are split by adaptive execution.
-    Links that end outside ``nodes`` are not followed; an empty ``links`` leaves each node alone.
+    In a round each node goes into the least of itself and its neighbours, and links are carried over to
+    what their ends became; links within one node fall away. Stars, the usual shape, are gone after
+    one round, and with ids in no particular order long paths shrink geometrically. A busy node's
+    neighbours meet in a map-side minimum, and joins on it are split by adaptive execution. Each
+    round is a table in the shared folder.
     """
-    both = links.select("a", "b").unionByName(
-        links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    )
-    both = both.filter("a <> b").distinct()
-    labels = written(
-        nodes.select("node")
-        .join(both.groupBy("a").agg(F.min("b").alias("near")).withColumnRenamed("a", "node"), "node", "left")
-        .select("node", F.least("node", F.coalesce("near", "node")).alias("part")),
-        "labels",
-    )
-    if both.isEmpty():
-        return labels
+    links = links.select("a", "b").filter("a <> b")
+    found = None
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy("a")
-            .agg(F.min("part").alias("near"))
-            .withColumnRenamed("a", "node")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        into = written(
+            both.groupBy(F.col("a").alias("node"))
+            .agg(F.min("b").alias("near"))
+            .select("node", F.least("node", "near").alias("part")),
+            "parts",
         )
-        step = labels.join(near, "node", "left").select(
-            "node", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part")
+        if found is None:
+            found = into
+        else:
+            then = into.select(F.col("node").alias("part"), F.col("part").alias("then"))
+            found = found.join(then, "part", "left").select(
+                "node", F.coalesce("then", "part").alias("part")
+            )
+        links = links.join(into.select(F.col("node").alias("a"), F.col("part").alias("to_a")), "a")
+        links = links.join(into.select(F.col("node").alias("b"), F.col("part").alias("to_b")), "b")
+        links = written(
+            links.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct(),
+            "links",
         )
-        jump = labels.select(F.col("node").alias("part"), F.col("part").alias("far"))
-        step = written(
-            step.join(jump, "part", "left").select(
-                "node", "old", F.least("part", F.coalesce("far", "part")).alias("part")
-            ),
-            "labels",
-        )
-        labels = step.select("node", "part")
-        if step.filter("old <> part").isEmpty():
-            return labels
+        if links.isEmpty():
+            return found

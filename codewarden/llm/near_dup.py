@@ -8,9 +8,11 @@
    ``BANDS`` groups of four registers are joined. In every bucket of equal bands the member of least
    id is the hub; (member, hub) pairs are compared by the collision-corrected Jaccard estimate
    and, unless that is out of reach, on full sets.
-4. Connected components contract the verified links. Buckets that still hold several components
-   are finished off: every member outside the hub's component is compared with all members of
-   other components, in blocks of bounded size, so no pair that shares a band goes unseen.
+4. Connected components contract the verified links. A hub and all it shares a bucket with are its
+   group; groups that still hold several components are finished off: every member outside the
+   hub's component is compared, on full sets, with all members of other components, in blocks
+   of bounded size. No pair that shares a band goes unseen, and a block gives no more links than it
+   takes to join its components.
 
 Nothing is capped: a bucket of any size costs a row for each member, and step 4 splits it.
 
@@ -24,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,10 @@ EMPTY = 0xFFFF
 VALUE_BITS = 53
 #: Standard deviations by which an estimate may fall short before the full sets are compared.
 SLACK = 5.0
-#: Members of a bucket that one block of the last comparison holds.
-BLOCK = 512
+#: Members of a group that one side of a block of the last comparison holds.
+BLOCK = 256
+#: Shared shingles that are counted at once within a block.
+COLUMNS = 2048
 
 SIGNED = "__id long, __text long, doc_id long, n_shingles long, node binary, regs binary, bands binary"
 
@@ -200,18 +203,18 @@ def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the estimate leaves in reach."""
+    """Pairs (hub, node) that the estimate leaves in reach."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = in_reach(
-                _rows(batch.column("regs_a")),
-                _rows(batch.column("regs_b")),
-                batch.column("n_a").to_numpy(),
-                batch.column("n_b").to_numpy(),
+                _rows(batch.column("regs_hub")),
+                _rows(batch.column("regs_node")),
+                batch.column("n_hub").to_numpy(),
+                batch.column("n_node").to_numpy(),
                 percent,
             )
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["hub", "node"]).filter(pa.array(keep))
 
     def side(name):
         return nodes.select(
@@ -220,86 +223,159 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             F.col("regs").alias(f"regs_{name}"),
         )
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    sized = pairs.join(side("node"), "node").join(side("hub"), "hub")
     sized = sized.filter(
-        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        100 * F.least("n_hub", "n_node") >= percent * F.greatest("n_hub", "n_node")
     )
-    return sized.mapInArrow(look, "a binary, b binary")
+    return sized.mapInArrow(look, "hub binary, node binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int):
-    """Pairs (a, b) that hold on full sets, with the size of their intersection."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = nodes.join(wanted, "node").select("node", "__id", "__text")
-    texts = (
-        docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id"))
-        .withColumns(row_key())
-        .join(holders, ["__id", "__text"])
-        .select("node", "text")
-        .dropDuplicates(["node"])
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, node) that hold on full sets, as links (a, b)."""
+
+    def side(name):
+        return full.select(F.col("node").alias(name), F.col("items").alias(f"items_{name}"))
+
+    both = pairs.join(side("node"), "node").join(side("hub"), "hub")
+    shared = F.size(F.array_intersect("items_hub", "items_node"))
+    union = F.size("items_hub") + F.size("items_node") - shared
+    return both.filter(100 * shared >= percent * union).select(
+        F.col("hub").alias("a"), F.col("node").alias("b")
     )
-    full = written(sets_of(texts, shingle), "sets")
-    both = pairs.join(full.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    both = both.join(full.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    union = F.size("items_a") + F.size("items_b") - shared
-    return both.filter(100 * shared >= percent * union).select("a", "b")
 
 
-def _left_over(banded: DataFrame, hubs: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int):
-    """Pairs in reach between different components of the same bucket, beside the hub's own."""
-    members = banded.join(parts, "node")
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``one`` with all of ``two``."""
+    flat = [np.concatenate(sets) if sets else np.zeros(0, np.int64) for sets in (one, two)]
+    common = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(one), len(two)), np.float32)
+    if not len(common):
+        return out
+    sides = []
+    for sets, values in ((one, flat[0]), (two, flat[1])):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        held = common[at] == values
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], owner[held][order], len(sets)))
+    for begin in range(0, len(common), COLUMNS):
+        tables = []
+        for at, owner, rows in sides:
+            lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+            table = np.zeros((rows, min(COLUMNS, len(common) - begin)), np.float32)
+            table[owner[lo:hi], at[lo:hi] - begin] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _joins(block: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """The links between components of one block that it takes to join them."""
+    asks = block.column("asks").to_numpy()
+    parts = block.column("part").to_pylist()
+    column = block.column("items").combine_chunks()
+    sets = [s.values.to_numpy() for s in column]
+    one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(one) or not len(two):
+        return []
+    shared = shared_counts([sets[i] for i in one], [sets[i] for i in two])
+    sizes = np.array([len(s) for s in sets], np.float32)
+    union = sizes[one][:, None] + sizes[two][None, :] - shared
+    number = {part: n for n, part in enumerate(dict.fromkeys(parts))}
+    of = np.array([number[part] for part in parts])
+    linked = (100 * shared >= percent * union) & (of[one][:, None] != of[two][None, :])
+    root = list(range(len(number)))
+
+    def top(n: int) -> int:
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    names, found = list(number), []
+    pairs = np.stack([of[one][np.nonzero(linked)[0]], of[two][np.nonzero(linked)[1]]], axis=1)
+    for a, b in np.unique(pairs, axis=0):
+        x, y = top(int(a)), top(int(b))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            found.append((names[a], names[b]))
+    return found
+
+
+def _left_over(groups: DataFrame, parts: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, found within hubs' groups (hub, node)."""
+    members = groups.unionByName(groups.select("hub", F.col("hub").alias("node")).distinct())
+    members = members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     mixed = (
-        members.groupBy("band", "key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-        .filter("lo <> hi")
-        .select("band", "key", "size")
-    )
-    hub_part = hubs.join(parts.withColumnRenamed("node", "hub"), "hub").select(
-        "band", "key", F.col("part").alias("hub_part")
+        members.groupBy("hub")
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min("part").alias("lo"),
+            F.max("part").alias("hi"),
+            F.max(F.when(F.col("node") == F.col("hub"), F.col("part"))).alias("hub_part"),
+        )
+        .filter("size > 2 AND lo <> hi")
+        .select("hub", "size", "hub_part")
     )
-    rows = (
-        members.join(mixed.join(hub_part, ["band", "key"]), ["band", "key"])
-        .join(nodes.select("node", "n", "regs"), "node")
-        .withColumn("out", F.col("part") != F.col("hub_part"))
+    rows = written(
+        members.join(mixed, "hub").withColumn("out", F.col("part") != F.col("hub_part")), "mixed"
     )
+    if rows.isEmpty():
+        return groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).limit(0)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
-    kept = ["band", "key", "node", "part", "n", "regs"]
     # A member stands in one column of blocks; one outside the hub's component also runs along
-    # a row of them. Rows of blocks that have no such member need no copies.
-    asking = rows.filter("out").select(
-        *kept, mine.alias("ask"), F.explode(every).alias("col"), F.lit(True).alias("asks")
+    # a row of them. Members go only to rows of blocks that somebody runs along.
+    asking = rows.filter("out").select("hub", "node", "part", "size", mine.alias("ask"))
+    in_use = asking.groupBy("hub").agg(F.collect_set("ask").alias("rows_in_use"))
+    asking = asking.select(
+        "hub", "node", "part", "ask", F.explode(every).alias("col"), F.lit(True).alias("asks")
     )
-    rows_in_use = asking.select("band", "key", "ask").distinct()
-    asked = (
-        rows.select(*kept, mine.alias("col"))
-        .join(rows_in_use, ["band", "key"])
-        .select(*kept, "ask", "col", F.lit(False).alias("asks"))
+    asked = rows.join(in_use, "hub").select(
+        "hub",
+        "node",
+        "part",
+        F.explode("rows_in_use").alias("ask"),
+        mine.alias("col"),
+        F.lit(False).alias("asks"),
     )
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        one, all_ = block[block["asks"]], block[~block["asks"]]
-        found = []
-        if len(one) and len(all_):
-            regs = np.frombuffer(b"".join(all_["regs"]), np.uint16).reshape(len(all_), BUCKETS)
-            sizes, part = all_["n"].to_numpy(), all_["part"].to_numpy()
-            ids = all_["node"].to_numpy()
-            for node, n, r, own in zip(one["node"], one["n"], one["regs"], one["part"], strict=True):
-                mine_ = np.frombuffer(r, np.uint16)[None, :]
-                near = in_reach(mine_, regs, np.full(len(sizes), n), sizes, percent)
-                near &= part != own
-                found += [(min(node, other), max(node, other)) for other in ids[near]]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return (
-        asking.unionByName(asked)
-        .groupBy("band", "key", "ask", "col")
-        .applyInPandas(compare, "a binary, b binary")
-        .distinct()
+    key = ["hub", "ask", "col"]
+    dealt = (
+        asking.select(*key, "node", "part", "asks")
+        .unionByName(asked.select(*key, "node", "part", "asks"))
+        .join(full, "node")
+        .select(*key, "part", "asks", "items")
+        .repartition(*key)
+        .sortWithinPartitions(*key)
     )
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(block: list[pa.Table]) -> pa.RecordBatch:
+            found = _joins(pa.concat_tables(block), percent)
+            columns = [pa.array([f[n] for f in found], pa.binary()) for n in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        held: list[pa.Table] = []
+        name = None
+        for batch in batches:
+            rows_ = pa.Table.from_batches([batch])
+            names = list(zip(*[batch.column(k).to_pylist() for k in key], strict=True))
+            begin = 0
+            for at in range(1, len(names) + 1):
+                if at < len(names) and names[at] == names[begin]:
+                    continue
+                if held and name != names[begin]:
+                    yield links(held)
+                    held = []
+                name = names[begin]
+                held.append(rows_.slice(begin, at - begin))
+                begin = at
+        if held:
+            yield links(held)
+
+    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): its key columns, ``doc_id``, ``n_shingles``,
@@ -315,8 +391,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             F.first("n_shingles").alias("n"),
             F.first("regs").alias("regs"),
             F.first("bands").alias("bands"),
-        )
-        .select("node", "holder.__id", "holder.__text", "n", "regs", "bands"),
+        ),
         "classes",
     )
     banded = nodes.select(
@@ -328,35 +403,44 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         .filter("size > 1")
         .select("band", "key", "hub")
     )
-    crowded = written(banded.join(hubs, ["band", "key"]), "buckets")
-    to_hub = crowded.filter("node <> hub").select(
-        F.col("hub").alias("a"), F.col("node").alias("b")
+    groups = written(
+        banded.join(hubs, ["band", "key"]).filter("node <> hub").select("hub", "node").distinct(),
+        "groups",
     )
-    tried = written(_near(to_hub.distinct(), nodes, percent), "hub-pairs")
-    links = written(_verified(tried, docs, nodes, shingle, percent), "hub-links")
-    parts = connected(crowded.select("node").distinct(), links)
-    rest = _left_over(
-        crowded.select("node", "band", "key"),
-        crowded.select("band", "key", "hub").distinct(),
-        parts,
-        nodes,
-        percent,
-    ).join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "other-pairs")
-    if not rest.isEmpty():
-        more = written(_verified(rest, docs, nodes, shingle, percent), "other-links")
-        parts = connected(crowded.select("node").distinct(), links.unionByName(more))
-    keyed = signed.select("__id", "__text", "doc_id", "n_shingles", "node").join(
-        parts, "node", "left"
+    crowded = groups.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
+    holders = nodes.join(crowded, "node").select("node", "holder.__id", "holder.__text")
+    texts = (
+        docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id"))
+        .withColumns(row_key())
+        .join(holders, ["__id", "__text"])
+        .dropDuplicates(["__id", "__text"])
     )
-    keyed = keyed.withColumn("part", F.coalesce("part", "node"))
-    least = (
-        keyed.filter("part is not null")
-        .groupBy("part")
-        .agg(F.min(F.struct("__id", "__text")).alias("least"))
+    full = written(sets_of(texts, shingle), "sets")
+    links = written(_verified(_near(groups, nodes, percent), full, percent), "hub-links")
+    parts = written(connected(links), "components")
+    more = written(_left_over(groups, parts, full, percent), "other-links")
+    if not more.isEmpty():
+        # These links are between components.
+        then = connected(more)
+        every = parts.unionByName(
+            then.select("node", F.col("node").alias("part")).join(parts, "node", "left_anti")
+        )
+        then = then.select(F.col("node").alias("part"), F.col("part").alias("then"))
+        parts = every.join(then, "part", "left").select(
+            "node", F.coalesce("then", "part").alias("part")
+        )
+        parts = written(parts, "components")
+    placed = nodes.select("node", "holder").join(parts, "node")
+    least = placed.groupBy("part").agg(F.min("holder").alias("least"))
+    least = placed.join(least, "part").select("node", "least")
+    heads = (
+        nodes.select("node", "holder")
+        .join(least, "node", "left")
+        .select("node", F.coalesce("least", "holder").alias("least"))
     )
     alone = F.struct("__id", "__text")
-    out = keyed.join(least, "part", "left").withColumn("least", F.coalesce("least", alone))
+    out = signed.select("__id", "__text", "doc_id", "n_shingles", "node").join(heads, "node", "left")
+    out = out.withColumn("least", F.coalesce("least", alone))
     return out.select(
         "__id",
         "__text",

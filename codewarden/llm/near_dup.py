@@ -46,7 +46,7 @@ VALUE_BITS = 53
 #: Standard deviations by which an estimate may fall short before the full sets are compared.
 SLACK = 5.0
 #: Members of a group that one side of a block of the last comparison holds.
-BLOCK = 256
+BLOCK = 512
 #: Shared shingles that are counted at once within a block.
 COLUMNS = 2048
 

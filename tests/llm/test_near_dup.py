@@ -44,7 +44,7 @@ def near_copies():
     return rows + [(900, rows[0][1]), (901, rows[0][1].upper())]
 
 
-@pytest.mark.parametrize("block", [2, 256])
+@pytest.mark.parametrize("block", [2, 512])
 def test_components_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)  # a block of two makes every bucket split
     rows = near_copies() + [(950 + n, words(50 + n, 3 + n % 4, 5)) for n in range(12)]

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 # What counts as white space, a word, a line mark and a flaw separator.
 WHITESPACE = r"[\s\u000b\u001c-\u001f\u0085\p{Z}]+"
-WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+#: Letters, letter numbers, marks, decimal digits, connectors, joiners, and enclosed letters.
+WORD_CHARS = (
+    r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"
+    r"\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+)
+WORD = rf"[{WORD_CHARS}]+|[^{WORD_CHARS}\s\x{{0B}}\x{{85}}\p{{Z}}]+"
 SPACE_MARK = "Ġ"
 TAB_MARK = "ĉ"
 LINE_MARK = "Ċ"
-LINE_SEPARATORS = [LINE_MARK, " " + LINE_MARK, LINE_MARK * 2, " " + LINE_MARK * 2]
+LINE_SEPARATORS = ["Ċ", " Ċ", "ĊĊ", " ĊĊ"]
 FLAW_SEPARATOR = "/~/"
 SPECIAL_TOKENS = ["<s>", "</s>", "<unk>", "<pad>"]
 
@@ -37,10 +42,10 @@ def count_lines(code: Column) -> Column:
 
 def parse_flaw_lines(flaws: Column) -> Column:
     """Array of trimmed flaw lines from their joined form; null gives no lines."""
-    bare = F.regexp_replace(flaws, "^[/~]+|[/~]+$", "")
+    bare = F.regexp_replace(flaws, r"^[/~]+|[/~]+\z", "")
     lines = F.transform(
         F.split(bare, FLAW_SEPARATOR),
-        lambda line: F.regexp_replace(line, f"^{WHITESPACE}|{WHITESPACE}$", ""),
+        lambda line: F.regexp_replace(line, rf"^{WHITESPACE}|{WHITESPACE}\z", ""),
     )
     return F.coalesce(lines, F.array().cast("array<string>"))
 
@@ -64,8 +69,12 @@ def encode_flaw_line(line: Column) -> Column:
     return F.transform(kept, lambda t: F.replace(t, F.lit(SPACE_MARK), F.lit("")))
 
 
+# The words of a prompt.
+QUESTION, ANSWER = "Question: ", "\n\nAnswer: "
+
+
 def make_prompt(code: Column) -> Column:
-    return F.concat(F.lit("Question: "), normalize_whitespace(code), F.lit("\n\nAnswer: "))
+    return F.concat(F.lit(QUESTION), normalize_whitespace(code), F.lit(ANSWER))
 
 
 def escape_braces(code: Column) -> Column:

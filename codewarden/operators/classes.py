@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.operators.clean import status_as_class
-from codewarden.operators.ordered import global_rank
+from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank
 from codewarden.support import small_side
 
 # Fixed value: the order in which the splits are read when class ids are given out.
@@ -40,30 +40,30 @@ def _in_all(stats_row: Sequence[Column]) -> Column:
     return (stats_row[0] > 0) & (stats_row[1] > 0) & (stats_row[2] > 0)
 
 
-def class_index(stats: DataFrame) -> DataFrame:
-    """Class ids by first appearance.
-
-    The classes are numbered as a whole only after a check that they are few.
-    """
+def class_index(stats: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Class ids by first appearance, numbered in ranges where there are many classes."""
     seen = stats.select("class", "first_seen.split_rank", "first_seen.at")
-    order = ["split_rank", "at"]
-    few = small_side(seen)
-    if few is seen:
-        ranked = global_rank(seen, order, "class_id")
-        return ranked.select("class", (F.col("class_id") - 1).cast("int").alias("class_id"))
-    number = F.row_number().over(W.orderBy(*order))
-    return few.select("class", (number - 1).alias("class_id"))
+    ranked = global_rank(seen, ["split_rank", "at"], "class_id", rows_per_range)
+    return ranked.select("class", (F.col("class_id") - 1).cast("int").alias("class_id"))
 
 
 def classes_of(classed: DataFrame, split: str) -> DataFrame:
     return classed.filter(F.col("split") == split).select("class").distinct()
 
 
+def _seen_in(classed: DataFrame) -> DataFrame:
+    """(class, train, test, valid): whether each split has the class, from one scan."""
+    return classed.groupBy("class").agg(
+        *[F.bool_or(F.col("split") == s).alias(s) for s in SPLIT_ORDER]
+    )
+
+
+def _all_splits() -> Column:
+    return F.col("train") & F.col("test") & F.col("valid")
+
+
 def common_classes(classed: DataFrame) -> DataFrame:
-    first, *others = [classes_of(classed, s) for s in SPLIT_ORDER]
-    for other in others:
-        first = first.intersect(other)
-    return first
+    return _seen_in(classed).filter(_all_splits()).select("class")
 
 
 def all_classes(classed: DataFrame) -> DataFrame:
@@ -71,7 +71,8 @@ def all_classes(classed: DataFrame) -> DataFrame:
 
 
 def incomplete_classes(classed: DataFrame) -> DataFrame:
-    return all_classes(classed).subtract(common_classes(classed))
+    seen = F.col("train") | F.col("test") | F.col("valid")
+    return _seen_in(classed).filter(seen & ~_all_splits()).select("class")
 
 
 def rare_classes(classed: DataFrame, min_count: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.functions import encoding, text
@@ -99,12 +100,19 @@ def has_unchanged(df: DataFrame) -> DataFrame:
 
 
 def align_predictions(examples: DataFrame, preds: DataFrame, key: str = "idx") -> DataFrame:
-    """Join examples and predictions by key; a row without its partner stops the job."""
-    both = examples.withColumn("__left", F.lit(True)).join(
-        preds.withColumn("__right", F.lit(True)), key, "full_outer"
+    """Join examples and predictions by key; a row without its partner, or with several, stops
+    the job. Rows are counted per key by the shuffle that the join needs anyway."""
+    times = F.count(F.lit(1)).over(W.partitionBy(key))
+    both = examples.withColumn("__left", times).join(
+        preds.withColumn("__right", times), key, "full_outer"
+    )
+    matched = (F.col("__left") == 1) & (F.col("__right") == 1)
+    missing = F.col("__left").isNull() | F.col("__right").isNull()
+    problem = F.concat(
+        F.when(missing, "no partner").otherwise("several rows"),
+        F.lit(f" for {key} "),
+        F.coalesce(F.col(key).cast("string"), F.lit("null")),
     )
-    matched = F.col("__left").isNotNull() & F.col("__right").isNotNull()
-    problem = F.concat(F.lit(f"no partner for {key} "), F.col(key).cast("string"))
     return both.filter(F.when(matched, True).otherwise(F.raise_error(problem))).drop(
         "__left", "__right"
     )

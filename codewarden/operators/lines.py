@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.functions import text
 from codewarden.functions.binding import bind, emit
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals
-from codewarden.support import truncated
+from codewarden.support import checked_score, truncated
 
 
 # --- token scores -------------------------------------------------------------------------
@@ -35,9 +36,9 @@ def attribution_token_score(attributions: DataFrame) -> DataFrame:
         "pos",
         F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double")).alias("total"),
     )
-    norms = summed.groupBy("func_id").agg(F.sqrt(F.sum(F.col("total") ** 2)).alias("norm"))
-    return summed.join(norms, "func_id").select(
-        "func_id", "pos", (F.col("total") / F.nullif(F.col("norm"), F.lit(0.0))).alias("score")
+    norm = F.sqrt(F.sum(F.col("total") ** 2).over(W.partitionBy("func_id")))
+    return summed.select(
+        "func_id", "pos", (F.col("total") / F.nullif(norm, F.lit(0.0))).alias("score")
     )
 
 
@@ -46,16 +47,17 @@ def clean_special_scores(token_scores: DataFrame, padding: bool = True) -> DataF
 
     With padding, the last token is the last whose score is not 0.
     """
+    function = W.partitionBy("func_id")
     last = F.max(F.when(F.col("score") != 0, F.col("pos"))) if padding else F.max("pos")
-    edges = token_scores.groupBy("func_id").agg(F.min("pos").alias("__first"), last.alias("__last"))
+    edges = token_scores.withColumns(
+        {"__first": F.min("pos").over(function), "__last": last.over(function)}
+    )
     at_edge = (F.col("pos") == F.col("__first")) | F.coalesce(
         F.col("pos") == F.col("__last"), F.lit(False)
     )
-    return (
-        token_scores.join(edges, "func_id")
-        .withColumn("score", F.when(at_edge, 0.0).otherwise(F.col("score")))
-        .drop("__first", "__last")
-    )
+    return edges.withColumn(
+        "score", F.when(at_edge, 0.0).otherwise(F.col("score"))
+    ).drop("__first", "__last")
 
 
 def clean_special_array(scores: Column, padding: bool = True) -> Column:
@@ -347,18 +349,36 @@ def rank_lines(
 ) -> DataFrame:
     """All functions' lines in one order by score, numbered from 1; ties by function and line."""
     sign = 1.0 if ascending else -1.0
-    keyed = lines.withColumn("__key", F.col("score") * sign)
+    keyed = lines.withColumn("__key", checked_score(F.col("score")) * sign)
     order = ["__key", "func_id", "line_idx"]
     return global_rank(keyed, order, "rank", rows_per_range).drop("__key")
 
 
-def top_lines(ranked: DataFrame, total: int | None = None, fraction: float | None = None,
-              k: int | None = None) -> DataFrame:
-    """Rows among the first k, or among the given fraction of all ranked rows."""
+def top_lines(
+    lines: DataFrame,
+    fraction: float | None = None,
+    k: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """The first k lines by falling score, or the given fraction of all of them, with their rank.
+
+    The first k are a limit, numbered afterwards; a fraction takes its total from the ranking.
+    """
+    keyed = lines.withColumn("__key", -checked_score(F.col("score")))
+    order = ["__key", "func_id", "line_idx"]
     if k is not None:
-        return ranked.filter(F.col("rank") <= k)
-    size = ranked.agg(F.count(F.lit(1)).alias("n")).scalar() if total is None else F.lit(total)
-    return ranked.filter(F.col("rank") <= truncated(size * float(fraction)))
+        first = keyed.orderBy(*order).limit(k)
+        rank = F.row_number().over(W.orderBy(*order)).cast("long")
+        return first.withColumn("rank", rank).drop("__key")
+    ranked = running_totals(
+        keyed,
+        order,
+        {"rank": F.lit(1).cast("long")},
+        grand={"rank": "__lines"},
+        rows_per_range=rows_per_range,
+    )
+    wanted = truncated(F.col("__lines") * float(fraction))
+    return ranked.filter(F.col("rank") <= wanted).drop("__key", "__lines")
 
 
 def topk_effort(
@@ -369,7 +389,7 @@ def topk_effort(
     The count of flaws is compared after each row and for equality: a target of 0 is met by a
     clean first row only. A target that is never met costs all rows.
     """
-    keyed = lines.withColumn("__key", -F.col("score"))
+    keyed = lines.withColumn("__key", -checked_score(F.col("score")))
     walked = running_totals(
         keyed,
         ["__key", "func_id", "line_idx"],
@@ -396,7 +416,7 @@ def topk_recall(
     lines = positives.withColumn("__phase", F.lit(0)).unionByName(
         negatives.withColumn("__phase", F.lit(1))
     )
-    keyed = lines.withColumn("__key", -F.col("score"))
+    keyed = lines.withColumn("__key", -checked_score(F.col("score")))
     walked = running_totals(
         keyed,
         ["__phase", "__key", "func_id", "line_idx"],
@@ -411,7 +431,7 @@ def topk_recall(
 
 
 def _walk_functions(results: DataFrame, rows_per_range: int) -> DataFrame:
-    keyed = results.withColumn("__key", -F.col("prob"))
+    keyed = results.withColumn("__key", -checked_score(F.col("prob"), "prob"))
     predicted = F.when(F.col("pred") == 1, F.col("num_flaw_lines")).otherwise(0)
     walked = running_totals(
         keyed.withColumn("__all_flaws", F.col("num_flaw_lines")),

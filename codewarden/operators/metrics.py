@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.operators import curves
-from codewarden.operators.ordered import global_rank, running_totals
-from codewarden.support import ratio
+from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals
+from codewarden.support import checked_score, ratio
 
 
 def threshold_predict(preds: DataFrame, threshold: float = 0.5, prob: str = "prob") -> DataFrame:
-    """Add ``pred``: 1 where the probability is strictly above the threshold."""
-    return preds.withColumn("pred", (F.col(prob) > threshold).cast("int"))
+    """Add ``pred``: 1 where the probability is strictly above the threshold. A missing or NaN
+    probability stops the job."""
+    return preds.withColumn("pred", (checked_score(F.col(prob), prob) > threshold).cast("int"))
 
 
 def binary_counts(label: Column, positive: Column) -> dict[str, Column]:
@@ -340,8 +341,10 @@ def best_run(
 ) -> DataFrame:
     """Best epoch of each run; the first wins ties, as only a strict improvement counts.
 
-    ``log`` holds (run, epoch, value). ``floor`` is a start value that has to be beaten.
+    ``log`` holds (run, epoch, value). ``floor`` is a start value that has to be beaten. An epoch
+    without a value, or with NaN, is never best; a run of such epochs only has no best one.
     """
+    log = log.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
     value = F.col("value") if higher_is_better else -F.col("value")
     if floor is not None:
         log = log.filter(value > (floor if higher_is_better else -floor))
@@ -360,6 +363,7 @@ def running_report(
     label: str = "label",
     pred: str = "pred",
     skipped: str | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Quality over all rows so far, at every ``every``-th input row, in the order of ``order``.
 
@@ -368,7 +372,10 @@ def running_report(
     skip = F.lit(False) if skipped is None else F.col(skipped)
     cells = binary_counts(F.col(label), F.col(pred) == 1)
     ranked = global_rank(
-        preds.select(order, F.col(label), F.col(pred), skip.alias("__skip")), [order], "__at"
+        preds.select(order, F.col(label), F.col(pred), skip.alias("__skip")),
+        [order],
+        "__at",
+        rows_per_range,
     )
     steps = (
         ranked.withColumn("step", F.floor((F.col("__at") - 1) / every).cast("long"))
@@ -388,7 +395,9 @@ def running_report(
         )
     )
     names = ("n", "skips", *cells)
-    summed = running_totals(steps, ["step"], {f"all_{c}": F.col(c) for c in names})
+    summed = running_totals(
+        steps, ["step"], {f"all_{c}": F.col(c) for c in names}, rows_per_range=rows_per_range
+    )
     s = scores_from_counts(*[F.col(f"all_{c}") for c in ("tn", "fp", "fn", "tp")])
     return summed.filter(F.col("n") == every).select(
         F.col("all_n").alias("rows_read"),
@@ -408,7 +417,9 @@ def eval_loss(losses: DataFrame, batch_size: int, order: str = "idx", loss: str
     """Mean of the batch means, batches being runs of ``batch_size`` rows in order."""
     batch = F.floor((F.col("__at") - 1) / batch_size)
     return (
-        global_rank(losses.select(order, loss), [order], "__at")
+        global_rank(
+            losses.select(order, checked_score(F.col(loss), loss).alias(loss)), [order], "__at"
+        )
         .groupBy(batch.alias("batch"))
         .agg(F.avg(loss).alias("batch_loss"))
         .agg(F.avg("batch_loss").alias("eval_loss"))

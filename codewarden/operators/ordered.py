@@ -16,22 +16,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Rows one task may sort for a running total, and the most ranges that are cut per column.
+# Rows one task may sort for a running total.
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
+# Finest resolution of the quantiles. Beyond an eighth as many ranges their sizes vary more.
+FINEST = 100_000
 # Whole numbers up to this size are exact as doubles, so equality on a cut is reliable.
 EXACT_DOUBLE = 2**53
-
-
-def _cuts(df: DataFrame, column: str, rows_per_range: int) -> list[float]:
+# A string is cut by this many numbers of six bytes each; longer equal heads share a range.
+HEADS = 3
+
+
+def checked_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` with order columns that stop the job at a missing or NaN value, whatever the size."""
+    kinds = dict(df.dtypes)
+    checks = {}
+    for name in order:
+        value = F.col(name)
+        wrong = value.isNull()
+        if kinds[name] in ("double", "float"):
+            wrong = wrong | F.isnan(value)
+        checks[name] = F.when(
+            wrong, F.raise_error(F.lit(f"{name} is null or NaN"))
+        ).otherwise(value)
+    return df.withColumns(checks)
+
+
+def _numbers(df: DataFrame, name: str) -> tuple[list[Column], bool]:
+    """Numbers that order rows as column ``name`` does, and whether equal numbers mean equal
+    values, so that the next order column may go on."""
+    kind, value = dict(df.dtypes)[name], F.col(name)
+    if kind == "string":
+        raw = F.encode(value, "UTF-8")
+        heads = [
+            F.conv(F.rpad(F.hex(F.substring(raw, 6 * i + 1, 6)), 12, "0"), 16, 10).cast("double")
+            for i in range(HEADS)
+        ]
+        return heads, False
+    if kind == "date":
+        return [F.unix_date(value).cast("double")], True
+    if kind == "timestamp":
+        return [F.unix_micros(value).cast("double")], True
+    if kind == "boolean" or kind.startswith("decimal"):
+        return [value.cast("double")], kind == "boolean"
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return [value.cast("double")], True
+    raise TypeError(f"can't order by {name}: {kind}")
+
+
+def _cuts(df: DataFrame, rows_per_range: int) -> list[float]:
     """Boundaries that leave about ``rows_per_range`` rows between neighbours; a value that
     fills several ranges comes back several times."""
-    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
+    ranges = math.ceil(df.count() / rows_per_range)
     if ranges <= 1:
         return []
     grid = [i / ranges for i in range(1, ranges)]
-    value = F.col(column).cast("double")
-    return df.agg(F.percentile_approx(value, grid, 8 * ranges)).first()[0]
+    return df.agg(F.percentile_approx("__value", grid, min(8 * ranges, FINEST))).first()[0]
 
 
 def with_ranges(
@@ -39,16 +78,26 @@ def with_ranges(
 ) -> tuple[DataFrame, list[str]]:
     """Add range columns whose lexicographic order agrees with the order of ``order``.
 
-    ``order`` names numeric columns, sorted ascending. A value that fills several ranges alone
-    gets a range of its own, which the next order column splits further, so ties do not pile up
-    in one task. The cuts are literals of the plan: a recomputed task lands in the same ranges.
-    No range columns are added when the data fits one range.
+    ``order`` names columns of numbers, strings, dates, times or booleans, sorted ascending; a
+    missing or NaN value stops the job, and another type is refused, whatever the size. A value
+    that fills several ranges alone gets a range of its own, which the next order column splits
+    further, so ties do not pile up in one task. The cuts are literals of the plan: a recomputed
+    task lands in the same ranges. No range columns are added when the data fits one range.
     """
+    df = checked_order(df, order)
+    levels: list[Column] = []
+    for name in order:
+        numbers, whole = _numbers(df, name)
+        levels += numbers
+        if not whole:
+            for other in order:
+                _numbers(df, other)  # refuses types alike for any size
+            break
     cells: list[str] = []
     tied: Column | None = None
-    for depth, name in enumerate(order):
+    for depth, number_of in enumerate(levels):
         scope = df if tied is None else df.filter(tied)
-        cuts = _cuts(scope.select(name), name, rows_per_range)
+        cuts = _cuts(scope.select(number_of.alias("__value")), rows_per_range)
         if not cuts:
             break
         heavy = [c for c, times in Counter(cuts).items() if times >= 3 and abs(c) < EXACT_DOUBLE]
@@ -56,7 +105,7 @@ def with_ranges(
         cell, value = f"__range{depth}", f"__value{depth}"
         df = Bucketizer(
             splits=[-math.inf, *splits, math.inf], inputCol=value, outputCol=cell
-        ).transform(df.withColumn(value, F.col(name).cast("double")))
+        ).transform(df.withColumn(value, number_of))
         number = F.col(cell).cast("int")
         if tied is not None:
             number = F.when(tied, number).otherwise(0)
@@ -64,7 +113,7 @@ def with_ranges(
         cells.append(cell)
         if not heavy:
             break
-        here = F.col(name).cast("double").isin(heavy)
+        here = number_of.isin(heavy)
         tied = here if tied is None else tied & here
     return df, cells
 
@@ -90,6 +139,8 @@ def running_totals(
     grand = dict(grand or {})
     if cells is None:
         df, cells = with_ranges(df, order, rows_per_range)
+    else:
+        df = checked_order(df, order)
     names = list(totals)
     hidden = {name: f"__sum_{name}" for name in names}
     kept = [c for c in df.columns if c not in cells] + names + list(grand.values())
@@ -151,6 +202,7 @@ def rank_within(
     Groups that fit a task are ranked by a plain window. Only if a count finds larger ones are
     those cut in ranges; they are at most rows / rows_per_group many.
     """
+    df = checked_order(df, order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     if sizes.filter(F.col("__n") > rows_per_group).isEmpty():
         along = W.partitionBy(*keys).orderBy(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals, with_ranges
-from codewarden.support import small_side
+from codewarden.support import materialize
 
 # Fixed values of the hash that stands for a random permutation.
 HASH_FACTOR = 2654435761
@@ -31,10 +31,12 @@ def shuffle_key(idx: Column, seed: Column | int = 0) -> Column:
     return F.pmod(mixed * F.lit(MIX_FACTOR), F.lit(HASH_RANGE))
 
 
-def seeded_shuffle(df: DataFrame, seed: int = 0, key: str = "idx") -> DataFrame:
+def seeded_shuffle(
+    df: DataFrame, seed: int = 0, key: str = "idx", rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """Add ``shuffle_key`` and the row's ``position`` in the shuffled order, from 0."""
     keyed = df.withColumn("shuffle_key", shuffle_key(F.col(key), seed))
-    ranked = global_rank(keyed, ["shuffle_key", key], "position")
+    ranked = global_rank(keyed, ["shuffle_key", key], "position", rows_per_range)
     return ranked.withColumn("position", F.col("position") - 1)
 
 
@@ -70,19 +72,17 @@ def balanced_sample(
     sizes = sorted((row[label], row["__size"]) for row in counts.collect())
     total = n if n is not None else sum(size for _, size in sizes)
     draw = F.col("id")
-    pick = F.pmod(F.xxhash64(draw, F.lit(seed)), F.lit(len(sizes)))
+    pick = F.pmod(shuffle_key(draw, 2 * seed), F.lit(len(sizes)))
     labels = F.array(*[F.lit(value) for value, _ in sizes])
     limits = F.array(*[F.lit(size).cast("long") for _, size in sizes])
+    number = F.pmod(shuffle_key(draw, 2 * seed + 1), F.get(limits, F.col("__pick"))) + 1
     draws = (
         df.sparkSession.range(total)
         .withColumn("__pick", pick.cast("int"))
         .select(
             draw.alias("draw"),
             F.get(labels, F.col("__pick")).alias(label),
-            (
-                F.pmod(F.xxhash64(F.lit(seed), draw, F.lit("row")), F.get(limits, F.col("__pick")))
-                + 1
-            ).alias("__number"),
+            number.alias("__number"),
         )
     )
     return draws.join(numbered, [label, "__number"]).drop("__number")
@@ -96,28 +96,44 @@ def weighted_sample(
     key: str = "idx",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Draw ``n`` rows with replacement by arbitrary weights.
+    """Draw ``n`` rows with replacement by whole-number weights.
 
-    Running weights place each row at a start on the unit line; a draw is a point and takes the
-    last row that starts at or before it. Starts and points are walked together in one order, so
-    each draw learns the number of its row, and an equi-join on that number fetches it.
+    Running weights place each row at a start; a draw is a point below the sum of all weights and
+    takes the row whose weight it falls in. Starts and points are walked together in one order, so
+    each draw learns the number of its row, and an equi-join on that number fetches it. Sums of
+    whole numbers are the same in any order, and the walk is written once, so numbers agree.
+    Fractional weights are scaled first; a row without weight, or with 0, is never drawn.
     """
-    placed = running_totals(
-        df.filter(F.col(weight) > 0),
-        [key],
-        {"__upto": F.col(weight).cast("double")},
-        grand={"__upto": "__all"},
-        rows_per_range=rows_per_range,
+    weighted = df.withColumn("__weight", F.col(weight).cast("long")).filter("__weight > 0")
+    placed = materialize(
+        running_totals(
+            weighted.select(key, "__weight"),
+            [key],
+            {"__upto": F.col("__weight")},
+            rows_per_range=rows_per_range,
+        ),
+        "weights",
+    )
+    whole = placed.agg(F.max("__upto")).first()[0]
+    if whole is None:
+        return df.limit(0).select(F.lit(0).cast("long").alias("draw"), "*")
+    # 60 bits of two keys of the draw, so that any sum of weights is covered.
+    high, low = shuffle_key(F.col("id"), 2 * seed), shuffle_key(F.col("id"), 2 * seed + 1)
+    point = F.pmod(high * F.lit(2**28) + F.shiftright(low, 4), F.lit(whole))
+    starts = placed.select(
+        (F.col("__upto") - F.col("__weight")).alias("at"),
+        F.lit(0).alias("kind"),
+        F.col(key).alias("id"),
     )
-    start = (F.col("__upto") - F.col(weight)) / F.col("__all")
-    point = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(2**52)) / float(2**52)
-    starts = placed.select(start.alias("at"), F.lit(0).alias("kind"), F.col(key).alias("id"))
     points = df.sparkSession.range(n).select(point.alias("at"), F.lit(1).alias("kind"), "id")
-    walked = running_totals(
-        starts.union(points),
-        ["at", "kind", "id"],
-        {"__number": (F.col("kind") == 0).cast("long")},
-        rows_per_range=rows_per_range,
+    walked = materialize(
+        running_totals(
+            starts.union(points),
+            ["at", "kind", "id"],
+            {"__number": (F.col("kind") == 0).cast("long")},
+            rows_per_range=rows_per_range,
+        ),
+        "draws",
     )
     numbers = walked.filter("kind = 0").select(F.col("id").alias(key), "__number")
     draws = walked.filter("kind = 1").select(F.col("id").alias("draw"), "__number")

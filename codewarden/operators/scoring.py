@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codewarden.functions import text
 from codewarden.operators import curves
 from codewarden.operators.metrics import best_run
+from codewarden.support import materialize
 
 Scorer = Callable[[pd.DataFrame], Sequence[float]]
 
@@ -26,8 +27,9 @@ def score_with(
 ) -> DataFrame:
     """Score rows in Arrow batches: the kept columns, ``prob`` and ``error``.
 
-    ``load`` runs once a task and returns the scorer. A batch that fails is halved until the rows
-    that fail by themselves are found; only they end up with an error and no probability.
+    ``load`` runs once a task and returns the scorer. A batch that fails, or gives another number of
+    scores than it has rows, is halved until the rows that fail by themselves are found; only
+    they end up with an error and no probability. A NaN score is an error of its row.
     """
     columns = list(dict.fromkeys([*keep, *inputs]))
     narrow = df.select(*columns)
@@ -37,7 +39,10 @@ def score_with(
 
         def scored(rows: pd.DataFrame) -> list[tuple[float | None, str | None]]:
             try:
-                return [(float(p), None) for p in scorer(rows)]
+                found = [float(p) for p in scorer(rows)]
+                if len(found) != len(rows):
+                    raise ValueError(f"{len(found)} scores for {len(rows)} rows")
+                return [(None, "score is NaN") if p != p else (p, None) for p in found]
             except Exception as failure:
                 if len(rows) == 1:
                     return [(None, str(failure) or type(failure).__name__)]
@@ -81,38 +86,37 @@ def train_baseline(
     hashed = HashingTF(numFeatures=features, inputCol="__words", outputCol="features").transform(
         words
     )
+    # Words and hashes once; every fit and every measure reads the written features.
+    kept = ["split", label, "features", *([weight] if weight else [])]
+    hashed = materialize(hashed.select(*kept), "features")
     train = hashed.filter(F.col("split") == "train")
-    measured = None
+
+    def auc_on(model, split: str) -> float | None:
+        preds = model.transform(hashed.filter(F.col("split") == split)).withColumn(
+            "prob", vector_to_array("probability")[1]
+        )
+        return curves.roc_auc(curves.score_table(preds, label, "prob")).first()[0]
+
+    rows, models = [], {}
     for epoch, reg in enumerate(regularisation, 1):
-        model = LogisticRegression(
+        models[epoch] = LogisticRegression(
             labelCol=label,
             regParam=reg,
             maxIter=max_iter,
             **({"weightCol": weight} if weight else {}),
         ).fit(train)
-        preds = (
-            model.transform(hashed.filter(F.col("split") != "train"))
-            .withColumn("prob", vector_to_array("probability")[1])
-            .select("split", label, "prob")
-        )
-        table = curves.score_table(preds, label, "prob", keys=["split"])
-        auc = curves.roc_auc(table, ["split"]).agg(
-            F.max(F.when(F.col("split") == "valid", F.col("roc_auc"))).alias("valid_auc"),
-            F.max(F.when(F.col("split") == "test", F.col("roc_auc"))).alias("test_auc"),
-        )
-        row = auc.select(
-            F.lit("baseline").alias("run"),
-            F.lit(epoch).alias("epoch"),
-            F.lit(float(reg)).alias("reg"),
-            "valid_auc",
-            "test_auc",
-        )
-        measured = row if measured is None else measured.unionByName(row)
-    # A row per setting: materialised so that choosing does not score everything again.
-    settings = functions.sparkSession.createDataFrame(measured.collect(), measured.schema)
-    best = best_run(settings.select("run", "epoch", F.col("valid_auc").alias("value")))
-    chosen = best.select("run", "epoch", F.lit(True).alias("chosen"))
-    joined = settings.join(chosen, ["run", "epoch"], "left")
-    return joined.withColumn("chosen", F.coalesce("chosen", F.lit(False))).withColumn(
-        "test_auc", F.when(F.col("chosen"), F.col("test_auc"))
+        rows.append(("baseline", epoch, float(reg), auc_on(models[epoch], "valid")))
+    # A row per setting.
+    settings = functions.sparkSession.createDataFrame(
+        rows, "run string, epoch int, reg double, valid_auc double"
+    )
+    best = best_run(settings.select("run", "epoch", F.col("valid_auc").alias("value"))).first()
+    chosen = F.col("epoch") == (best["epoch"] if best else -1)
+    # Only the chosen setting is measured on the test split.
+    test_auc = auc_on(models[best["epoch"]], "test") if best else None
+    return settings.withColumns(
+        {
+            "chosen": chosen,
+            "test_auc": F.when(chosen, F.lit(test_auc).cast("double")),
+        }
     )

@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.functions import text
-from codewarden.functions.binding import bind
-from codewarden.support import small_side
+from codewarden.support import BROADCAST_ROWS, materialize, small_rows
 
 # Special tokens in id order, and the vocabulary's size and frequency limits.
 SPECIAL = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
 VOCAB_SIZE = 50_257
 MIN_COUNT = 2
 
-# Slots of the lookup value; a slot holds a dozen words of a full vocabulary.
-SLOTS = 4096
-
-
 # A tokenizer is any column function from text to an array of strings, also a pandas UDF.
 Tokenizer = Callable[[Column], Column]
 
@@ -34,8 +32,9 @@ def train_vocab(
 ) -> DataFrame:
     """(token, id): the special tokens, then the most frequent words; equal counts by word.
 
-    Word counts are combined before the shuffle. Only the words that are kept, fewer than
-    ``size``, are numbered.
+    Word counts are combined before the shuffle. The least count that gets in is read off the
+    number of words per count, so only the words that are kept, fewer than ``size``, and the ties
+    at that count are ordered.
     """
     counts = (
         df.select(F.explode_outer(tokenize(F.col(code))).alias("token"))
@@ -44,33 +43,49 @@ def train_vocab(
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_count)
     )
-    kept = counts.orderBy(F.desc("n"), "token").limit(size - len(SPECIAL))
+    counts = materialize(counts, "word-counts")
+    room = size - len(SPECIAL)
+    # How many words have each count: few rows, which give the least count that still gets in.
+    by_falling = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    last = (
+        steps.withColumn("upto", F.sum("words").over(by_falling))
+        .filter(F.col("upto") > room)
+        .agg(F.max("n").alias("n"), F.max(F.struct("n", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
+        .first()
+    )
+    if last["n"] is None:
+        kept = counts
+    else:
+        # Whole counts above it; of the words that have it, only as many as there is room for.
+        ties = counts.filter(F.col("n") == last["n"])
+        kept = counts.filter(F.col("n") > last["n"]).unionByName(
+            ties.orderBy("token").limit(room - last["at"]["before"])
+        )
     by_count = W.orderBy(F.desc("n"), "token")
     words = kept.select(
         "token", (F.row_number().over(by_count) + (len(SPECIAL) - 1)).alias("id")
     )
-    special = df.sparkSession.createDataFrame(list(zip(SPECIAL, range(len(SPECIAL)))), "token string, id int")
+    special = df.sparkSession.createDataFrame(
+        list(zip(SPECIAL, range(len(SPECIAL)))), "token string, id int"
+    )
     return special.union(words)
 
 
-def _slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
+def _lookup_in_batches(names: pa.Array, ids: np.ndarray, unknown: int) -> Callable[[Column], Column]:
+    """A column function from arrays of tokens to arrays of ids, one hash lookup for a batch."""
 
+    @F.arrow_udf("array<int>")
+    def look(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        at = pc.index_in(lists.flatten(), value_set=names)
+        found = np.append(ids, unknown)[pc.fill_null(at, len(ids)).to_numpy(zero_copy_only=False)]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(
+            pa.array(ends), pa.array(found.astype(np.int32)), mask=pc.is_null(lists)
+        )
 
-def lookup_value(vocab: DataFrame) -> Column:
-    """The vocabulary as one scalar: an array of small maps, addressed by the word's hash.
-
-    It has at most the entries of the vocabulary, which is bounded when trained, and lets ids be
-    looked up inside an array, without exploding the tokens and gathering them again.
-    """
-    filled = vocab.groupBy(_slot(F.col("token")).alias("slot")).agg(
-        F.collect_list(F.struct("token", "id")).alias("ids")
-    )
-    slots = vocab.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    every = slots.join(filled, "slot", "left").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("slots")
-    )
-    return every.select(F.transform("slots", lambda s: F.map_from_entries(s["ids"])).alias("slots")).scalar()
+    return look
 
 
 def vocab_lookup(
@@ -79,41 +94,42 @@ def vocab_lookup(
     tokens: str = "tokens",
     out: str = "ids",
     unknown: int = 0,
-    key: str = "idx",
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Add the array of ids of an array of tokens; unknown words get the id ``unknown``.
+    """Add the array of ids of an array of tokens; unknown and missing words get the id
+    ``unknown``, a missing array stays missing. A word that is listed twice has its least id.
 
-    A vocabulary that a check finds too large for one value is joined to the exploded tokens
-    instead, which are then gathered again by position; ``key`` must be unique for that.
+    A vocabulary that is seen to be small goes to the executors and is looked up batch by batch; a
+    larger one is joined to the exploded tokens, which are gathered again by row and position.
     """
-    few = small_side(vocab)
-    if few is vocab:
-        return _lookup_by_join(df, vocab, tokens, out, unknown, key)
-    ids = bind(
-        F.col("__slots"),
-        lambda slots: F.transform(
-            F.col(tokens), lambda t: F.coalesce(F.get(slots, _slot(t))[t], F.lit(unknown))
-        ),
-    )
-    return df.withColumn("__slots", lookup_value(few)).withColumn(out, ids).drop("__slots")
+    vocab = vocab.filter(F.col("token").isNotNull()).groupBy("token").agg(F.min("id").alias("id"))
+    rows = small_rows(vocab, max_rows)
+    if rows is None:
+        return _lookup_by_join(df, vocab, tokens, out, unknown)
+    names = pa.array([r["token"] for r in rows], pa.string())
+    ids = np.array([r["id"] for r in rows], np.int64)
+    return df.withColumn(out, _lookup_in_batches(names, ids, unknown)(F.col(tokens)))
 
 
 def _lookup_by_join(
-    df: DataFrame, vocab: DataFrame, tokens: str, out: str, unknown: int, key: str
+    df: DataFrame, vocab: DataFrame, tokens: str, out: str, unknown: int
 ) -> DataFrame:
+    # Numbered once and written, so a row keeps its number whatever is computed again.
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "tokens")
     found = (
-        df.select(key, F.posexplode_outer(tokens).alias("__pos", "token"))
+        rows.select("__row", F.posexplode_outer(tokens).alias("__pos", "token"))
         .filter(F.col("__pos").isNotNull())
         .join(vocab, "token", "left")
-        .withColumn("id", F.coalesce("id", F.lit(unknown)))
+        .withColumn("id", F.coalesce("id", F.lit(unknown)).cast("int"))
     )
-    gathered = found.groupBy(key).agg(
+    gathered = found.groupBy("__row").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("__pos", "id"))), lambda x: x["id"]
         ).alias(out)
     )
-    none = F.array().cast("array<int>")
-    return df.join(gathered, key, "left").withColumn(out, F.coalesce(out, none))
+    none = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))
+    joined = rows.join(gathered, "__row", "left").withColumn(out, F.coalesce(out, none))
+    return joined.drop("__row")
 
 
 def encode_vocab(
@@ -123,10 +139,11 @@ def encode_vocab(
     out: str = "ids",
     unknown: int = 0,
     tokenize: Tokenizer = text.word_tokens,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Text to ids with a trained vocabulary."""
     tokenized = df.withColumn("__tokens", tokenize(F.col(code)))
-    return vocab_lookup(tokenized, vocab, "__tokens", out, unknown).drop("__tokens")
+    return vocab_lookup(tokenized, vocab, "__tokens", out, unknown, max_rows).drop("__tokens")
 
 
 def corpus_lines(df: DataFrame, code: str = "code") -> DataFrame:

@@ -9,6 +9,7 @@ from codewarden.plans import (  # noqa: F401
     scoring_queries,
     source_queries,
 )
+from codewarden.plans import range_queries  # noqa: F401  builds on the others
 from codewarden.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -160,16 +160,42 @@ def balance_weights(spark, sf):
     return weighted.select("idx", "label", rounded(F.col("weight") * 1e6).alias("weight"))
 
 
-@query("balanced_sample")
+_DRAWN = views.shuffle_key_sql(14), views.shuffle_key_sql(15)
+_BALANCED = sql(
+    f"""SELECT d.draw, n.idx, n.target FROM (
+          SELECT idx AS draw, {_DRAWN[0]} % (SELECT count(*) FROM sizes) AS pick, {_DRAWN[1]} AS key
+          FROM range((SELECT count(*) FROM functions)) AS r(idx)) d
+        JOIN (SELECT target, size, row_number() OVER (ORDER BY target) - 1 AS pick FROM sizes) s
+          ON s.pick = d.pick
+        JOIN (SELECT idx, target, row_number() OVER (PARTITION BY target ORDER BY idx) AS number
+              FROM functions) n ON n.target = s.target AND n.number = d.key % s.size + 1""",
+    "functions",
+).replace("\nSELECT", ", sizes AS (SELECT target, count(*) AS size FROM functions GROUP BY target)\nSELECT", 1)
+
+
+@query("balanced_sample", _BALANCED)
 def balanced_sample(spark, sf):
     drawn = sampling.balanced_sample(views.functions(spark, sf), seed=7)
     return drawn.select("draw", "idx", "target")
 
 
-@query("weighted_sample")
+@query(
+    "weighted_sample",
+    sql(
+        f"""SELECT d.draw, w.idx, w.target FROM (
+              SELECT idx AS draw, ({_DRAWN[0]} * 268435456 + ({_DRAWN[1]} >> 4))
+                % (SELECT sum(CASE target WHEN 1 THEN 30 ELSE 1 END) FROM functions)::BIGINT AS point
+              FROM range((SELECT count(*) FROM functions)) AS r(idx)) d
+            JOIN (SELECT idx, target, CASE target WHEN 1 THEN 30 ELSE 1 END AS weight,
+                    sum(CASE target WHEN 1 THEN 30 ELSE 1 END) OVER (ORDER BY idx
+                      ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM functions) w
+              ON d.point >= w.upto - w.weight AND d.point < w.upto""",
+        "functions",
+    ),
+)
 def weighted_sample(spark, sf):
     functions = views.functions(spark, sf)
-    weighted = classes.balance_weights(functions)
+    weighted = functions.withColumn("weight", F.when(F.col("target") == 1, 30).otherwise(1))
     # One draw for each row of the input, as an epoch of the sampler.
     drawn = sampling.weighted_sample(weighted, functions.count(), seed=7)
     return drawn.select("draw", "idx", "target")

@@ -317,7 +317,7 @@ def rank_lines(spark, sf):
     ),
 )
 def topk_fraction(spark, sf):
-    top = lines.top_lines(lines.rank_lines(_rows(spark, sf)), fraction=0.2)
+    top = lines.top_lines(_rows(spark, sf), fraction=0.2)
     return top.select("func_id", "line_idx", "rank")
 
 
@@ -326,7 +326,7 @@ def topk_fraction(spark, sf):
     sql("SELECT func_id, line_idx, rank FROM ranked_lines WHERE rank <= 100", "ranked_lines"),
 )
 def topk_constant(spark, sf):
-    top = lines.top_lines(lines.rank_lines(_rows(spark, sf)), k=100)
+    top = lines.top_lines(_rows(spark, sf), k=100)
     return top.select("func_id", "line_idx", "rank")
 
 

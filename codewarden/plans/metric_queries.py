@@ -385,13 +385,18 @@ def best_run_lowest(spark, sf):
     ),
 )
 def running_report(spark, sf):
-    events = views.table(spark, sf, "events").select(
+    return round_doubles(
+        metrics.running_report(running_events(spark, sf), "event_id", skipped="skip")
+    )
+
+
+def running_events(spark, sf):
+    return views.table(spark, sf, "events").select(
         "event_id",
         (F.col("event_type") == "error").cast("int").alias("label"),
         (F.col("event_id") % 100 / 100.0 > 0.5).cast("int").alias("pred"),
         (F.col("value") < 5).alias("skip"),
     )
-    return round_doubles(metrics.running_report(events, "event_id", skipped="skip"))
 
 
 @query(

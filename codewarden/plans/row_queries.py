@@ -492,9 +492,8 @@ def vocab_lookup(spark, sf):
         F.col("n_name").alias("token"), (F.col("n_nationkey") + 5).cast("int").alias("id")
     )
     customers = views.table(spark, sf, "customer")
-    # Nations are a fixed list of 25.
     texts = customers.join(
-        F.broadcast(nations), customers["c_nationkey"] == nations["n_nationkey"]
+        nations, customers["c_nationkey"] == nations["n_nationkey"]
     ).select(F.col("c_custkey").alias("idx"), F.array("n_name", "c_mktsegment").alias("tokens"))
     return vocab.vocab_lookup(texts, words).select("idx", _joined("ids").alias("ids"))
 
@@ -574,14 +573,14 @@ def attention_mask(spark, sf):
 @query(
     "reference_ids",
     sql(
-        """SELECT idx, array_to_string(list_concat(list_concat([0], list_resize(CAST([] AS INTEGER[]), n - 2, 1)),
-             [2]), ' ') AS ids FROM lengths WHERE n >= 2""",
+        """SELECT idx, array_to_string(list_concat(list_concat([0],
+             list_resize(CAST([] AS INTEGER[]), greatest(n - 2, 0), 1)), [2]), ' ') AS ids FROM lengths""",
         "lengths",
     ),
 )
 def reference_ids(spark, sf):
     ids = encoding.reference_ids(F.col("n"), first=0, ref=1, last=2)
-    return views.lengths(spark, sf).filter("n >= 2").select("idx", _joined(ids).alias("ids"))
+    return views.lengths(spark, sf).select("idx", _joined(ids).alias("ids"))
 
 
 @query(

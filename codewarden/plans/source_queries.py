@@ -166,7 +166,9 @@ def write_class_index(spark, sf):
 def write_raw_preds(spark, sf):
     path = shared_dir(spark, "raw-preds")
     test = views.functions(spark, sf).filter("split = 'test'").select("idx", "code", "target")
-    preds = metrics.threshold_predict(views.predictions(spark, sf).select("idx", "prob"))
+    preds = metrics.threshold_predict(
+        views.predictions(spark, sf).filter("split = 'test'").select("idx", "prob")
+    )
     writers.write_raw_preds(test, preds, path)
     schema = T.StructType.fromDDL("idx long, code string, target int, raw_preds int")
     return readers.read_csv(spark, path, schema)

@@ -176,7 +176,12 @@ def attention(spark: SparkSession, sf: str) -> DataFrame:
 HEAD = [[((i % 7) - 3) / 10.0 for i in range(64)], [((i % 5) - 2) / 10.0 for i in range(64)]]
 
 WS = r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\p{Z}]+"
-WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+# Written out here as well, so that a slip in the library does not pass unseen.
+_WORD_CHARS = (
+    r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"
+    r"\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+)
+WORD = rf"[{_WORD_CHARS}]+|[^{_WORD_CHARS}\s\x{{000B}}\x{{0085}}\p{{Z}}]+"
 
 # View name -> (views it builds on, SQL).
 _SQL: dict[str, tuple[tuple[str, ...], str]] = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codewarden.operators.clean import align_predictions
+
 SPLIT_NAMES = ("train", "valid", "test")
 
 
@@ -54,8 +56,9 @@ def read_class_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_raw_preds(functions: DataFrame, preds: DataFrame, path: str) -> None:
-    """The test records with their prediction as one more column, as CSV."""
-    joined = functions.join(preds.select("idx", F.col("pred").alias("raw_preds")), "idx")
+    """The test records with their prediction as one more column, as CSV; a record without
+    its prediction, or a prediction without its record, stops the job."""
+    joined = align_predictions(functions, preds.select("idx", F.col("pred").alias("raw_preds")))
     joined.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count that is ever pulled to the driver to become a broadcast side.
+# Most rows and bytes that are ever pulled to the driver to become a broadcast side.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -45,15 +46,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
+def small_rows(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> list | None:
+    """The rows of ``df`` if it was seen to hold at most ``max_rows`` rows and, spelled as text,
+    ``max_bytes`` bytes; otherwise None. Rows and bytes are counted on the executors first."""
+    few = df.limit(max_rows + 1)
+    spelled = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    seen = few.agg(F.count(F.lit(1)).alias("n"), F.sum(spelled).alias("bytes")).first()
+    if seen["n"] > max_rows or (seen["bytes"] or 0) > max_bytes:
+        return None
+    return df.limit(max_rows).collect()
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if, and only if, it was seen to hold at most ``max_rows`` rows.
+    """Broadcast ``df`` if, and only if, it was seen to be small in rows and in bytes.
 
     Meant for aggregates that are small by nature (classes, labels, vocabularies). The check
     reads at most ``max_rows + 1`` rows, so it stays bounded whatever ``df`` is. A larger ``df``
     is returned as it is, for a shuffled join with skew handling by adaptive execution.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = small_rows(df, max_rows)
+    if rows is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 

@@ -62,10 +62,12 @@ def test_a_side_beyond_the_bound_is_joined_without_broadcast(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("class"))
     assert small_side(df, 10) is df
     assert small_side(df, 50).count() == 50
+    wide = spark.range(9).select(F.repeat(F.lit("x"), 4_000_000).alias("class"))
+    assert small_side(wide) is wide
 
 
-def test_many_classes_are_numbered_in_ranges(spark, monkeypatch):
+def test_many_classes_are_numbered_in_ranges(spark):
     stats = classes.class_stats(status_as_class(functions(spark)))
     want = index_of(classes.class_index(stats))
-    monkeypatch.setattr(classes, "small_side", lambda frame: frame)
-    assert index_of(classes.class_index(stats)) == want
+    for rows_per_range in (1, 2):
+        assert index_of(classes.class_index(stats, rows_per_range)) == want

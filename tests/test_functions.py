@@ -136,21 +136,41 @@ def test_vocabulary_against_counting(spark):
     assert [r["ids"] for r in encoded] == [[want.get(w, 0) for w in t.split()] for t in texts]
 
 
-def test_large_vocabularies_are_joined(spark, monkeypatch):
+def test_large_vocabularies_are_joined(spark):
     words = spark.range(50).select(
         F.concat(F.lit("w"), F.col("id")).alias("token"), F.col("id").cast("int").alias("id")
     )
     rows = [(1, ["w3", "no", "w49", "w3"]), (2, [])]
     df = spark.createDataFrame(rows, "idx long, tokens array<string>")
-    monkeypatch.setattr(vocab, "small_side", lambda frame: frame)
-    got = {r["idx"]: r["ids"] for r in vocab.vocab_lookup(df, words, unknown=-1).collect()}
-    assert got == {1: [3, -1, 49, 3], 2: []}
+    for max_rows in (10, 100):
+        found = vocab.vocab_lookup(df, words, unknown=-1, max_rows=max_rows).collect()
+        assert {r["idx"]: r["ids"] for r in found} == {1: [3, -1, 49, 3], 2: []}
+
+
+def test_both_lookups_agree_on_repeated_keys_and_nulls(spark):
+    words = spark.createDataFrame([("a", 5), ("b", 6), ("a", 9), (None, 7)], "token string, id int")
+    rows = [(1, ["a", "z"]), (1, ["b"]), (2, None), (3, [None, "a"]), (None, ["b"])]
+    df = spark.createDataFrame(rows, "idx long, tokens array<string>")
+    want = [(None, [6]), (1, [5, 0]), (1, [6]), (2, None), (3, [0, 5])]
+    for max_rows in (1, 100):
+        found = vocab.vocab_lookup(df, words, max_rows=max_rows).collect()
+        assert sorted(((r["idx"], r["ids"]) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_vocabulary_is_cut_within_ties(spark):
+    lines = [(n, f"{'x ' * (5 - n // 2)} t{n}") for n in range(8)] + [(9, "t0 t1 t2 t3 t4 t5 t6 t7")]
+    df = spark.createDataFrame(lines, "idx long, code string")
+    whole = [r["token"] for r in vocab.train_vocab(df).orderBy("id").collect()]
+    for size in range(6, len(whole) + 2):
+        cut = [r["token"] for r in vocab.train_vocab(df, size=size).orderBy("id").collect()]
+        assert cut == whole[:size]
 
 
 def test_vocabulary_matches_the_tokenizer_library(spark, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     rng = random.Random(3)
     alphabet = ["int", "x", "==", "y;", "é", "foo_1", "(", ")", "→", "if(x", "a.b"]
+    alphabet += ["हिन्दी", "cafe\u0301", "a‿b", "x²", "½", "Ⅷ", "a\u200db", "ⓐ1", "a\u00a0b", "日本語。"]
     texts = [" ".join(rng.choice(alphabet) for _ in range(30)) for _ in range(20)]
     pre = tokenizers.pre_tokenizers.Whitespace()
     df = spark.createDataFrame(list(enumerate(texts)), "idx long, code string")

@@ -128,7 +128,7 @@ def test_samples_do_not_depend_on_the_cut(spark, size):
 def test_weighted_sample(spark, size):
     df = spark.range(300).select(
         F.col("id").alias("idx"),
-        F.when(F.col("id") < 3, 100.0).when(F.col("id") % 2 == 0, 0.0).otherwise(1.0).alias("weight"),
+        F.when(F.col("id") < 3, 100).when(F.col("id") % 2 == 0, 0).otherwise(1).alias("weight"),
     )
     got = sampling.weighted_sample(df, 2000, seed=1, rows_per_range=size).collect()
     assert sorted(r["draw"] for r in got) == list(range(2000))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codewarden.operators import curves
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals
-from codewarden.support import checked_score, ratio
+from codewarden.support import checked_score, materialize, ratio
 
 
 def threshold_predict(preds: DataFrame, threshold: float = 0.5, prob: str = "prob") -> DataFrame:
@@ -356,6 +356,59 @@ def best_run(
     )
 
 
+def _won_pairs(rows: DataFrame, steps: int, rows_per_range: int) -> DataFrame:
+    """(step, won): by how much each step raises the number of (positive, negative) pairs in
+    which the positive scores higher, a tie counting half.
+
+    ``rows`` holds (step, score, pos, neg), one row per step and score. A pair of rows of different
+    steps meets at one level only: where the steps' numbers, read as bits, part for the first time.
+    Every row is written down once for each level, the rows of a level and common head are walked in
+    the order of the score, and the later half takes its counts of the earlier one from there: no
+    pair is ever formed, and long blocks are walked in ranges.
+    """
+    levels = max(1, steps.bit_length())
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    # Level 0 holds the pairs within a step.
+    staged = rows.withColumn("level", level)
+    own = F.col("level") == 0
+    head = F.when(own, F.col("step")).otherwise(
+        F.call_function("shiftright", F.col("step"), F.col("level").cast("int"))
+    )
+    bit = F.call_function("shiftright", F.col("step"), (F.col("level") - 1).cast("int")) % 2
+    early, late = own | (bit == 0), own | (bit == 1)
+    staged = staged.withColumns(
+        {
+            "head": head,
+            "late": late.cast("int"),
+            "early_pos": F.when(early, F.col("pos")).otherwise(0),
+            "early_neg": F.when(early, F.col("neg")).otherwise(0),
+        }
+    )
+    keys = ["level", "head"]
+    # Counts at each score, so that ties are seen at once; then the sums up to each score.
+    by_score = staged.groupBy(*keys, "score").agg(
+        F.sum("early_pos").alias("at_pos"), F.sum("early_neg").alias("at_neg")
+    )
+    summed = running_totals(
+        by_score,
+        ["score"],
+        {"upto_pos": F.col("at_pos"), "upto_neg": F.col("at_neg")},
+        keys=keys,
+        grand={"upto_pos": "all_pos"},
+        rows_per_range=rows_per_range,
+    )
+    below = F.col("upto_neg") - F.col("at_neg") / 2.0
+    above = F.col("all_pos") - F.col("upto_pos") + F.col("at_pos") / 2.0
+    # Within a step each pair is seen from its positive row only.
+    gain = F.col("pos") * below + F.when(F.col("level") > 0, F.col("neg") * above).otherwise(0.0)
+    return (
+        staged.filter("late = 1")
+        .join(summed, [*keys, "score"])
+        .groupBy("step")
+        .agg(F.sum(gain).alias("won"))
+    )
+
+
 def running_report(
     preds: DataFrame,
     order: str = "idx",
@@ -363,46 +416,67 @@ def running_report(
     label: str = "label",
     pred: str = "pred",
     skipped: str | None = None,
+    score: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Quality over all rows so far, at every ``every``-th input row, in the order of ``order``.
 
-    Rows flagged by ``skipped`` count as input but not as predictions.
+    Rows flagged by ``skipped`` count as input but not as predictions. With ``score``, the area
+    under the ROC curve of all rows so far is given as well, null while a class is missing.
     """
     skip = F.lit(False) if skipped is None else F.col(skipped)
     cells = binary_counts(F.col(label), F.col(pred) == 1)
+    scored = [] if score is None else [F.col(score).alias("__score")]
     ranked = global_rank(
-        preds.select(order, F.col(label), F.col(pred), skip.alias("__skip")),
+        preds.select(order, F.col(label), F.col(pred), skip.alias("__skip"), *scored),
         [order],
         "__at",
         rows_per_range,
     )
-    steps = (
-        ranked.withColumn("step", F.floor((F.col("__at") - 1) / every).cast("long"))
-        .groupBy("step")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if("__skip").alias("skips"),
-            *[
-                F.count_if(~F.col("__skip") & c).alias(name)
-                for name, c in (
-                    ("tn", (F.col(label) != 1) & (F.col(pred) != 1)),
-                    ("fp", (F.col(label) != 1) & (F.col(pred) == 1)),
-                    ("fn", (F.col(label) == 1) & (F.col(pred) != 1)),
-                    ("tp", (F.col(label) == 1) & (F.col(pred) == 1)),
-                )
-            ],
-        )
+    ranked = ranked.withColumn("step", F.floor((F.col("__at") - 1) / every).cast("long"))
+    if score is not None:
+        ranked = materialize(ranked, "running")
+    steps = ranked.groupBy("step").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("__skip").alias("skips"),
+        *[
+            F.count_if(~F.col("__skip") & c).alias(name)
+            for name, c in (
+                ("tn", (F.col(label) != 1) & (F.col(pred) != 1)),
+                ("fp", (F.col(label) != 1) & (F.col(pred) == 1)),
+                ("fn", (F.col(label) == 1) & (F.col(pred) != 1)),
+                ("tp", (F.col(label) == 1) & (F.col(pred) == 1)),
+            )
+        ],
     )
-    names = ("n", "skips", *cells)
+    names = ["n", "skips", *cells]
+    if score is not None:
+        counts = (
+            ranked.filter(~F.col("__skip"))
+            .groupBy("step", checked_score(F.col("__score")).alias("score"))
+            .agg(
+                F.count_if(F.col(label) == 1).alias("pos"),
+                F.count_if(F.col(label) != 1).alias("neg"),
+            )
+        )
+        most = ranked.agg(F.max("step")).first()[0] or 0
+        won = _won_pairs(counts, most, rows_per_range)
+        steps = steps.join(won, "step", "left").withColumn("won", F.coalesce("won", F.lit(0.0)))
+        names.append("won")
     summed = running_totals(
         steps, ["step"], {f"all_{c}": F.col(c) for c in names}, rows_per_range=rows_per_range
     )
     s = scores_from_counts(*[F.col(f"all_{c}") for c in ("tn", "fp", "fn", "tp")])
+    area = []
+    if score is not None:
+        positives = (F.col("all_tp") + F.col("all_fn")).cast("double")
+        negatives = (F.col("all_tn") + F.col("all_fp")).cast("double")
+        area = [(F.col("all_won") / F.nullif(positives * negatives, F.lit(0.0))).alias("roc_auc")]
     return summed.filter(F.col("n") == every).select(
         F.col("all_n").alias("rows_read"),
         F.col("all_skips").alias("rows_skipped"),
         *[s[m].alias(m) for m in ("accuracy", "precision", "recall", "f1")],
+        *area,
     )
 
 

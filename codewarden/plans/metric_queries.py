@@ -368,8 +368,15 @@ def best_run_lowest(spark, sf):
 @query(
     "running_report",
     sql(
-        f"""SELECT rows_read, rows_skipped, round({_ratio('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy,
-              round({_PP}, 6) AS precision, round({_PR}, 6) AS recall, round({_f1(_PP, _PR)}, 6) AS f1
+        f"""WITH seen AS (SELECT row_number() OVER (ORDER BY event_id) AS at, (event_id % 100) / 100.0 AS score,
+              event_type = 'error' AS positive FROM events QUALIFY NOT value < 5),
+            won AS (SELECT greatest(p.at, n.at) AS upto,
+                sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) AS won
+              FROM seen p JOIN seen n ON p.positive AND NOT n.positive GROUP BY 1)
+            SELECT rows_read, rows_skipped, round({_ratio('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy,
+              round({_PP}, 6) AS precision, round({_PR}, 6) AS recall, round({_f1(_PP, _PR)}, 6) AS f1,
+              round((SELECT sum(won) FROM won WHERE upto <= rows_read) / nullif((tp + fn) * (fp + tn), 0), 6)
+                AS roc_auc
             FROM (SELECT seen AS rows_read,
                 CAST(sum(skip) OVER w AS BIGINT) AS rows_skipped,
                 sum((1 - skip) * CAST(label = 1 AND pred = 1 AS INTEGER)) OVER w AS tp,
@@ -386,7 +393,9 @@ def best_run_lowest(spark, sf):
 )
 def running_report(spark, sf):
     return round_doubles(
-        metrics.running_report(running_events(spark, sf), "event_id", skipped="skip")
+        metrics.running_report(
+            running_events(spark, sf), "event_id", skipped="skip", score="score"
+        )
     )
 
 
@@ -396,6 +405,7 @@ def running_events(spark, sf):
         (F.col("event_type") == "error").cast("int").alias("label"),
         (F.col("event_id") % 100 / 100.0 > 0.5).cast("int").alias("pred"),
         (F.col("value") < 5).alias("skip"),
+        (F.col("event_id") % 100 / 100.0).alias("score"),
     )
 
 

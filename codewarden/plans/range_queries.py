@@ -56,7 +56,9 @@ def seeded_shuffle(spark, sf):
 def running_report(spark, sf):
     events = metric_queries.running_events(spark, sf)
     return round_doubles(
-        metrics.running_report(events, "event_id", skipped="skip", rows_per_range=ROWS)
+        metrics.running_report(
+            events, "event_id", skipped="skip", score="score", rows_per_range=ROWS
+        )
     )
 
 

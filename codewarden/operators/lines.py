@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codewarden.functions import text
 from codewarden.functions.binding import bind, emit
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals
-from codewarden.support import checked_score, truncated
+from codewarden.support import checked_score, materialize, truncated
 
 
 # --- token scores -------------------------------------------------------------------------
@@ -170,13 +170,16 @@ def line_scores_rows(tokens: DataFrame, chunk: int = 4096) -> DataFrame:
 
     ``tokens`` holds (func_id, pos, token, score), the positions counting from 0. A function is
     cut in chunks of positions, so no task holds a whole one; only the text of a single line is
-    gathered. Returns (func_id, line_idx, line, score).
+    gathered. The tokens, their closings and the stretches are written once each, since every walk
+    reads its input twice. Returns (func_id, line_idx, line, score).
     """
+    tokens = materialize(tokens.select("func_id", "pos", "token", "score"), "tokens")
     last = tokens.groupBy("func_id").agg(F.max("pos").alias("__last"))
     closing = F.col("token").isin(text.LINE_SEPARATORS) | (F.col("pos") == F.col("__last"))
     marked = tokens.join(last, "func_id").withColumns(
         {"__closes": closing.cast("long"), "__chunk": F.floor(F.col("pos") / chunk)}
     )
+    marked = materialize(marked.drop("__last"), "closings")
     counted = running_totals(
         marked, ["pos"], {"__upto": F.col("__closes")}, keys=["func_id"], cells=["__chunk"]
     )
@@ -186,6 +189,7 @@ def line_scores_rows(tokens: DataFrame, chunk: int = 4096) -> DataFrame:
         F.max(F.when(~inside, F.col("score"))).alias("closing"),
         _joined_in_order("pos", F.when(inside, F.col("token"))).alias("piece"),
     )
+    pieces = materialize(pieces, "stretches")
     live = F.col("total") != 0
     numbered = running_totals(
         pieces.withColumn("__chunk", F.floor(F.col("stretch") / chunk)),
@@ -312,7 +316,8 @@ def localize(df: DataFrame, fractions: Sequence[float], ks: Sequence[int]) -> tu
     """Token scores to localisation measures: (line_eval, topk_localized, rejects).
 
     ``df`` holds (func_id, tokens array<struct<token, score>>, flaws joined by the separator).
-    Functions none of whose flaws occurs in their text are the rejects.
+    Functions none of whose flaws occurs in their text are the rejects. Scored lines and checked
+    flaws are written once, and all three outputs are read from there.
     """
     stripped = F.transform(
         "tokens",
@@ -335,7 +340,10 @@ def localize(df: DataFrame, fractions: Sequence[float], ks: Sequence[int]) -> tu
         F.size("verified") > 0,
         label_lines(bind(F.col("tokens"), _lines_of), F.col("verified")),
     )
-    found = checked.select("func_id", labelled.alias("lines"))
+    checked = materialize(
+        checked.select("func_id", "wanted", "code", "verified", labelled.alias("lines")), "localized"
+    )
+    found = checked.select("func_id", "lines")
     missed = F.when(F.size("verified") == 0, F.array(F.struct("code", "wanted")))
     rejects = emit(checked, missed, ["func_id"], "code")
     return line_eval(found, fractions), topk_localized(found, ks), rejects

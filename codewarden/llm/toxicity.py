@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network over all overlapping windows of a text.
 
 Labels say that a document is toxic, not where. Training therefore picks windows: at first those whose
-words speak most for the label (log odds over the learning texts), then those the network itself
+words speak most for the label (counts over the learning texts against chance), then those the network itself
 scores highest, against random and high-scoring windows of clean documents. A document's score is that of
 its highest window, brought to 0..1 so that 0.5 parts the learning texts that were held back.
 
@@ -33,6 +33,11 @@ HELD_BACK = 0.25
 ROUNDS = 6
 EPOCHS = 2
 BATCH = 256
+STEPS = 24
+#: Share of clean texts that a toxic text's best window has to outscore to be learned from.
+USUAL = 0.9
+#: Standard deviations that a word's count may be above its share by chance.
+CHANCE = 2.5
 RATE = 0.01
 #: Clean documents for each toxic one when the threshold is set.
 CLEAN_PER_TOXIC = 9.0
@@ -73,13 +78,16 @@ def learning_texts(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABE
 
 
 def _evidence(lexicon: Lexicon, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log odds of each word of the lexicon by the number of texts of each label that have it."""
+    """How far each word's number of toxic texts is above what chance gives it, in standard
+    deviations beyond ``CHANCE``, squared: a few words that tell outweigh many that might."""
     pairs = np.unique(lexicon.of * np.int64(len(toxic)) + owner)
     word, text = pairs // len(toxic), pairs % len(toxic)
     bad = np.bincount(word, toxic[text], len(lexicon.hashes))
     good = np.bincount(word, 1 - toxic[text], len(lexicon.hashes))
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
-    return np.where(bad + good >= 3, odds, 0)
+    share = (bad + good) / len(toxic)
+    spread = np.sqrt(np.maximum(toxic.sum() * share * (1 - share), 1e-9))
+    beyond = (bad - toxic.sum() * share) / spread - CHANCE
+    return np.where(bad + good >= 3, np.square(np.maximum(beyond, 0)), 0)
 
 
 def _highest(scores: np.ndarray, owner: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
@@ -111,27 +119,40 @@ class Scorer:
         seen = learn[of_text]
         part = Lexicon.__new__(Lexicon)
         part.hashes, part.of = lexicon.hashes, lexicon.of[seen]
-        odds = _evidence(part, of_text[seen], toxic)
-        running = np.concatenate([[0.0], np.cumsum(np.maximum(odds, 0)[lexicon.of])])
+        evidence = _evidence(part, of_text[seen], toxic)
+        running = np.concatenate([[0.0], np.cumsum(evidence[lexicon.of])])
         guide = running[start + length] - running[start]
         network = Network(seed)
+        # Words that tell stand out from the start; training moves them like all weights.
+        telling = np.flatnonzero(evidence > 0)
+        first = np.minimum(np.sqrt(evidence[telling]), 4.0) / 2
+        np.maximum.at(network.weights["word"][:, 0], lexicon.word[telling], first.astype(np.float32))
         adam = Adam(network.weights, RATE)
         for round_ in range(ROUNDS):
             scores = guide if round_ == 0 else network.logits(lexicon, start, length)
-            bad = _highest(scores, owner, learn & (toxic == 1), 1)
+            best = np.full(len(toxic), -np.inf)
+            np.maximum.at(best, owner, scores)
+            # A label without anything toxic in sight teaches nothing: such texts wait.
+            usual = np.quantile(best[learn & (toxic == 0)], USUAL)
+            sure = learn & (toxic == 1) & (best > usual)
+            bad = _highest(scores, owner, sure if sure.any() else learn & (toxic == 1), 1)
             hard = _highest(scores, owner, learn & (toxic == 0), 2)
             clean = np.flatnonzero((learn & (toxic == 0))[owner])
             easy = r.choice(clean, min(len(clean), 2 * len(bad)), replace=False)
             chosen = np.concatenate([bad, hard, easy])
             target = (np.arange(len(chosen)) < len(bad)).astype(np.float32)
+            # Small samples get smaller batches, so that they see as many steps.
+            batch = int(np.clip(len(chosen) // STEPS, 16, BATCH))
+            heavy = np.clip((len(chosen) - len(bad)) / max(len(bad), 1) / 4, 1, 8)
             for _ in range(EPOCHS):
                 order = r.permutation(len(chosen))
-                for a in range(0, len(order), BATCH):
-                    mine = order[a : a + BATCH]
+                for a in range(0, len(order), batch):
+                    mine = order[a : a + batch]
                     index, live = gather(lexicon, start[chosen[mine]], length[chosen[mine]])
                     keep: dict = {}
                     logit = network.forward(lexicon, index, live, keep)
                     error = (1 / (1 + np.exp(-logit)) - target[mine]) / len(mine)
+                    error = np.where(target[mine] == 1, heavy, 1) * error
                     adam.step(network.backward(lexicon, live, keep, error.astype(np.float32)))
         top = np.full(len(toxic), -np.inf)
         np.maximum.at(top, owner, network.logits(lexicon, start, length))

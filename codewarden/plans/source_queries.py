@@ -70,7 +70,7 @@ def _archives(spark, sf):
     sql("SELECT code, idx, cwe, target, status FROM functions WHERE split = 'test'", "functions"),
 )
 def read_archive(spark, sf):
-    found = readers.archive_lines(_archives(spark, sf), "test.jsonl")
+    found = readers.archive_lines(_archives(spark, sf), "test.jsonl").drop("member")
     return readers.parse_lines(found).select(*FIELDS)
 
 

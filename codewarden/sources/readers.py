@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +76,9 @@ def read_splits(
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; code may span lines, and quotes are doubled."""
-    return (
+    """CSV with a header; code may span lines, and quotes are doubled. A file whose records span
+    lines is one task, so the rows are spread out again behind it."""
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
@@ -85,42 +86,55 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("escape", '"')
         .csv(path)
     )
+    return rows.hint("rebalance")
 
 
-def archive_lines(archives: DataFrame, member: str, batch: int = 1024) -> DataFrame:
-    """(path, line) of the first member of each archive whose name ends with ``member``.
+def archive_lines(
+    archives: DataFrame, member: str | Sequence[str], batch: int = 1024
+) -> DataFrame:
+    """(path, member, line) of the first member of each archive whose name ends with ``member``,
+    or with each of several names; one read of the archive serves them all.
 
     ``archives`` holds (path, content). An archive is one task; its lines leave in batches.
     """
+    names = [member] if isinstance(member, str) else list(member)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for path, content in zip(rows["path"], rows["content"]):
+                missing = list(names)
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
-                    found = (m for m in archive if m.isfile() and m.name.endswith(member))
-                    first = next(found, None)
-                    stream = archive.extractfile(first) if first is not None else ()
-                    lines: list[str] = []
-                    for raw in stream:
-                        line = raw.decode("utf-8").rstrip("\r\n")
-                        if line:
-                            lines.append(line)
-                        if len(lines) == batch:
-                            yield pd.DataFrame({"path": path, "line": lines})
-                            lines = []
-                    if lines:
-                        yield pd.DataFrame({"path": path, "line": lines})
-
-    return archives.select("path", "content").mapInPandas(run, "path string, line string")
+                    for entry in archive:
+                        name = next((n for n in missing if entry.name.endswith(n)), None)
+                        if name is None or not entry.isfile():
+                            continue
+                        missing.remove(name)
+                        lines: list[str] = []
+                        for raw in archive.extractfile(entry):
+                            line = raw.decode("utf-8").rstrip("\r\n")
+                            if line:
+                                lines.append(line)
+                            if len(lines) == batch:
+                                yield pd.DataFrame({"path": path, "member": name, "line": lines})
+                                lines = []
+                        if lines:
+                            yield pd.DataFrame({"path": path, "member": name, "line": lines})
+                        if not missing:
+                            break
+
+    return archives.select("path", "content").mapInPandas(
+        run, "path string, member string, line string"
+    )
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType = FUNCTION_SCHEMA) -> DataFrame:
-    """JSON text in ``line`` to columns, with a corrupt-record column."""
+    """JSON text in ``line`` to columns, with a corrupt-record column; other columns stay."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(
         "line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
-    return lines.withColumn("__record", parsed).select("path", "__record.*")
+    others = [c for c in lines.columns if c != "line"]
+    return lines.withColumn("__record", parsed).select(*others, "__record.*")
 
 
 def read_archive(
@@ -132,18 +146,22 @@ def read_archive(
     """Labelled functions out of ``tar.gz`` archives in a folder, spread out after unpacking."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path)
     # One archive a task: large ones must not queue behind each other.
-    return parse_lines(archive_lines(archives.repartition("path"), member).hint("rebalance"), schema)
+    lines = archive_lines(archives.repartition("path"), member).drop("member")
+    return parse_lines(lines.hint("rebalance"), schema)
 
 
 def read_archive_splits(
     spark: SparkSession, path: str, schema: T.StructType = FUNCTION_SCHEMA
 ) -> DataFrame:
-    """The train, valid and test members of archives, as one frame with a ``split`` column."""
-    whole = None
-    for split in ("train", "valid", "test"):
-        part = read_archive(spark, path, f"{split}.jsonl", schema).withColumn("split", F.lit(split))
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
+    """The train, valid and test members of archives, as one frame with a ``split`` column; each
+    archive is read once."""
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path)
+    names = [f"{split}.jsonl" for split in ("train", "valid", "test")]
+    lines = archive_lines(archives.repartition("path"), names)
+    split = F.regexp_replace("member", r"\.jsonl$", "")
+    return parse_lines(
+        lines.select("path", split.alias("split"), "line").hint("rebalance"), schema
+    )
 
 
 def pack_archive(rows: pd.DataFrame, member_column: str = "member", line_column: str = "line") -> bytes:

@@ -39,11 +39,12 @@ class Sentences:
         starts, ends, first = words.word_spans(self.raw, self.bounds)
         hashes = words.hash_spans(self.raw, starts, ends)
         n = len(starts)
-        lines = np.cumsum(np.concatenate([[0], self.raw == 10]), dtype=np.int64)
+        breaks = np.flatnonzero(self.raw == 10)
         begins = np.zeros(n + 1, bool)
         begins[first] = True
         if n:
-            after = STOPS[self.raw[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
+            broken = np.searchsorted(breaks, starts[1:]) > np.searchsorted(breaks, ends[:-1])
+            after = STOPS[self.raw[ends[:-1] - 1]] | broken
             begins[1:n] |= after
         head = np.flatnonzero(begins[:n])
         size = np.diff(np.append(head, n))
@@ -86,7 +87,7 @@ def runs(docs: DataFrame) -> DataFrame:
     """Every run of sentences of documents that come with key columns and ``text``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.strips(batches):
             for hashes, owner, at, size in Sentences(batch.column("text")).runs():
                 keys = [batch.column(k).take(pa.array(owner)) for k in ("__id", "__text")]
                 yield pa.RecordBatch.from_arrays(
@@ -123,7 +124,7 @@ CUT = "__id long, __text long, cut_text string, sentences int, removed int"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in words.strips(batches):
         texts = batch.column("text")
         marks = batch.column("marks").to_pylist()
         found = Sentences(texts)

@@ -7,13 +7,19 @@ longest text. Hashes depend on the bytes alone: every task, run and machine give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes hashed in one go; a longer word makes its own block.
 BLOCK = 1 << 20
 
+#: Bytes of text that a task works on at once; a longer text makes its own strip.
+STRIP = 4 << 20
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: For texts that are compared without their punctuation: all ASCII but letters and digits.
@@ -68,6 +74,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0], known
 
 
+def strips(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``STRIP`` bytes of text, which bound a task's arrays."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        number = np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64) // STRIP
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def word_spans(
     raw: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = IS_SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,8 @@ proves that no code outside can be nearer.
 
 Codes that many vectors share are one index row with the ``k`` least ids: no more of them can be in a top k.
 The cut happens before the shuffle. Queries of the same code are searched once. A round's
-look-ups, candidates and best lists are tables in the shared folder.
+best lists are tables in the shared folder. Joins are merged by key: many rounds of small broadcasts
+would pile up on the driver.
 
 Defined results: a vector's code has bit i set if its element i is above 0 (missing elements and NaN count as
 not above). Null vectors and null ids have no code: they are not found and find nothing. Ties go
@@ -109,36 +110,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, skip_self: bool =
             _segment(F.col("query"), F.col("segment")).bitwiseXOR(F.col("mask")).alias("value"),
         )
         seen = (
-            probes.join(segments, ["segment", "value"])
+            probes.join(segments.hint("merge"), ["segment", "value"])
             .select("query", "code")
             .distinct()
-            .join(sizes, "code")
+            .join(sizes.hint("merge"), "code")
             .withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
         )
         if best is not None:
-            seen = seen.unionByName(best.join(open_, "query", "left_semi")).dropDuplicates(["query", "code"])
+            seen = seen.unionByName(best.join(open_.hint("merge"), "query", "left_semi")).dropDuplicates(["query", "code"])
         best = written(_best(seen.select("query", "code", "distance", "n"), need), "best")
         # Ids at distances that this radius covers; every id counts as covered at the last.
         covered = SEGMENTS * (radius + 1) - 1
         state = written(
             open_.join(
-                best.filter(F.col("distance") <= covered).groupBy("query").agg(F.sum("n").alias("sure")),
+                best.filter(F.col("distance") <= covered)
+                .groupBy("query")
+                .agg(F.sum("n").alias("sure"))
+                .hint("merge"),
                 "query",
                 "left",
             ).select("query", (F.coalesce("sure", F.lit(0)) >= min(need, total)).alias("done")),
             "state",
         )
-        done.append(best.join(state.filter("done"), "query", "left_semi"))
+        done.append(best.join(state.filter("done").hint("merge"), "query", "left_semi"))
         open_ = state.filter("NOT done").select("query")
         if open_.isEmpty():
             break
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
-    near = found.join(holders, "code").select("query", "distance", F.explode("ids").alias("id"))
+    near = found.join(holders.hint("merge"), "code").select("query", "distance", F.explode("ids").alias("id"))
     order = W.partitionBy("query").orderBy("distance", "id")
     near = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= need)
-    hits = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(near, "query")
+    hits = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(near.hint("merge"), "query")
     if skip_self:
         hits = hits.filter("id <> query_id")
     order = W.partitionBy("query_id").orderBy("distance", "id")

@@ -38,6 +38,8 @@ MASKS = (
     (0, 2, 3, 7, 8, 9, 10),
 )
 LEAST_WORDS = 5
+#: Bits of the table for each test hash, and in all.
+BITS_EACH = 1024
 MOST_BITS = 1 << 26
 #: Words around a hit that any window over it can reach.
 REACH = 2 * WINDOW - 1 - min(max(m) for m in MASKS)
@@ -116,22 +118,26 @@ def index(benchmark: DataFrame) -> DataFrame:
 
 
 def _filter_bits(places: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit table of the hashes' first bits; its size follows their number up to ``MOST_BITS``."""
-    count = places.count()
-    bits = int(min(max(64 * count, 1 << 16), MOST_BITS)).bit_length() - 1
-    slots = places.select(F.shiftrightunsigned("hash", 64 - bits).alias("slot")).distinct()
-    table = np.zeros(1 << bits, bool)
-    # At most 2 ** bits whole numbers, whatever the benchmark's size.
-    for batch in slots.toArrow().to_batches():
-        table[batch.column("slot").to_numpy()] = True
-    return np.packbits(table), bits
+    """A bit table of the hashes' first bits, as 64-bit words, and its size as a power of two. The
+    size follows the number of hashes up to ``MOST_BITS``; executors join the bits of a word."""
+    bits = int(min(max(BITS_EACH * places.count(), 1 << 16), MOST_BITS)).bit_length() - 1
+    slots = places.select(F.shiftrightunsigned("hash", 64 - bits).alias("slot"))
+    one = F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63).cast("long")).cast("int")
+    )
+    filled = slots.groupBy(F.shiftrightunsigned("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    # At most MOST_BITS / 64 rows, whatever the benchmark's size.
+    for batch in filled.toArrow().to_batches():
+        table[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+    return table, bits
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it leaks: key columns, ``doc_id``, ``item_id``, ``matched``
     (most equal words in a window), ``first_word`` and ``last_word`` (0-based, of the document)."""
     test = written(index(benchmark), "benchmark")
-    packed, bits = _filter_bits(test)
+    table, bits = _filter_bits(test)
     lengths = tuple(
         sorted(-r["mask"] for r in test.filter("mask < 0").select("mask").distinct().collect())
     )  # at most WINDOW - LEAST_WORDS numbers
@@ -139,10 +145,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def known(found: np.ndarray) -> np.ndarray:
             slot = found >> np.uint64(64 - bits)
-            byte = packed[(slot >> np.uint64(3)).astype(np.int64)]
-            return (byte >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
+            word = table[(slot >> np.uint64(6)).astype(np.int64)]
+            return (word >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
-        for batch in batches:
+        for batch in words.strips(batches):
             hashes, first, _ = words.word_hashes(batch.column("text"), words.IS_GAP)
             keys = ["__id", "__text", "doc_id"]
             places = _places(hashes, first, lengths, OUTSIDE[0], known)

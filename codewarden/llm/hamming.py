@@ -1,8 +1,9 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 Codes of 64 bits are cut in ``SEGMENTS`` segments, and every segment's value is an index key. A code within
-distance ``SEGMENTS * (r + 1) - 1`` of a query differs from it in at most r bits of some segment, so
-once the keys within radius r of the query's segments are looked up, all codes up to that distance are seen.
+distance ``SEGMENTS * r + a`` of a query differs from it in at most r bits of one of the segments 0 to a, or
+in at most r - 1 bits of another, so once the keys within those radii are looked up, all codes up to that
+distance are seen.
 Radii grow round by round; a query is done when its kth verified distance is covered, which
 proves that no code outside can be nearer.
 
@@ -28,6 +29,11 @@ from codewarden.llm.common import written
 BITS = 64
 SEGMENTS = 4
 WIDTH = BITS // SEGMENTS
+#: (radius, first and last segment) of each round; look-ups are many from radius 2 on, so half of the
+#: segments grow at a time.
+STEPS = [(r, 0, SEGMENTS - 1) for r in (0, 1)] + [
+    (r, *part) for r in range(2, WIDTH + 1) for part in ((0, SEGMENTS // 2 - 1), (SEGMENTS // 2, SEGMENTS - 1))
+]
 K = 10
 #: Every row whose id is divisible by this is a query.
 EVERY = 50
@@ -60,15 +66,16 @@ def _segment(number: Column, segment: Column) -> Column:
 
 
 def index(found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(code, ids) with the k least ids of each distinct code, and (segment, value, code)."""
+    """(code, ids) with the k least ids of each distinct code, and (segment, value, code, n) with
+    the number of those ids."""
     least = F.row_number().over(W.partitionBy("code").orderBy("id"))
     # A window cut at a rank: Spark keeps k rows a code in each task before the shuffle.
     few = found.distinct().withColumn("n", least).filter(F.col("n") <= k)
     holders = written(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
-    keys = holders.select("code", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("segment"))
-    return holders, written(
-        keys.select("segment", _segment(F.col("code"), F.col("segment")).alias("value"), "code"), "segments"
-    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))
+    keys = holders.select("code", F.size("ids").alias("n"), every.alias("segment"))
+    value = _segment(F.col("code"), F.col("segment")).alias("value")
+    return holders, written(keys.select("segment", value, "code", "n"), "segments")
 
 
 def _masks(radius: int) -> Column:
@@ -91,19 +98,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, skip_self: bool =
     need = k + 1 if skip_self else k
     asked = written(codes(queries).distinct(), "queries")
     holders, segments = index(codes(vectors), need)
-    sizes = holders.select("code", F.size("ids").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = holders.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     open_ = asked.select(F.col("code").alias("query")).distinct()
     best = None
     done = []
-    for radius in range(WIDTH + 1):
+    for radius, first, last in STEPS:
         probes = open_.select(
-            "query", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("segment")
-        ).select(
-            "query",
-            "segment",
-            F.explode(_masks(radius)).alias("mask"),
-        )
+            "query", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("segment")
+        ).select("query", "segment", F.explode(_masks(radius)).alias("mask"))
         probes = probes.select(
             "query",
             "segment",
@@ -111,16 +113,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, skip_self: bool =
         )
         seen = (
             probes.join(segments.hint("merge"), ["segment", "value"])
-            .select("query", "code")
+            .select("query", "code", "n")
             .distinct()
-            .join(sizes.hint("merge"), "code")
             .withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
         )
         if best is not None:
             seen = seen.unionByName(best.join(open_.hint("merge"), "query", "left_semi")).dropDuplicates(["query", "code"])
         best = written(_best(seen.select("query", "code", "distance", "n"), need), "best")
         # Ids at distances that this radius covers; every id counts as covered at the last.
-        covered = SEGMENTS * (radius + 1) - 1
+        covered = SEGMENTS * radius + last
         state = written(
             open_.join(
                 best.filter(F.col("distance") <= covered)

@@ -2,8 +2,9 @@
 
 A text is cut in sentences: at ``.``, ``!`` or ``?`` before white space, and at line ends. A sentence of more
 than ``PIECE`` words goes on as pieces of that many words, so a long passage without a full stop
-still has several. Every run of ``RUN`` consecutive sentences with ``LEAST_WORDS`` words or more is
-hashed (a text with fewer sentences is one run), and the hashes of all texts are joined. The first
+still has several. From every sentence on, a run of ``RUN`` consecutive sentences, or of as many more as
+``LEAST_WORDS`` words take, is hashed (a text with fewer than ``RUN`` sentences is one run, if it has
+the words), and the hashes of all texts are joined. The first
 place of a run, by id, text and place, stays; every sentence under another place of it goes.
 
 Words are compared lower-cased (A-Z) and without regard to white space. What stays of a text is its
@@ -62,24 +63,32 @@ class Sentences:
     def runs(self):
         """(hash, text number, number of the first sentence, length) of all runs."""
         total = np.concatenate([[0], np.cumsum(self.sizes)])
-        full = words.window_hashes(self.hashes, list(range(RUN)), salt=500 + RUN)
         counts = np.diff(self.first)
         owner = np.repeat(np.arange(len(counts)), counts)
         at = np.arange(len(self.hashes))
-        whole = at + RUN <= self.first[1:][owner]
-        at, owner = at[whole], owner[whole]
-        long = total[at + RUN] - total[at] >= LEAST_WORDS
-        out = [(full[at[long]], owner[long], at[long] - self.first[owner[long]], RUN)]
+        # A run of short sentences goes on until it has the words.
+        upto = np.maximum(at + RUN, np.searchsorted(total, total[at] + LEAST_WORDS))
+        whole = upto <= self.first[1:][owner]
+        at, upto, owner = at[whole], upto[whole], owner[whole]
+        out = [(_run_hashes(self.hashes, at, upto, 500), owner, at - self.first[owner], upto - at)]
         for n in range(1, RUN):
             texts = np.flatnonzero(counts == n)
             at = self.first[texts]
             long = total[at + n] - total[at] >= LEAST_WORDS
             texts, at = texts[long], at[long]
-            short = words.window_hashes(self.hashes, list(range(n)), salt=500 + n)
-            out.append((short[at], texts, at - at, n))
+            found = _run_hashes(self.hashes, at, at + n, 500)
+            out.append((found, texts, at - at, np.full(len(at), n)))
         return out
 
 
+def _run_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each run items[start:end]; runs of any lengths may overlap."""
+    sums = np.zeros(len(items) + 1, np.uint64)
+    np.cumsum(items * words._power_table(words._BASE, len(items) + 1)[: len(items)], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * words._power_table(words._INVERSE, len(items) + 1)[starts]
+    return words.mix(found + words.mix((ends - starts).astype(np.uint64) + np.uint64(salt << 32)))
+
+
 RUNS = "hash long, __id long, __text long, at int, size int"
 
 
@@ -95,7 +104,7 @@ def runs(docs: DataFrame) -> DataFrame:
                         pa.array(hashes.view(np.int64)),
                         *keys,
                         pa.array(at.astype(np.int32)),
-                        pa.array(np.full(len(at), size, np.int32)),
+                        pa.array(size.astype(np.int32)),
                     ],
                     names=[part.split()[0] for part in RUNS.split(", ")],
                 )

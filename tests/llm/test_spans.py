@@ -71,3 +71,10 @@ def test_edges_and_empty(spark):
 def test_sentence_bounds():
     found = spans.Sentences(pa.array(["A b. C d!  E\nf", None, "", "x.y z."]))
     assert found.first.tolist() == [0, 4, 4, 4, 5] and found.sizes.tolist() == [2, 2, 1, 1, 2]
+
+
+def test_a_passage_of_short_sentences(spark):
+    passage = " ".join(f"{words(300 + k, 1 + k % 2)}." for k in range(60))
+    rows = [(1, f"Mine stands first here.\n{passage}\nMine last."), (2, f"Yours, too.\n{passage}\nAnd more here.")]
+    got = {r["__id"]: r.cut_text for r in spans.cut_repeats(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Yours, too.\nAnd more here."}

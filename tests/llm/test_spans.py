@@ -78,3 +78,40 @@ def test_a_passage_of_short_sentences(spark):
     rows = [(1, f"Mine stands first here.\n{passage}\nMine last."), (2, f"Yours, too.\n{passage}\nAnd more here.")]
     got = {r["__id"]: r.cut_text for r in spans.cut_repeats(docs(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "Yours, too.\nAnd more here."}
+
+
+def test_a_passage_that_starts_inside_a_sentence(spark):
+    rows, kept = [], {}
+    for n in range(20):
+        passage = words(600 + n, 49)
+        for place in (2 * n, 2 * n + 1):
+            before, after = words(2000 + place, 3 + 5 * (place % 7)), words(3000 + place, 4 + place % 9)
+            rows.append((place, f"Start. {before} {passage} {after}."))
+            kept[place] = len(f"{before} {after}".split()) + 1
+    found = spans.cut_repeats(docs(spark, rows)).collect()
+    for r in found:
+        left = len(r.cut_text.split()) - kept[r["__id"]]
+        assert left == 49 if r["__id"] % 2 == 0 else left <= 4 * (spans.NEAR - 1)
+
+
+def test_content_runs_depend_on_the_words_nearby():
+    texts = [words(1, 80), "a " * 50, f"{words(2, 30)} {words(1, 80)}", "", words(3, 5), words(4, 18), None]
+    found = spans.Sentences(pa.array(texts))
+    h, owner, at, size = found._content_runs()
+    for n, text in enumerate(texts):
+        a, b = found.word_first[n : n + 2]
+        mine = found.words[a:b].tolist()
+        cuts = {0} if mine else set()
+        for i in range(len(mine) - spans.NEAR + 1):
+            window = mine[i : i + spans.NEAR]
+            cuts.add(i + max(k for k, x in enumerate(window) if x == min(window)))
+        ends = sorted(cuts | {len(mine)})
+        want = {(c, next((e for e in ends if e >= c + spans.LONG_WORDS), None)) for c in cuts}
+        want = {(c, e - c) for c, e in want if e}
+        assert set(zip(at[owner == n].tolist(), size[owner == n].tolist())) == want
+    # Runs that have the same words have the same hash, and no others.
+    by_words = {}
+    for x, o, a, s in zip(h.tolist(), owner, at, size):
+        by_words.setdefault(x, set()).add(tuple(texts[o].split()[a : a + s]))
+    assert all(len(v) == 1 for v in by_words.values())
+    assert len(by_words) == len({w for v in by_words.values() for w in v})

@@ -16,6 +16,9 @@ count as one licence, the least id. Repeated rows are repeated in the result.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +102,119 @@ KNOWN = {
     ),
 }
 
+# Title lines that stand over the short texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "0BSD"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License", "zlib"),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License", "The BSD 3-Clause License", "3-Clause BSD License", "The 3-Clause BSD License",
+        "BSD License", "The BSD License", "New BSD License", "BSD-3-Clause",
+    ),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License", "The BSD 2-Clause License", "2-Clause BSD License", "The 2-Clause BSD License",
+        "BSD License", "Simplified BSD License", "FreeBSD License", "BSD-2-Clause",
+    ),
+    "BSL-1.0": ("Boost Software License",),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+_CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_GNU = {"GPL": "General Public", "LGPL": "Lesser General Public", "AGPL": "Affero General Public", "GFDL": "Free Documentation"}
+_GNU_VERSIONS = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3")
+# What notices call a licence, beside its SPDX identifier.
+NAMES = {
+    "Apache-2.0": (
+        "Apache License, Version 2.0", "Apache License 2.0", "Apache Software License 2.0", "Apache Software License, Version 2.0",
+        "Apache 2.0", "Apache 2.0 License", "Apache 2 License", "Apache License v2.0", "Apache License, Version 2.0 (the \"License\")",
+    ),
+    "MIT": ("MIT License", "MIT License (MIT)", "MIT/X11 License", "Expat License"),
+    "ISC": ("ISC License",),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License"),
+    "Zlib": ("zlib License", "zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License",
+    ),
+    "BSL-1.0": ("Boost Software License", "Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Unlicense": ("Unlicense",),
+    "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "Mozilla Public License, v. 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "EPL-1.0": ("Eclipse Public License, Version 1.0", "Eclipse Public License 1.0", "Eclipse Public License v1.0"),
+    "EPL-2.0": ("Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "Artistic-2.0": ("Artistic License 2.0", "Artistic License, Version 2.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0", "CC0 1.0 Universal", "Creative Commons Zero 1.0", "Creative Commons CC0 1.0 Universal License"),
+}
+for _of in _GNU_VERSIONS:
+    _kind, _, _version = _of.partition("-")
+    for _number in {_version, _version.removesuffix(".0")}:
+        for _long in (f"GNU {_GNU[_kind]} License", f"GNU {_kind}", _kind):
+            for _later in ("", " or later"):
+                NAMES[_of] = NAMES.get(_of, ()) + tuple(
+                    f"{_long}{_mark}{_number}{_later}" for _mark in (", version ", " v", " ")
+                )
+    NAMES[_of] += tuple(f"{_of}{end}" for end in ("-only", "-or-later", "+"))
+for _code, _long in _CC.items():
+    for _version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        NAMES[f"CC-{_code}-{_version}"] = (
+            f"CC {_code} {_version}",
+            f"CC {_code} {_version} License",
+            f"Creative Commons {_code} {_version}",
+            f"Creative Commons {_long} {_version}",
+            f"Creative Commons {_long} {_version} License",
+            f"Creative Commons {_long} {_version} International",
+            f"Creative Commons {_long} {_version} International License",
+            f"Creative Commons {_long} {_version} Unported License",
+        )
+OPENINGS = (
+    "Licensed under", "Released under", "Distributed under", "Published under", "Available under", "Made available under",
+    "License:", "Licensed under the terms of",
+    *(f"This {thing} is licensed under" for thing in "work project software file code program content document text".split()),
+)
+
+
+def _forms(text: str) -> set[str]:
+    """A licence file's text, with and without its title, the appendix behind its terms, and the marks of its list."""
+    out = {text}
+    out |= {t[: t.index(END) + len(END)] for t in out for END in ("END OF TERMS AND CONDITIONS",) if END in t}
+    out |= {t.strip().partition("\n\n")[2] for t in out}
+    return {t for t in out if t.strip()}
+
+
+def public_licences() -> list[tuple[str, str]]:
+    """(licence, text) of ``KNOWN``, public licence texts with and without their title lines, and notices."""
+    texts = {name: {text} for name, text in KNOWN.items() if not name.endswith("-notice")}
+    for file in resources.files(__package__).joinpath("licence_texts").iterdir():
+        if file.name.endswith(".txt"):
+            name = file.name.removesuffix(".txt").removesuffix(".regents")
+            text = file.read_text("utf-8")
+            texts.setdefault(name, set()).update({text} if name.startswith("BSD") else _forms(text))
+    body = {re.sub(r"\A.*?(?=Redistribution and use)", "", t, flags=re.S) for t in texts["BSD-3-Clause"]}
+    third = r"\n3\. Neither.*?permission\.\n"
+    for name, found in (("BSD-3-Clause", body), ("BSD-2-Clause", {re.sub(third, "\n", t, flags=re.S) for t in body})):
+        marked = found | {re.sub(r"(?m)^(\s*)[123]\.", r"\1*", t) for t in found}
+        texts[name] = marked | {f"All rights reserved.\n{t}" for t in marked}
+    for name, titles in TITLES.items():
+        texts[name] |= {f"{title}\n{text}" for title in titles for text in texts[name]}
+    out = {(name, text) for name, found in texts.items() for text in found} | set(KNOWN.items())
+    for name, called in NAMES.items():
+        out |= {(f"{name}-notice", f"SPDX-License-Identifier: {x}") for x in (name, *(c for c in called if c.startswith(f"{name}")))}
+        out |= {
+            (f"{name}-notice", f"{opening} {article}{x}.")
+            for opening in OPENINGS
+            for x in (name, *called)
+            for article in (("", "the ", "a ") if x.startswith("Creative") else ("", "the ") if " " in x else ("",))
+        }
+    return sorted(out)
+
+
 #: A line that only says whose the text is.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 
@@ -127,9 +243,13 @@ def digest(form: Column) -> Column:
     return F.sha2(form.cast("binary"), 256)
 
 
-def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(digest, licence) of licence texts."""
-    rows = spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "licence string, text string")
+def known_licences(
+    spark: SparkSession, texts: dict[str, str] | list[tuple[str, str]] | None = None
+) -> DataFrame:
+    """(digest, licence) of licence texts, given as licence: text or, for several of one licence, as pairs."""
+    texts = KNOWN if texts is None else texts
+    pairs = list(texts.items()) if isinstance(texts, dict) else texts
+    rows = spark.createDataFrame(pairs, "licence string, text string")
     form = canonical(F.col("text"))
     return (
         rows.filter(F.length(form) > 0)
@@ -181,8 +301,9 @@ def _sql_digest(folded: str) -> str:
     return f"sha256(trim(regexp_replace({folded}, '[ \\n]+', ' ', 'g')))"
 
 
-SCAN_SQL = f"""
-WITH known_texts(licence, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in KNOWN.items())}),
+def scan_sql(known: list[tuple[str, str]]) -> str:
+    return f"""
+WITH known_texts(licence, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in known)}),
 known AS (
   SELECT {_sql_digest("folded")} AS digest, min(licence) AS licence
   FROM (SELECT licence, {_sql_folded("text")} AS folded FROM known_texts) GROUP BY 1
@@ -198,3 +319,6 @@ SELECT u.doc_id, u.unit, u.line, u.digest, k.licence
 FROM units u LEFT JOIN known k ON k.digest = u.digest
 WHERE u.unit = 'document' OR k.licence IS NOT NULL
 """
+
+
+SCAN_SQL = scan_sql(list(KNOWN.items()))

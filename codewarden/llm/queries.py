@@ -117,6 +117,13 @@ def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
 
+@query("op7_licence_digests_public", licences.scan_sql(licences.public_licences()))
+def op7_licence_digests_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all public licence texts and notices."""
+    known = licences.known_licences(spark, licences.public_licences())
+    return licences.scan(table(spark, sf_dir, "documents"), known)
+
+
 @query("op8_exponential_keys", mixing_sql.MIXED)
 def op8_exponential_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""

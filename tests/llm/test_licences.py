@@ -43,3 +43,41 @@ def test_edges(spark):
 
 def test_known_texts_are_told_apart(spark):
     assert licences.known_licences(spark).count() == len(licences.KNOWN)
+
+
+def test_every_notice_line_of_the_documents_is_known(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = documents.selectExpr("explode(split(text, '\n')) AS text").filter(r"text rlike '(?i)\\blicen[sc]ed under|released under'")
+    lines = [r.text for r in lines.filter("length(text) < 100").distinct().collect()]
+    assert "Licensed under CC BY-NC 4.0." in lines and len(lines) == 4
+    got, _ = found(spark, list(enumerate(lines)), licences.public_licences())
+    named = {lines[i]: licence for i, unit, _, licence in got if unit == "line"}
+    assert sorted(named) == sorted(lines) and named["Licensed under CC BY-NC 4.0."] == "CC-BY-NC-4.0-notice"
+
+
+def test_public_texts_with_and_without_titles(spark):
+    by_file = {f.name: f.read_text() for f in licences.resources.files("codewarden.llm").joinpath("licence_texts").iterdir()}
+    gpl, apache, bsd = (by_file[f"{n}.txt"] for n in ("GPL-3.0", "Apache-2.0", "BSD-3-Clause"))
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{licences.KNOWN['MIT']}"),
+        (2, gpl),
+        (3, gpl.strip().partition("\n\n")[2].upper()),
+        (4, apache[: apache.index("APPENDIX: How")]),
+        (5, f"BSD 3-Clause License\n\nCopyright (c) 2020, me\nAll rights reserved.\n\n{bsd.partition('.')[2].strip()}"),
+        (6, "# SPDX-License-Identifier: GPL-2.0-or-later"),
+        (7, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        (8, "// SPDX-License-Identifier: MPL-2.0"),
+        (9, f"MIT License for some\n{licences.KNOWN['MIT']}"),
+    ]
+    got, _ = found(spark, rows, licences.public_licences())
+    assert {(i, licence) for i, unit, _, licence in got if unit == "document"} == {
+        (1, "MIT"), (2, "GPL-3.0"), (3, "GPL-3.0"), (4, "Apache-2.0"), (5, "BSD-3-Clause"),
+        (6, "GPL-2.0-notice"), (7, "CC-BY-NC-4.0-notice"), (8, "MPL-2.0-notice"),
+    }
+
+
+def test_public_texts_name_one_licence_each(spark):
+    rows = spark.createDataFrame(licences.public_licences(), "licence string, text string")
+    form = licences.digest(licences.canonical(licences.F.col("text"))).alias("digest")
+    several = rows.select(form, "licence").distinct().groupBy("digest").agg(licences.F.collect_set("licence").alias("l"))
+    assert several.filter("size(l) > 1").collect() == []

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals, with_ranges
 from codewarden.support import materialize
@@ -14,6 +17,8 @@ MIX_FACTOR = 1597334677
 SEED_FACTOR = 40503
 HASH_RANGE = 2**32
 ID_RANGE = 2**31
+# Bits of the sum of scaled weights; draws have 60.
+WEIGHT_BITS = 58
 
 
 def shuffle_key(idx: Column, seed: Column | int = 0) -> Column:
@@ -88,6 +93,31 @@ def balanced_sample(
     return draws.join(numbered, [label, "__number"]).drop("__number")
 
 
+def _whole_weights(df: DataFrame, weight: str) -> Column:
+    """The weights as whole numbers. Those of other types are multiplied by a power of two that takes their
+    sum to ``WEIGHT_BITS`` bits, and rounded up, so each weight above 0 counts."""
+    given = df.schema[weight].dataType
+    number = F.col(weight) if isinstance(given, T.IntegralType) else F.col(weight).cast("double")
+    wrong = (number < 0) | F.isnan(number) | (number == float("inf"))
+    number = F.when(wrong, F.raise_error("weight is negative, NaN or infinite")).otherwise(number)
+    if isinstance(given, T.IntegralType):
+        return number.cast("long")
+
+    def scaled(power: int) -> Column:
+        # In two steps, as the power alone may be beyond a double.
+        return number * F.lit(2.0 ** (power // 2)) * F.lit(2.0 ** (power - power // 2))
+
+    most = df.agg(F.max(number)).first()[0]
+    if not most:
+        return F.lit(0).cast("long")
+    # Whole numbers of 53 bits have the same sum in any order; a row loses less than 1 of it.
+    power = 53 - math.frexp(most)[1]
+    total, rows = df.agg(
+        F.sum(F.floor(scaled(power)).cast("decimal(38,0)")), F.count(F.lit(1))
+    ).first()
+    return F.ceil(scaled(power + WEIGHT_BITS - (int(total) + rows).bit_length())).cast("long")
+
+
 def weighted_sample(
     df: DataFrame,
     n: int,
@@ -96,15 +126,16 @@ def weighted_sample(
     key: str = "idx",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Draw ``n`` rows with replacement by whole-number weights.
+    """Draw ``n`` rows with replacement by weights.
 
     Running weights place each row at a start; a draw is a point below the sum of all weights and
     takes the row whose weight it falls in. Starts and points are walked together in one order, so
     each draw learns the number of its row, and an equi-join on that number fetches it. Sums of
     whole numbers are the same in any order, and the walk is written once, so numbers agree.
-    Fractional weights are scaled first; a row without weight, or with 0, is never drawn.
+    Fractional weights are scaled to whole numbers first; a row without weight, or with 0, is never
+    drawn, and a negative, NaN or infinite weight is an error.
     """
-    weighted = df.withColumn("__weight", F.col(weight).cast("long")).filter("__weight > 0")
+    weighted = df.withColumn("__weight", _whole_weights(df, weight)).filter("__weight > 0")
     placed = materialize(
         running_totals(
             weighted.select(key, "__weight"),

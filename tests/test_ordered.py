@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codewarden.operators import curves, lines, sampling
+from codewarden.operators import classes, curves, lines, sampling
 from codewarden.operators.ordered import (
     global_rank,
     rank_within,
@@ -137,6 +137,32 @@ def test_weighted_sample(spark, size):
     assert all(r["idx"] < 3 or r["idx"] % 2 for r in got)
 
 
+@pytest.mark.parametrize("size", [10_000, 100])
+def test_weighted_sample_of_balance_weights(spark, size):
+    df = spark.range(900).select(
+        F.col("id").alias("idx"), (F.col("id") % 9 == 0).cast("int").alias("target")
+    )
+    weighted = classes.balance_weights(df)
+    got = sampling.weighted_sample(weighted, 600, seed=3, rows_per_range=size).collect()
+    assert sorted(r["draw"] for r in got) == list(range(600))
+    assert 240 < sum(r["target"] for r in got) < 360  # a ninth of the rows, half of the draws
+
+
+def test_fractions_of_weights_count(spark):
+    rows = [(0, 1.9), (1, 0.1), (2, 1e-300), (3, 0.0), (4, None)]
+    df = spark.createDataFrame(rows, "idx long, weight double")
+    got = [r["idx"] for r in sampling.weighted_sample(df, 4000, seed=1).collect()]
+    assert len(got) == 4000 and set(got) == {0, 1} and 140 < got.count(1) < 260
+    tiny = df.withColumn("weight", F.col("weight") * 1e-300)
+    again = [r["idx"] for r in sampling.weighted_sample(tiny, 4000, seed=1).collect()]
+    assert len(again) == 4000 and set(again) == {0, 1} and 140 < again.count(1) < 260
+    assert sampling.weighted_sample(df.filter("idx > 2"), 10).collect() == []
+    for bad in (-1.0, float("nan"), float("inf")):
+        wrong = df.union(spark.createDataFrame([(9, bad)], df.schema))
+        with pytest.raises(Exception, match="weight is negative, NaN or infinite"):
+            sampling.weighted_sample(wrong, 10).collect()
+
+
 def test_results_do_not_depend_on_partitions(spark, df):
     want = None
     for partitions in (1, 4, 37):

@@ -94,7 +94,8 @@ def _batch(columns: list[pa.Array], names: list[str], places, lengths) -> Iterat
 
 
 def index(benchmark: DataFrame) -> DataFrame:
-    """All hashed places of the items (item_id, text)."""
+    """All hashed places of the items (item_id, text), with ``class``: places that look alike in all that
+    is compared are one class, whichever items they are in."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +113,7 @@ def index(benchmark: DataFrame) -> DataFrame:
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     )
     places = items.mapInArrow(scan, f"item_id long, {PLACES}")
-    return places.groupBy("mask", "hash", "around").agg(
-        F.min("item_id").alias("item_id"), F.min("at").alias("item_at")
-    )
+    return places.withColumn("class", F.xxhash64("mask", "hash", "around"))
 
 
 def _filter_bits(places: DataFrame) -> tuple[np.ndarray, int]:
@@ -133,10 +132,26 @@ def _filter_bits(places: DataFrame) -> tuple[np.ndarray, int]:
     return table, bits
 
 
+SUMMARY = {"matched": F.max, "first_word": F.min, "last_word": F.max}
+
+
+def _summary(found: DataFrame, by: str) -> DataFrame:
+    return found.groupBy("__id", "__text", "doc_id", by).agg(
+        *[best(name).alias(name) for name, best in SUMMARY.items()]
+    )
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it leaks: key columns, ``doc_id``, ``item_id``, ``matched``
-    (most equal words in a window), ``first_word`` and ``last_word`` (0-based, of the document)."""
-    test = written(index(benchmark), "benchmark")
+    (most equal words in a window), ``first_word`` and ``last_word`` (0-based, of the document).
+    Items that share a passage have a row each."""
+    items = written(index(benchmark).select("class", "item_id").distinct(), "items")
+    return _summary(class_leaks(docs, benchmark).join(items, "class"), "item_id")
+
+
+def class_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The same for each document and class of places, whichever items they are in."""
+    test = written(index(benchmark).select("mask", "hash", "around", "class").distinct(), "benchmark")
     table, bits = _filter_bits(test)
     lengths = tuple(
         sorted(-r["mask"] for r in test.filter("mask < 0").select("mask").distinct().collect())
@@ -155,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield from _batch([batch.column(k) for k in keys], keys, places, lengths)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["__id", "__text", "doc_id", "item_id"]
+        keys = ["__id", "__text", "doc_id", "class"]
         for batch in batches:
             mask = batch.column("mask").to_numpy()
             for n in np.unique(mask):
@@ -192,17 +207,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.join(test.withColumnRenamed("around", "item_around"), ["mask", "hash"])
     found = hits.mapInArrow(
         compare,
-        "__id long, __text long, doc_id long, item_id long, matched long, first_word long, last_word long",
-    )
-    return found.groupBy("__id", "__text", "doc_id", "item_id").agg(
-        F.max("matched").alias("matched"),
-        F.min("first_word").alias("first_word"),
-        F.max("last_word").alias("last_word"),
+        "__id long, __text long, doc_id long, class long, matched long, first_word long, last_word long",
     )
+    return _summary(found, "class")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, in all their columns."""
-    bad = leaks(docs, benchmark).select("__id", "__text").distinct()
+    bad = class_leaks(docs, benchmark).select("__id", "__text").distinct()
     kept = docs.withColumns(row_key()).join(bad, ["__id", "__text"], "left_anti")
     return kept.select(*docs.columns)

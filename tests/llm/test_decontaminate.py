@@ -73,3 +73,15 @@ def test_empty_tables(spark):
     item = words(3, 20)
     assert dc.leaks(docs(spark, []), bench(spark, [(1, item)])).count() == 0
     assert dc.decontaminate(docs(spark, [(1, item)]), bench(spark, [])).count() == 1
+
+
+def test_items_that_share_a_passage_have_a_row_each(spark):
+    shared = words(3, 50)
+    items = [(5, shared), (9, shared), (7, f"{words(4, 20)} {shared} {words(5, 20)}"), (8, words(6, 30))]
+    inside = " ".join(shared.split()[15:35])
+    rows = [(1, f"{words(8, 7)} {shared} {words(9, 5)}"), (2, inside), (3, items[2][1])]
+    found = dc.leaks(docs(spark, rows), bench(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute(rows, items)
+    at = {(r.doc_id, r.item_id): (r.first_word, r.last_word) for r in found}
+    assert len(found) == 9 and at[1, 5] == at[1, 9] == at[1, 7] == (7, 56)
+    assert at[2, 9] == (0, 19) and at[3, 7] == (0, 89) and at[3, 9] == (20, 69)

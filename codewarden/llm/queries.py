@@ -19,6 +19,7 @@ from codewarden.llm import (
     slots,
     spans,
     toxicity,
+    whitening,
 )
 from codewarden.llm.common import fold, table, written
 from codewarden.support import shared_dir
@@ -148,3 +149,9 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors, by sign bits, of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return hamming.search(vectors, vectors.filter(F.col("vec_id") % hamming.EVERY == 0))
+
+
+@query("op13_lanczos")
+def op13_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first components of all distinct vectors, at unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

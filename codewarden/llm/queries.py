@@ -16,6 +16,7 @@ from codewarden.llm import (
     mixing_sql,
     near_dup,
     perspectives,
+    secrets,
     slots,
     spans,
     toxicity,
@@ -151,6 +152,25 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.search(vectors, vectors.filter(F.col("vec_id") % hamming.EVERY == 0))
 
 
+@query("op11_structural")
+def op11_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets of every document, looks and proven structures alike."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    spelled = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+        F.exists("spans", lambda s: ~s["kind"].isin(*secrets.BASE_KINDS)).alias("confirmed"),
+    )
+
+
 @query("op13_lanczos")
 def op13_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the first components of all distinct vectors, at unit variance."""

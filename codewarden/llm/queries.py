@@ -19,6 +19,7 @@ from codewarden.llm import (
     secrets,
     slots,
     spans,
+    spelling,
     toxicity,
     whitening,
 )
@@ -171,6 +172,13 @@ def op11_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_fm_index")
+def op12_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with the more frequent word it varies, and where such steps end."""
+    found = spelling.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query("op13_lanczos")
 def op13_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the first components of all distinct vectors, at unit variance."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,32 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
     }
 
 
+def unused(taken: Iterable[str], name: str) -> str:
+    """``name``, behind as many underscores as it takes to be none of ``taken``, in any case."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """Every column of ``df``, whatever its name holds."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with its row key as one struct, and that column's name, which ``docs`` had not."""
+    name = unused(docs.columns, "__key")
+    return docs.withColumn(name, F.struct(*[c.alias(k) for k, c in row_key().items()])), name
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """Rows of ``docs`` with (``left_semi``) or without (``left_anti``) their key among ``keys``
+    (__id, __text), still with their key, and its name."""
+    rows, name = keyed(docs)
+    return rows.join(keys.select(F.struct("__id", "__text").alias(name)), name, how), name
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it instead of computing it again,
     and a lost executor costs no more than the tasks it had."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.llm import words
-from codewarden.llm.common import row_key, written
+from codewarden.llm.common import all_columns, matching, row_key, written
 
 WINDOW = 13
 SUBSTITUTIONS = 2
@@ -215,5 +215,4 @@ def class_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, in all their columns."""
     bad = class_leaks(docs, benchmark).select("__id", "__text").distinct()
-    kept = docs.withColumns(row_key()).join(bad, ["__id", "__text"], "left_anti")
-    return kept.select(*docs.columns)
+    return matching(docs, bad, "left_anti")[0].select(*all_columns(docs))

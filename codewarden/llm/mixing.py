@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import row_key, written
+from codewarden.llm.common import all_columns, row_key, unused, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -169,15 +169,15 @@ def choose(found: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken. Documents without words
     are taken with their source's order like all others."""
-    taken = choose(records(docs, labels)).filter("copies > 0").select("__id", "__text", "source", "copies")
-    taken = taken.dropDuplicates(["__id", "__text", "source"]).withColumnsRenamed(
-        {"__id": "__id2", "__text": "__text2", "source": "__source"}
+    key, copies = unused(docs.columns, "__key"), unused(docs.columns, "__copies")
+    record = [F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")]
+    taken = (
+        choose(records(docs, labels))
+        .filter("copies > 0")
+        .select(F.struct("__id", "__text", *record).alias(key), F.col("copies").alias(copies))
+        .dropDuplicates([key])
     )
-    rows = docs.withColumns(row_key())
-    same = (
-        (F.col("__id") == F.col("__id2"))
-        & (F.col("__text") == F.col("__text2"))
-        & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    )
-    copies = F.sequence(F.lit(1).cast("long"), F.col("copies"))
-    return rows.join(taken, same).withColumn("__copy", F.explode(copies)).select(*docs.columns)
+    own = F.struct(*[c.alias(k) for k, c in row_key().items()], *record)
+    rows = docs.withColumn(key, own).join(taken, key)
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return rows.withColumn(copies, repeated).select(*all_columns(docs))

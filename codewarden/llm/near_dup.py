@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.llm import words
-from codewarden.llm.common import NO_ID, row_key, written
+from codewarden.llm.common import NO_ID, all_columns, matching, row_key, written
 from codewarden.llm.components import connected
 
 SHINGLE = 5
@@ -461,5 +461,5 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
         .select("__id", "__text")
         .distinct()
     )
-    kept = docs.withColumns(row_key()).join(stay, ["__id", "__text"], "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    kept, key = matching(docs, stay, "left_semi")
+    return kept.dropDuplicates([key]).select(*all_columns(docs))

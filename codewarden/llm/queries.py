@@ -85,7 +85,7 @@ def op4_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = fold("doc_id", 5) != 0
     sample = toxicity.learning_texts(docs.filter(learn), labels.filter(learn))
-    found = toxicity.score(docs, toxicity.Scorer(sample))
+    found = toxicity.score(docs, toxicity.learn(sample))
     return found.select(
         "doc_id",
         (~learn).alias("held_out"),

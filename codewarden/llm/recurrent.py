@@ -18,9 +18,9 @@ WORD_DIM = 12
 GRAM_DIM = 12
 HIDDEN = 10
 ATTENTION = 8
-#: Words in a window, and from one window's start to the next.
+#: Words in a window, and from one window's start to the next: every phrase of 17 words is whole in one.
 WINDOW = 32
-STRIDE = 24
+STRIDE = 16
 #: Windows that go through the network together.
 TOGETHER = 1024
 
@@ -33,6 +33,7 @@ class Lexicon:
         starts, ends, self.first = words.word_spans(raw, bounds, words.IS_GAP)
         hashes = words.hash_spans(raw, starts, ends)
         self.hashes, where, self.of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.of = self.of.astype(np.int32)
         self.word = (self.hashes >> np.uint64(20)) % np.uint64(WORD_ROWS)
         self.word = self.word.astype(np.int64)
         size = ends[where] - starts[where]

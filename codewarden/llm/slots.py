@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codewarden.llm.common import all_columns, unused
+
 SLOTS = 4096
 OVERHEAD = 8
 #: A shard may hold this much more or less than its equal share before slots move.
@@ -143,13 +145,31 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return every.filter(F.col("version") == version)
 
 
+ADDED = ("virtual_slot", "version", "shard", "slot")
+
+
 def place(found: DataFrame, slot_map: DataFrame, order: list | None = None) -> DataFrame:
-    """``found`` with version, shard and ``slot``, the record's place in its shard, gapless from 0.
-    ``order`` orders the records of a slot, by id, digest and size if it isn't given."""
+    """``found`` (virtual_slot, ...) with version, shard and ``slot``, the record's place in its shard, gapless
+    from 0. ``order`` orders the records of a slot, by id, digest and size if it isn't given."""
     order = ["doc_id", "text_crc32", "size"] if order is None else order
+    number, entry = unused(found.columns, "__n"), unused(found.columns, "__entry")
     within = W.partitionBy("virtual_slot").orderBy(*order)
-    numbered = found.withColumn("__n", F.row_number().over(within) - 1)
+    numbered = found.withColumn(number, F.row_number().over(within) - 1)
     # The map is a fixed number of rows.
-    joined = numbered.join(F.broadcast(slot_map), "virtual_slot")
-    slot = (F.col("offset") + F.col("__n")).cast("long")
-    return joined.withColumn("slot", slot).drop("offset", "__n")
+    entries = slot_map.select("virtual_slot", F.struct("version", "shard", "offset").alias(entry))
+    return numbered.join(F.broadcast(entries), "virtual_slot").select(
+        "virtual_slot",
+        *[c for c, name in zip(all_columns(found), found.columns, strict=True) if name.lower() != "virtual_slot"],
+        F.col(f"{entry}.version").alias("version"),
+        F.col(f"{entry}.shard").alias("shard"),
+        (F.col(f"{entry}.offset") + F.col(number)).cast("long").alias("slot"),
+    )
+
+
+def place_documents(docs: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Whole documents with their place. Columns of theirs that are called as an added one is
+    (``ADDED``) come back as ``input_`` and their name."""
+    names = {c: unused([x for x in docs.columns if x != c], f"input_{c}") for c in docs.columns if c.lower() in ADDED}
+    rows = docs.withColumnsRenamed(names)
+    rows = rows.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text")))
+    return place(rows, slot_map, ["doc_id", F.xxhash64("text")])

@@ -5,8 +5,9 @@ words speak most for the label (counts over the learning texts against chance),
 scores highest, against random and high-scoring windows of clean documents. A document's score is that of
 its highest window, brought to 0..1 so that 0.5 parts the learning texts that were held back.
 
-The network is fitted on at most ``PER_LABEL`` texts of each label, of at most ``SAMPLE_CHARS`` characters,
-the first by a hash of their id: a documented bound that keeps training on one machine.
+The network is fitted on at most 1.5 times ``PER_LABEL`` texts of each label, of at most ``SAMPLE_CHARS``
+characters each and ``SAMPLE_BYTES`` in all, the first by a hash of their id: a documented bound that keeps
+training in one task.
 Scoring goes over every window of every text; a long text is scored window by window.
 
 Null texts, empty texts and texts without words have one empty window and get its score. Labels other
@@ -16,18 +17,22 @@ both labels every score is the share of toxic ones, or 0 if there are none.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.llm.recurrent import Adam, Lexicon, Network, gather, windows
 
 PER_LABEL = 1500
 SAMPLE_CHARS = 16_000
+#: Bytes of learning texts of each label.
+SAMPLE_BYTES = 8_000_000
 #: Learning texts kept out of training to set the threshold.
 HELD_BACK = 0.25
 ROUNDS = 6
@@ -47,8 +52,9 @@ SOFTNESS = 1.0
 STRIP_BYTES = 4_000_000
 
 
-def learning_texts(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> pa.Table:
-    """(text, toxic) of a bounded number of labelled texts, each text once."""
+def learning_texts(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """(text, toxic, place, doc_id) of a bounded number of labelled texts, each text once and toxic if
+    any of its ids is; the last two order them."""
     marks = (
         labels.filter("toxic IN (0, 1)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -66,15 +72,33 @@ def learning_texts(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABE
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).filter(F.length("text") <= SAMPLE_CHARS)
-    rows = (
-        # At most 3 * PER_LABEL rows of two numbers.
-        texts.join(F.broadcast(found), "doc_id")
-        .dropDuplicates(["text"])
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .select("text", "toxic")
-        .limit(3 * per_label)
-    )
-    return rows.toArrow()
+    # At most 3 * PER_LABEL rows of two numbers.
+    each = texts.join(F.broadcast(found), "doc_id").groupBy("text")
+    least = F.min(F.struct(F.xxhash64("doc_id").alias("place"), "doc_id")).alias("least")
+    each = each.agg(F.max("toxic").alias("toxic"), least).select("text", "toxic", "least.*")
+    along = W.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.sum(F.octet_length("text")).over(along)
+    return each.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).drop("upto")
+
+
+NO_TEXTS = pa.table({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())})
+
+
+def learn(sample: DataFrame, seed: int = 1) -> "Scorer":
+    """The network fitted on ``learning_texts``. The fit is one task on an executor, over a sample that is
+    bounded by ``PER_LABEL`` and ``SAMPLE_BYTES``; the driver sees the network alone."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        texts = NO_TEXTS
+        if rows:
+            by_place = [("place", "ascending"), ("doc_id", "ascending")]
+            texts = pa.Table.from_batches(rows).sort_by(by_place).combine_chunks()
+        model = pickle.dumps(Scorer(texts, seed))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(found["model"]) if found else Scorer(NO_TEXTS, seed)
 
 
 def _evidence(lexicon: Lexicon, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -209,9 +233,13 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 def keep_below(docs: DataFrame, scorer: Scorer, limit: float) -> DataFrame:
     """The rows of ``docs`` that score under ``limit``, in all their columns; no shuffle."""
 
+    at = [c.lower() for c in docs.columns].index("text")
+    # Python stages take no names with dots.
+    plain = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
+            texts = batch.column(at).cast(pa.string())
             yield batch.filter(pa.array(_in_strips(texts, scorer) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

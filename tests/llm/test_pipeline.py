@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from codewarden.llm import decontaminate, near_dup
+from codewarden.llm import decontaminate, near_dup, slots
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,10 +46,24 @@ def test_edges(spark):
     from tests.llm.helpers import EDGES
     from tests.llm.helpers import docs as small
 
-    kept = small(spark, EDGES, extra=True).drop("slot", "shard")
-    for name, stage in corpus_pipeline.STAGES:
+    names = ["copies", "__id", "__id2", "__text", "__source", "__key", "shard", "slot", "version", "offset", "node", "hash"]
+    names += ["entry", "virtual_slot", "a.b", "__copies", "__n", "source_size", "key"]
+    kept = small(spark, EDGES)
+    for name in names:
+        kept = kept.withColumn(name, F.concat(F.lit(f"{name}:"), F.coalesce(F.col("text"), F.lit("none"))))
+    columns = kept.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, SF)
-    assert {"shard", "slot"} <= set(kept.columns)
+        assert kept.columns == columns
+    name, stage = corpus_pipeline.STAGES[-1]
+    kept = stage(spark, kept, SF)
+    assert {"shard", "slot", "version", "virtual_slot"} <= set(kept.columns)
+    rows = kept.collect()
+    assert rows
+    for row in rows:
+        for name in names:
+            at = f"input_{name}" if name in slots.ADDED else name
+            assert row[at] == f"{name}:{'none' if row['text'] is None else row['text']}"
     empty = small(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)

@@ -77,10 +77,33 @@ def test_edges(spark):
     frame = docs(spark, EDGES, extra=True)
     labels = spark.createDataFrame([(4, 1, 1), (4, 1, 0), (None, 1, 1), (2, 0, None)], "doc_id long, quality int, toxic int")
     sample = toxicity.learning_texts(frame, labels)
-    assert sample.num_rows == 1 and sample.column("toxic").to_pylist() == [1]
-    scorer = toxicity.Scorer(sample)
+    assert [r.toxic for r in sample.collect()] == [1]
+    scorer = toxicity.learn(sample)
     assert {r.score for r in toxicity.score(frame, scorer).collect()} == {1.0}
-    nothing = toxicity.Scorer(toxicity.learning_texts(docs(spark, []), labels))
+    nothing = toxicity.learn(toxicity.learning_texts(docs(spark, []), labels))
     assert toxicity.keep_below(frame, nothing, 0.5).count() == len(EDGES)
     assert toxicity.keep_below(frame, nothing, 0.5).columns == frame.columns
     assert toxicity.score(docs(spark, []), nothing).count() == 0
+
+
+def test_a_text_is_toxic_if_one_of_its_ids_is(spark):
+    frame = docs(spark, [(1, "same words"), (2, "same words"), (3, "other words")])
+    marks = [(1, 1, 0), (2, 1, 1), (3, 1, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    sample = toxicity.learning_texts(frame, labels).collect()
+    assert {(r.text, r.toxic) for r in sample} == {("same words", 1), ("other words", 0)}
+
+
+def test_learning_texts_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    frame = docs(spark, [(n, f"{n:03d}" + "x" * 97) for n in range(100)])
+    labels = spark.createDataFrame([(n, 1, n % 2) for n in range(100)], "doc_id long, quality int, toxic int")
+    sample = toxicity.learning_texts(frame, labels).collect()
+    assert sorted(r.toxic for r in sample) == [0] * 10 + [1] * 10
+
+
+def test_phrases_of_half_a_window_are_whole_in_one():
+    first = np.array([0, 400])
+    _, start, length = recurrent.windows(first)
+    for n in range(400 - 16):
+        assert any(s <= n and n + 17 <= s + size for s, size in zip(start, length))

@@ -7,7 +7,6 @@ reads it, so a lost executor never costs more than the stage that is running.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codewarden.llm import decontaminate, mixing, near_dup, slots, toxicity
 from codewarden.llm.common import table, written
@@ -21,7 +20,7 @@ SHARDS = 24
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on all labels, does not hold for toxic."""
     sample = toxicity.learning_texts(docs, table(spark, sf_dir, "labels"))
-    return toxicity.keep_below(docs, toxicity.Scorer(sample), TOXIC)
+    return toxicity.keep_below(docs, toxicity.learn(sample), TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix with ``shard``, the place in it (``slot``), and the slot map's version."""
+    """The mix with ``virtual_slot``, ``shard``, the place in it (``slot``), and the slot map's ``version``; columns
+    that had these names come back as ``input_`` and their name."""
     found = written(slots.records(docs).select("virtual_slot", "size"), "slots")
     weight, rows = slots.slot_totals(found)
     path = shared_dir(spark, "llm-slot-map")
@@ -48,8 +48,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slots.write_map(slots.map_frame(spark, first, rows, 1).drop("version"), path, 1)
     edited = slots.rebalance(first, weight, SHARDS)
     slots.write_map(slots.map_frame(spark, edited, rows, 2).drop("version"), path, 2)
-    keyed = docs.withColumn("virtual_slot", slots.slot_of(F.col("doc_id"), F.col("text")))
-    return slots.place(keyed, slots.read_map(spark, path), ["doc_id", F.xxhash64("text")])
+    return slots.place_documents(docs, slots.read_map(spark, path))
 
 
 STAGES = [

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codewarden.sources.csv_records import csv_records
+
+# How fields are quoted.
+CSV = {"quote": '"', "escape": '"'}
 CORRUPT = "_corrupt_record"
 
 FUNCTION_SCHEMA = T.StructType(
@@ -76,17 +80,12 @@ def read_splits(
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; code may span lines, and quotes are doubled. A file whose records span
-    lines is one task, so the rows are spread out again behind it."""
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    return rows.hint("rebalance")
+    """CSV with a header; code may span lines, and quotes are doubled. Records are found in every
+    split of a file by itself (:mod:`csv_records`), so one large file is read in many tasks."""
+    records = csv_records(spark, path).filter("number > 1 AND record <> ''")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = F.from_csv("record", fields, CSV)
+    return records.select(parsed.alias("__record")).select("__record.*")
 
 
 def archive_lines(

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.functions import encoding, text
+from codewarden.support import checked_score
 
 # Fixed value: the only status with a meaning of its own, an unchanged function of a fixing commit.
 NOT_VULNERABLE = "NOT_VULNERABLE"
@@ -121,12 +122,15 @@ def align_predictions(examples: DataFrame, preds: DataFrame, key: str = "idx") -
 def result_table(
     functions: DataFrame, preds: DataFrame, threshold: float = 0.5, key: str = "idx"
 ) -> DataFrame:
-    """Score, truth, prediction and line count beside each test function."""
+    """Score, truth, prediction and line count beside each test function; a missing or NaN score stops
+    the job."""
     joined = align_predictions(functions, preds, key)
+    # The prediction holds the check, and the column that shows the score is the checked one.
+    score = checked_score(F.col("prob"), "prob")
     return joined.select(
-        F.col("prob").alias("logits"),
+        score.alias("logits"),
         F.col("target").alias("y_trues"),
-        (F.col("prob") > threshold).alias("y_preds"),
+        (score > threshold).alias("y_preds"),
         F.col(key).alias("index"),
         text.count_lines(F.col("code")).alias("num_lines"),
         "code",

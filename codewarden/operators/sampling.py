@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals, with_ranges
-from codewarden.support import materialize
+from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals
+from codewarden.support import materialize, small_side
 
 # Fixed values of the hash that stands for a random permutation.
 HASH_FACTOR = 2654435761
@@ -66,31 +66,39 @@ def balanced_sample(
 ) -> DataFrame:
     """Draw ``n`` rows with replacement, every class being equally likely.
 
-    Rows are numbered within their class; each draw picks a class and a number, and an
-    equi-join on the pair fetches the row. ``n`` defaults to the number of rows.
+    Classes are numbered in their order, and rows within their class; each draw picks a class number
+    and, by that class's size, a row number. Two equi-joins fetch them, the first with the table of
+    classes, which is broadcast only if it is seen to be small. ``n`` defaults to the number of rows.
+    Rows without a class are never drawn, and a table without classes gives no draws.
     """
-    cut, cells = with_ranges(df, [key], rows_per_range)
     numbered = running_totals(
-        cut, [key], {"__number": F.lit(1).cast("long")}, keys=[label], cells=cells
+        df.filter(F.col(label).isNotNull()),
+        [key],
+        {"__number": F.lit(1).cast("long")},
+        keys=[label],
+        rows_per_range=rows_per_range,
     )
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
-    sizes = sorted((row[label], row["__size"]) for row in counts.collect())
-    total = n if n is not None else sum(size for _, size in sizes)
+    # Read off the rows that the numbering has written.
+    sizes = numbered.groupBy(label).agg(F.max("__number").alias("__size"))
+    # Sizes are written once: draws and rows are to see the same numbers.
+    classes = materialize(
+        global_rank(sizes, [label], "__class", rows_per_range).select(
+            (F.col("__class") - 1).alias("__pick"), label, "__size"
+        ),
+        "classes",
+    )
+    many, whole = classes.agg(F.count(F.lit(1)), F.sum("__size")).first()
+    total = n if n is not None else whole or 0
     draw = F.col("id")
-    pick = F.pmod(shuffle_key(draw, 2 * seed), F.lit(len(sizes)))
-    labels = F.array(*[F.lit(value) for value, _ in sizes])
-    limits = F.array(*[F.lit(size).cast("long") for _, size in sizes])
-    number = F.pmod(shuffle_key(draw, 2 * seed + 1), F.get(limits, F.col("__pick"))) + 1
-    draws = (
-        df.sparkSession.range(total)
-        .withColumn("__pick", pick.cast("int"))
-        .select(
-            draw.alias("draw"),
-            F.get(labels, F.col("__pick")).alias(label),
-            number.alias("__number"),
-        )
+    draws = df.sparkSession.range(total if many else 0).select(
+        draw.alias("draw"),
+        F.pmod(shuffle_key(draw, 2 * seed), F.lit(max(many, 1))).cast("long").alias("__pick"),
+        shuffle_key(draw, 2 * seed + 1).alias("__point"),
+    )
+    picked = draws.join(small_side(classes), "__pick").select(
+        "draw", label, (F.pmod(F.col("__point"), F.col("__size")) + 1).alias("__number")
     )
-    return draws.join(numbered, [label, "__number"]).drop("__number")
+    return picked.join(numbered, [label, "__number"]).drop("__number")
 
 
 def _whole_weights(df: DataFrame, weight: str) -> Column:

@@ -179,24 +179,33 @@ def balanced_sample(spark, sf):
     return drawn.select("draw", "idx", "target")
 
 
-@query(
-    "weighted_sample",
-    sql(
-        f"""SELECT d.draw, w.idx, w.target FROM (
-              SELECT idx AS draw, ({_DRAWN[0]} * 268435456 + ({_DRAWN[1]} >> 4))
-                % (SELECT sum(CASE target WHEN 1 THEN 30 ELSE 1 END) FROM functions)::BIGINT AS point
-              FROM range((SELECT count(*) FROM functions)) AS r(idx)) d
-            JOIN (SELECT idx, target, CASE target WHEN 1 THEN 30 ELSE 1 END AS weight,
-                    sum(CASE target WHEN 1 THEN 30 ELSE 1 END) OVER (ORDER BY idx
-                      ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM functions) w
-              ON d.point >= w.upto - w.weight AND d.point < w.upto""",
-        "functions",
-    ),
+# The same scaling as the operator's: whole numbers of 53 bits are summed, and the power of two that takes
+# their sum, and a row's loss each, to 58 bits is what weights are multiplied by and rounded up.
+_WEIGHTED = sql(
+    f"""SELECT d.draw, w.idx, w.target FROM (
+          SELECT idx AS draw, ({_DRAWN[0]} * 268435456 + ({_DRAWN[1]} >> 4))
+            % (SELECT max(upto) FROM placed)::BIGINT AS point
+          FROM range((SELECT count(*) FROM functions)) AS r(idx)) d
+        JOIN placed w ON d.point >= w.upto - w.whole AND d.point < w.upto""",
+    "functions",
+).replace(
+    "\nSELECT",
+    """, given AS (SELECT idx, target, 1.0::DOUBLE / (count(*) OVER (PARTITION BY target) * 2.0) AS weight FROM functions),
+power AS (SELECT 53 - (floor(log2(max(weight))) + 1) AS first FROM given),
+scale AS (SELECT first + 58 - (floor(log2((sum(floor(weight * pow(2.0, first))::HUGEINT) + count(*))::DOUBLE)) + 1) AS power
+  FROM given, power GROUP BY first),
+placed AS (SELECT idx, target, whole, sum(whole) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM (SELECT idx, target, ceil(weight * pow(2.0, power))::BIGINT AS whole FROM given, scale))
+SELECT""",
+    1,
 )
+
+
+@query("weighted_sample", _WEIGHTED)
 def weighted_sample(spark, sf):
+    """Draws by the weights that balance the classes, as many as there are rows: an epoch of the sampler."""
     functions = views.functions(spark, sf)
-    weighted = functions.withColumn("weight", F.when(F.col("target") == 1, 30).otherwise(1))
-    # One draw for each row of the input, as an epoch of the sampler.
+    weighted = classes.balance_weights(functions)
     drawn = sampling.weighted_sample(weighted, functions.count(), seed=7)
     return drawn.select("draw", "idx", "target")
 

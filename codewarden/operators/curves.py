@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.operators.ordered import ROWS_PER_RANGE, running_totals, with_ranges
+from codewarden.operators.ordered import ROWS_PER_RANGE, running_totals
 from codewarden.support import checked_score, ratio
 
 # Keeps the F1 of a curve defined where precision and recall are both 0.
@@ -37,18 +37,15 @@ def score_table(
         F.when(F.col(label) == 1, 1).otherwise(0).cast("long").alias("pos"),
         F.when(F.col(label) == 1, 0).otherwise(1).cast("long").alias("neg"),
     )
-    rows, cells = with_ranges(rows, ["score"], rows_per_range)
-    grouped = rows.groupBy(*keys, *cells, "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
+    # Ties collapse before anything is written or ordered.
+    grouped = rows.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return running_totals(
         grouped,
         ["score"],
         {"pos_le": F.col("pos"), "neg_le": F.col("neg")},
         keys=keys,
-        cells=cells,
         grand={"pos_le": "p", "neg_le": "n"},
-        base=rows,
+        rows_per_range=rows_per_range,
     )
 
 

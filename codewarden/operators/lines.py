@@ -170,8 +170,7 @@ def line_scores_rows(tokens: DataFrame, chunk: int = 4096) -> DataFrame:
 
     ``tokens`` holds (func_id, pos, token, score), the positions counting from 0. A function is
     cut in chunks of positions, so no task holds a whole one; only the text of a single line is
-    gathered. The tokens, their closings and the stretches are written once each, since every walk
-    reads its input twice. Returns (func_id, line_idx, line, score).
+    gathered. Returns (func_id, line_idx, line, score).
     """
     tokens = materialize(tokens.select("func_id", "pos", "token", "score"), "tokens")
     last = tokens.groupBy("func_id").agg(F.max("pos").alias("__last"))
@@ -179,9 +178,8 @@ def line_scores_rows(tokens: DataFrame, chunk: int = 4096) -> DataFrame:
     marked = tokens.join(last, "func_id").withColumns(
         {"__closes": closing.cast("long"), "__chunk": F.floor(F.col("pos") / chunk)}
     )
-    marked = materialize(marked.drop("__last"), "closings")
     counted = running_totals(
-        marked, ["pos"], {"__upto": F.col("__closes")}, keys=["func_id"], cells=["__chunk"]
+        marked.drop("__last"), ["pos"], {"__upto": F.col("__closes")}, keys=["func_id"], cells=["__chunk"]
     )
     inside = F.col("__closes") == 0
     pieces = counted.groupBy("func_id", (F.col("__upto") - F.col("__closes")).alias("stretch")).agg(
@@ -189,7 +187,6 @@ def line_scores_rows(tokens: DataFrame, chunk: int = 4096) -> DataFrame:
         F.max(F.when(~inside, F.col("score"))).alias("closing"),
         _joined_in_order("pos", F.when(inside, F.col("token"))).alias("piece"),
     )
-    pieces = materialize(pieces, "stretches")
     live = F.col("total") != 0
     numbered = running_totals(
         pieces.withColumn("__chunk", F.floor(F.col("stretch") / chunk)),

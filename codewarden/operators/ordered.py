@@ -1,8 +1,8 @@
 """Running totals and ranks over a total order that no single task has to hold.
 
-The order is cut in ranges of similar size. Each range is totalled (a partial aggregate), the
-totals are summed up over the ranges, and every range then starts from its carried total. Only
-the short table of range totals is ever ordered as a whole.
+The rows are written once; whatever a caller put into them is computed once. The written order is cut in ranges of similar size. Each range is totalled (a partial
+aggregate that reads a few columns), the totals are summed up over the ranges, and every range
+then starts from its carried total. Only the short table of range totals is ever ordered as a whole.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codewarden.support import materialize
+
 # Rows one task may sort for a running total.
 ROWS_PER_RANGE = 1_000_000
 # Finest resolution of the quantiles. Beyond an eighth as many ranges their sizes vary more.
@@ -63,10 +65,10 @@ def _numbers(df: DataFrame, name: str) -> tuple[list[Column], bool]:
     raise TypeError(f"can't order by {name}: {kind}")
 
 
-def _cuts(df: DataFrame, rows_per_range: int) -> list[float]:
-    """Boundaries that leave about ``rows_per_range`` rows between neighbours; a value that
-    fills several ranges comes back several times."""
-    ranges = math.ceil(df.count() / rows_per_range)
+def _cuts(df: DataFrame, rows: int, rows_per_range: int) -> list[float]:
+    """Boundaries that leave about ``rows_per_range`` of the ``rows`` rows between neighbours; a
+    value that fills several ranges comes back several times."""
+    ranges = math.ceil(rows / rows_per_range)
     if ranges <= 1:
         return []
     grid = [i / ranges for i in range(1, ranges)]
@@ -74,7 +76,10 @@ def _cuts(df: DataFrame, rows_per_range: int) -> list[float]:
 
 
 def with_ranges(
-    df: DataFrame, order: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame,
+    order: Sequence[str],
+    rows_per_range: int = ROWS_PER_RANGE,
+    rows: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Add range columns whose lexicographic order agrees with the order of ``order``.
 
@@ -83,6 +88,7 @@ def with_ranges(
     that fills several ranges alone gets a range of its own, which the next order column splits
     further, so ties do not pile up in one task. The cuts are literals of the plan: a recomputed
     task lands in the same ranges. No range columns are added when the data fits one range.
+    ``df`` is read once for each level; ``rows`` is its size, counted if it isn't given.
     """
     df = checked_order(df, order)
     levels: list[Column] = []
@@ -97,7 +103,9 @@ def with_ranges(
     tied: Column | None = None
     for depth, number_of in enumerate(levels):
         scope = df if tied is None else df.filter(tied)
-        cuts = _cuts(scope.select(number_of.alias("__value")), rows_per_range)
+        if tied is not None or rows is None:
+            rows = scope.count()
+        cuts = _cuts(scope.select(number_of.alias("__value")), rows, rows_per_range)
         if not cuts:
             break
         heavy = [c for c, times in Counter(cuts).items() if times >= 3 and abs(c) < EXACT_DOUBLE]
@@ -125,26 +133,27 @@ def running_totals(
     keys: Sequence[str] = (),
     cells: Sequence[str] | None = None,
     grand: Mapping[str, str] | None = None,
-    base: DataFrame | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums, within ``keys``, along ascending ``order``.
 
     ``order`` must be total within ``keys``. ``cells`` names range columns that are already there
     (for instance ``pos div 4096``); without it they are cut from the data. ``grand`` maps a name
-    of ``totals`` to a column that receives its sum over all rows of the key. ``base`` is another
-    frame with the same keys, cells and summed columns to take the range totals from, for callers
-    whose ``df`` is already a costly aggregate of it.
+    of ``totals`` to a column that receives its sum over all rows of the key. ``most_rows`` is a
+    bound that the caller knows of the number of rows: what fits one range by it isn't written first.
     """
     grand = dict(grand or {})
-    if cells is None:
-        df, cells = with_ranges(df, order, rows_per_range)
-    else:
-        df = checked_order(df, order)
     names = list(totals)
     hidden = {name: f"__sum_{name}" for name in names}
-    kept = [c for c in df.columns if c not in cells] + names + list(grand.values())
-    staged = df.withColumns({hidden[n]: totals[n] for n in names})
+    kept = [c for c in df.columns if c not in (cells or ())] + names + list(grand.values())
+    staged = checked_order(df, order).withColumns({hidden[n]: totals[n] for n in names})
+    if most_rows is not None and most_rows <= rows_per_range:
+        staged, cells = (staged if cells is None else staged.drop(*cells)), []
+    else:
+        staged = materialize(staged, "order")
+    if cells is None:
+        staged, cells = with_ranges(staged, order, rows_per_range)
     to_here = (W.unboundedPreceding, W.currentRow)
 
     if not cells:
@@ -156,8 +165,7 @@ def running_totals(
         )
         return out.select(*kept)
 
-    source = staged if base is None else base.withColumns({hidden[n]: totals[n] for n in names})
-    per_cell = source.groupBy(*keys, *cells).agg(
+    per_cell = staged.groupBy(*keys, *cells).agg(
         *[F.sum(hidden[n]).alias(hidden[n]) for n in names]
     )
     before = W.partitionBy(*keys).orderBy(*cells).rowsBetween(W.unboundedPreceding, -1)
@@ -202,7 +210,7 @@ def rank_within(
     Groups that fit a task are ranked by a plain window. Only if a count finds larger ones are
     those cut in ranges; they are at most rows / rows_per_group many.
     """
-    df = checked_order(df, order)
+    df = materialize(checked_order(df, order), "groups")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     if sizes.filter(F.col("__n") > rows_per_group).isEmpty():
         along = W.partitionBy(*keys).orderBy(*order)

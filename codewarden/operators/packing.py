@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from codewarden.functions.numeric import PAD_LABEL, PAD_LOGIT
 from codewarden.operators.ordered import running_totals
 from codewarden.operators.sampling import HASH_RANGE, shuffle_key
-from codewarden.support import materialize
+from codewarden.support import materialize, stored
 
 ROWS_PER_RANGE = 50_000
 #: Ranges whose tables one task composes.
@@ -130,21 +130,31 @@ def pack_sequences(
     Functions that are as long as a sequence are left out. ``last_pos`` is the position of the
     function's last token. Each epoch has an order of its own.
     """
-    epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
-    fitting = lengths.filter(F.col(size) < seq_length).select(
-        epoch, F.col(key).cast("long").alias("idx"), F.col(size).cast("int").alias("n")
-    )
-    rows = lengths.count()
+    # Lengths are what a tokeniser has counted: they are computed once, here. A filter before the
+    # write would have them computed for itself.
+    counted = lengths.select(F.col(key).cast("long").alias("idx"), F.col(size).cast("int").alias("n"))
+    counted, rows = stored(counted, "lengths")
+    fitting = counted.filter(F.col("n") < seq_length)
     own = max(rows_per_range, max_functions)
     cells = -(-rows // own) or 1
-    keyed = fitting.withColumn("key", shuffle_key(F.col("idx"), F.col("epoch") - 1 + seed))
+    epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
+    keyed = fitting.select(epoch, "idx", "n").withColumn(
+        "key", shuffle_key(F.col("idx"), F.col("epoch") - 1 + seed)
+    )
+    # Keys are evenly spread, so equal parts of their range are ranges of similar size.
     keyed = keyed.withColumn("__cell", F.floor(F.col("key") * cells / HASH_RANGE).cast("int"))
     placed = running_totals(
-        keyed, ["key", "idx"], {"__at": F.lit(1).cast("long")}, keys=["epoch"], cells=["__cell"]
-    )
-    placed = materialize(
-        placed.select("epoch", (F.col("__at") - 1).alias("at"), "idx", "n"), "pack-order"
+        keyed,
+        ["key", "idx"],
+        {"__at": F.lit(1).cast("long")},
+        keys=["epoch"],
+        cells=["__cell"],
+        rows_per_range=own,
+        most_rows=rows,
     )
+    placed = placed.select("epoch", (F.col("__at") - 1).alias("at"), "idx", "n")
+    if cells > 1:
+        placed = materialize(placed, "pack-order")
     # The first rows of a range also follow the range before it.
     mine = F.floor(F.col("at") / own)
     follows = (F.col("at") % own < max_functions - 1) & (mine > 0)
@@ -184,13 +194,16 @@ def pack_sequences(
             }
         )[held]
 
-    tables = ranged.groupBy("epoch", "range").applyInPandas(
-        table, "epoch int, range long, exits array<int>, packs array<long>"
-    )
-    entries = _entries(tables, cells, fan)
+    if cells > 1:
+        tables = ranged.groupBy("epoch", "range").applyInPandas(
+            table, "epoch int, range long, exits array<int>, packs array<long>"
+        )
+        entered = ranged.join(_entries(tables, cells, fan), ["epoch", "range"])
+    else:
+        # Only the first range, which every epoch enters at its first row.
+        entered = ranged.withColumns({"entry": F.lit(0), "first_pack": F.lit(0).cast("long")})
     return (
-        ranged.join(entries, ["epoch", "range"])
-        .groupBy("epoch", "range")
+        entered.groupBy("epoch", "range")
         .applyInPandas(
             assign, "epoch int, pack long, slot int, idx long, n int, last_pos int"
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codewarden.operators import clean, curves, metrics
+from codewarden.operators import clean, curves, metrics, running
 from codewarden.plans import views
 from codewarden.plans.registry import query, round_doubles
 from codewarden.plans.views import sql
@@ -393,7 +393,7 @@ def best_run_lowest(spark, sf):
 )
 def running_report(spark, sf):
     return round_doubles(
-        metrics.running_report(
+        running.running_report(
             running_events(spark, sf), "event_id", skipped="skip", score="score"
         )
     )

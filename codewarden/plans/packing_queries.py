@@ -10,6 +10,7 @@ from codewarden.plans import views
 from codewarden.plans.registry import query, round_doubles
 from codewarden.plans.row_queries import length_ids
 from codewarden.plans.views import WORD, sql
+from codewarden.support import materialize
 
 LENGTH = 512
 FUNCTIONS = 8
@@ -17,15 +18,8 @@ SEPARATOR = 0
 PAD = 0
 
 
-# So few that even the smallest tables are cut in ranges, and ranges in groups of ranges.
-ROWS_PER_RANGE = 50
-FAN = 4
-
-
 def _packed(spark, sf):
-    return packing.pack_sequences(
-        views.lengths(spark, sf), LENGTH, FUNCTIONS, rows_per_range=ROWS_PER_RANGE, fan=FAN
-    )
+    return packing.pack_sequences(views.lengths(spark, sf), LENGTH, FUNCTIONS)
 
 
 @query("pack_sequences", sql("SELECT CAST(pack AS BIGINT) AS pack, slot, idx, n FROM packed", "packed"))
@@ -79,20 +73,25 @@ def pack_epochs(spark, sf):
     return round_doubles(packing.pack_stats(packed, LENGTH))
 
 
-def _functions(spark, sf):
-    """Ids, label and weight of every document."""
-    return length_ids(spark, sf).select(
+def functions(spark, sf):
+    """Ids, their number, label and weight of every document, tokenised once."""
+    rows = length_ids(spark, sf).select(
         "idx",
         "ids",
+        F.size("ids").alias("n"),
         (F.col("idx") % 2).cast("int").alias("target"),
         (F.col("idx") % 3 + 1).cast("double").alias("weight"),
     )
+    return materialize(rows, "functions")
+
+
+def emitted(rows, **ranges):
+    packed = packing.pack_sequences(rows.select("idx", "n"), LENGTH, FUNCTIONS, **ranges)
+    return packing.emit_packs(packed, rows, LENGTH, FUNCTIONS, SEPARATOR, PAD, weights=True)
 
 
 def _emitted(spark, sf):
-    return packing.emit_packs(
-        _packed(spark, sf), _functions(spark, sf), LENGTH, FUNCTIONS, SEPARATOR, PAD, weights=True
-    )
+    return emitted(functions(spark, sf))
 
 
 _IDS = f"(SELECT doc_id, list_transform(regexp_extract_all(text, '{WORD}'), lambda t: length(t) + 9) AS ids FROM documents)"
@@ -120,12 +119,15 @@ def _text(name: str, sep: str = " "):
     return F.array_join(F.transform(name, lambda x: x.cast("string")), sep).alias(name)
 
 
+def shown(packs):
+    return packs.select(
+        "pack", _text("input_ids"), _text("labels"), _text("attention_mask", ""), _text("weights")
+    )
+
+
 @query("emit_packs", _with_emitted("SELECT * FROM emitted"))
 def emit_packs(spark, sf):
-    return _emitted(spark, sf).select(
-        "pack", _text("input_ids"), _text("labels"), _text("attention_mask", ""),
-        _text("weights"),
-    )
+    return shown(_emitted(spark, sf))
 
 
 @query(

@@ -5,8 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codewarden.operators import classes, curves, lines, metrics, ordered, sampling, vocab
-from codewarden.plans import class_queries, line_queries, metric_queries, views
+from codewarden.operators import (
+    classes,
+    curves,
+    lines,
+    metrics,
+    ordered,
+    packing,
+    running,
+    sampling,
+    vocab,
+)
+from codewarden.plans import class_queries, line_queries, metric_queries, packing_queries, views
 from codewarden.plans.registry import ORACLE, query, round_doubles
 
 ROWS = 300
@@ -56,7 +66,7 @@ def seeded_shuffle(spark, sf):
 def running_report(spark, sf):
     events = metric_queries.running_events(spark, sf)
     return round_doubles(
-        metrics.running_report(
+        running.running_report(
             events, "event_id", skipped="skip", score="score", rows_per_range=ROWS
         )
     )
@@ -86,3 +96,31 @@ def encode_vocab(spark, sf):
 @_again("class_index")
 def class_index(spark, sf):
     return classes.class_index(classes.class_stats(class_queries._classed(spark, sf)), 3)
+
+
+# Ranges of rows, and of ranges, so few that all levels of the composition run.
+PACK_RANGES = {"rows_per_range": 50, "fan": 4}
+
+
+@_again("pack_sequences")
+def pack_sequences(spark, sf):
+    lengths = views.lengths(spark, sf)
+    packed = packing.pack_sequences(
+        lengths, packing_queries.LENGTH, packing_queries.FUNCTIONS, **PACK_RANGES
+    )
+    return packed.select("pack", "slot", "idx", "n")
+
+
+@_again("pack_epochs")
+def pack_epochs(spark, sf):
+    lengths = views.lengths(spark, sf)
+    packed = packing.pack_sequences(
+        lengths, packing_queries.LENGTH, packing_queries.FUNCTIONS, epochs=3, **PACK_RANGES
+    )
+    return round_doubles(packing.pack_stats(packed, packing_queries.LENGTH))
+
+
+@_again("emit_packs")
+def emit_packs(spark, sf):
+    rows = packing_queries.functions(spark, sf)
+    return packing_queries.shown(packing_queries.emitted(rows, **PACK_RANGES))

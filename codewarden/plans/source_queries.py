@@ -16,8 +16,8 @@ from codewarden.operators.heads import apply_head
 from codewarden.plans import views
 from codewarden.plans.class_queries import TO_MULTICLASS, multiclass
 from codewarden.plans.line_queries import _located, _wanted
-from codewarden.plans.metric_queries import _BINARY
-from codewarden.plans.registry import query, round_doubles
+from codewarden.plans.metric_queries import _BINARY, running_events
+from codewarden.plans.registry import ORACLE, query, round_doubles
 from codewarden.plans.row_queries import FLAW_TEXT, PAIR_CODE, joined_flaws, pair_records, picked_code
 from codewarden.plans.scoring_queries import _dot
 from codewarden.plans.views import HEAD, sql
@@ -25,6 +25,8 @@ from codewarden.sources import readers, writers
 from codewarden.streaming import report
 from codewarden.support import shared_dir
 
+# Files, each a batch, that the running report is read from.
+STREAM_FILES = 4
 FIELDS = ["code", "idx", "cwe", "target", "status"]
 
 
@@ -242,6 +244,25 @@ def stream_report(spark, sf):
     return round_doubles(one.drop("batch"))
 
 
+@query("stream_running_report", ORACLE["running_report"])
+def stream_running_report(spark, sf):
+    """The report at every 100th event, over files that come one after the other."""
+    base = shared_dir(spark, "stream")
+    events = running_events(spark, sf)
+    bounds = events.agg(F.min("event_id"), F.max("event_id")).first()
+    width = (bounds[1] - bounds[0]) // STREAM_FILES + 1
+    for n in range(STREAM_FILES):
+        # Files are read in the order of their times.
+        first = bounds[0] + n * width
+        some = events.filter((F.col("event_id") >= first) & (F.col("event_id") < first + width))
+        some.coalesce(1).write.mode("append").json(f"{base}/in")
+    stream = report.read_stream(spark, f"{base}/in", events.schema, files_per_batch=1)
+    report.running_stream(
+        stream, f"{base}/out", f"{base}/state", f"{base}/checkpoint", order="event_id", skipped="skip"
+    ).awaitTermination()
+    return round_doubles(spark.read.parquet(f"{base}/out").drop("batch"))
+
+
 def _last_batch(running) -> int:
     """Number of the last batch that read rows."""
     return max(p["batchId"] for p in running.recentProgress if p["numInputRows"])

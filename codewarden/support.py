@@ -36,6 +36,18 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, purpose: str) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and the number of rows, read off the footers of what was written."""
+    back = materialize(df, purpose)
+    return back, back.count()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own, wherever it is stored."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small source, spread over all tasks before costly work on each row.
 

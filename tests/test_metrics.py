@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codewarden.operators import curves, metrics
+from codewarden.operators import curves, metrics, running
 
 
 def preds(spark, rows):
@@ -126,7 +126,7 @@ def test_running_report_counts_skipped_rows(spark):
         F.lit(1).alias("pred"),
         (F.col("id") % 10 == 0).alias("skip"),
     )
-    got = metrics.running_report(df, skipped="skip").orderBy("rows_read").collect()
+    got = running.running_report(df, skipped="skip").orderBy("rows_read").collect()
     assert [(r["rows_read"], r["rows_skipped"]) for r in got] == [(100, 10), (200, 20)]
     assert got[0]["precision"] == pytest.approx(50 / 90)
 

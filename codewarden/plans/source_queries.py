@@ -200,8 +200,8 @@ def write_logits(spark, sf):
 def write_rejects(spark, sf):
     path = shared_dir(spark, "rejects")
     rejects = lines.localize(_wanted(spark, sf), (0.2,), (5,))[2]
-    writers.write_rejects(rejects, path)
-    return spark.read.schema("func_id long, code string").json(path)
+    writers.write_rejects(rejects, path, "localize")
+    return writers.read_rejects(spark, path, "func_id long, code string").drop("run")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewarden.operators.clean import align_predictions
+from codewarden.sources.runs import commit_run, committed
 
 SPLIT_NAMES = ("train", "valid", "test")
 
@@ -67,9 +68,22 @@ def write_logits(scored: DataFrame, path: str) -> None:
     scored.select("idx", "logits").write.parquet(path)
 
 
-def write_rejects(rejects: DataFrame, path: str) -> None:
-    """Functions whose flaw lines were not found, appended to what is there."""
-    rejects.write.mode("append").json(path)
+def write_rejects(rejects: DataFrame, path: str, run: str | None = None) -> None:
+    """Functions whose flaw lines were not found, beside what is there. The same ``run`` written again
+    takes the place of what it wrote before; read such runs with :func:`read_rejects`. Without a run's
+    name rows are appended. Any other sink gets runs by :func:`commit_run`."""
+    if run is None:
+        rejects.write.mode("append").json(path)
+    else:
+        commit_run(rejects.sparkSession, path, run, rejects.write.json)
+
+
+def read_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rejects of all runs, with the run's name."""
+    whole = spark.createDataFrame([], f"{schema}, run string")
+    for run, folder in committed(spark, path).items():
+        whole = whole.unionByName(spark.read.schema(schema).json(folder).withColumn("run", F.lit(run)))
+    return whole
 
 
 def write_corpus(lines: DataFrame, path: str) -> None:

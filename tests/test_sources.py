@@ -128,3 +128,28 @@ def test_stream_report_goes_on_from_its_checkpoint(spark, tmp_path):
     assert [(r["tp"], r["fp"], r["tn"], r["fn"]) for r in seen] == [(1, 1, 0, 0), (2, 1, 1, 0)]
     assert seen[-1]["precision"] == pytest.approx(2 / 3)
     assert out
+
+
+def test_a_repeated_run_takes_its_own_place(spark, tmp_path):
+    from codewarden.sources import runs, writers
+
+    path, schema = str(tmp_path / "rejects"), "func_id long, code string"
+    frame = lambda *ids: spark.createDataFrame([(i, f"f{i}") for i in ids], schema)
+    writers.write_rejects(frame(1, 2), path, "monday")
+    writers.write_rejects(frame(3), path, "tuesday")
+    writers.write_rejects(frame(1, 2), path, "monday")
+    read = lambda: sorted((r["run"], r["func_id"]) for r in writers.read_rejects(spark, path, schema).collect())
+    assert read() == [("monday", 1), ("monday", 2), ("tuesday", 3)]
+    # An attempt that fails half way is not seen.
+    with pytest.raises(ZeroDivisionError):
+        runs.commit_run(spark, path, "tuesday", lambda folder: (frame(9).write.json(folder), 1 / 0))
+    assert read() == [("monday", 1), ("monday", 2), ("tuesday", 3)]
+    assert runs.drop_superseded(spark, path) == 1
+    assert read() == [("monday", 1), ("monday", 2), ("tuesday", 3)]
+    # Any sink, with its own reader.
+    preds = spark.createDataFrame([(1, 0.5)], "idx long, prob double")
+    out = str(tmp_path / "preds")
+    for _ in range(2):
+        runs.commit_run(spark, out, "r", lambda folder: writers.write_predictions(preds, folder))
+    (folder,) = runs.committed(spark, out).values()
+    assert [tuple(r) for r in writers.read_predictions(spark, folder).collect()] == [(1, 0.5)]

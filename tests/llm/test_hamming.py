@@ -20,12 +20,12 @@ def vectors(seed, n, flips=6, groups=5):
 
 
 def brute(rows, queries, k, skip_self=False):
-    bits = {i: sum(1 << b for b, x in enumerate(v[:64]) if x is not None and x > 0) for i, v in rows if v is not None and i is not None}
+    bits = {i: sum(1 << b for b, x in enumerate(v) if x is not None and x > 0) for i, v in rows if v is not None and i is not None}
     out = set()
     for q, v in queries:
         if q is None or v is None:
             continue
-        code = sum(1 << b for b, x in enumerate(v[:64]) if x is not None and x > 0)
+        code = sum(1 << b for b, x in enumerate(v) if x is not None and x > 0)
         near = sorted(((code ^ c).bit_count(), i) for i, c in bits.items() if not (skip_self and i == q))
         out |= {(q, n + 1, i, d) for n, (d, i) in enumerate(near[:k])}
     return out
@@ -55,3 +55,17 @@ def test_copies_nulls_short_and_few(spark):
 def test_empty(spark):
     assert found(spark, [], [(1, [1.0] * 64)]) == set()
     assert found(spark, vectors(1, 5), []) == set()
+
+
+def test_vectors_longer_than_a_number(spark):
+    r = random.Random(3)
+    centres = [[r.choice((-1.0, 1.0)) for _ in range(100)] for _ in range(3)]
+    rows = []
+    for i in range(120):
+        v = list(centres[i % 3])
+        # Most differ behind the 64th element only.
+        for at in r.sample(range(60 if i % 4 else 0, 100), r.randrange(7)):
+            v[at] = -v[at]
+        rows.append((i, v))
+    rows += [(500, [1.0] * 70), (501, [1.0] * 70 + [-1.0] * 30)]
+    assert found(spark, rows, rows[::20], 8) == brute(rows, rows[::20], 8)

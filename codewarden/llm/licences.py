@@ -22,6 +22,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codewarden.support import small_side
+
 # Equivalent spellings, the second of each pair is used. Applied to lower-case words.
 SPELLINGS = (
     ("licence", "license"),
@@ -225,11 +227,17 @@ def _folded(text: Column) -> Column:
     out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " "), F.lit(" "))
     out = F.replace(out, F.lit("\n"), F.lit(" \n "))
+    # A blank on either side of every word, so that words in a row are all replaced.
+    out = F.replace(out, F.lit(" "), F.lit("  "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+        out = F.replace(out, F.lit(_apart(old)), F.lit(_apart(new)))
     return out
 
 
+def _apart(words: str) -> str:
+    return " " + words.replace(" ", "  ") + " "
+
+
 def _whole(folded: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"[ \n]+", " "))
 
@@ -260,14 +268,20 @@ def known_licences(
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, unit, line, digest, licence): a row with unit ``document`` for each document, its
-    licence null if its text is no known one, and a row with unit ``line`` for each line that is."""
+    licence null if its text is no known one, and a row with unit ``line`` for each line that is.
+
+    ``known`` is broadcast if it is seen to be small, as licence texts are; lines are then not shuffled. Lines
+    without words are no licence and aren't looked up."""
     folded = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         _folded(F.col("text").cast("string")).alias("folded"),
     )
+    forms = F.transform(
+        F.split(F.col("folded"), "\n"), lambda line, i: F.struct((i + 1).alias("line"), _whole(line).alias("form"))
+    )
     lines = F.transform(
-        F.split(F.col("folded"), "\n"),
-        lambda line, i: F.struct(F.lit("line").alias("unit"), (i + 1).alias("line"), digest(_whole(line)).alias("digest")),
+        F.filter(forms, lambda x: x["form"] != ""),
+        lambda x: F.struct(F.lit("line").alias("unit"), x["line"].alias("line"), digest(x["form"]).alias("digest")),
     )
     whole = F.array(
         F.struct(F.lit("document").alias("unit"), F.lit(0).alias("line"), digest(_whole(F.col("folded"))).alias("digest"))
@@ -275,7 +289,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     units = folded.select("doc_id", F.explode(F.concat(whole, F.coalesce(lines, F.array().cast(_UNITS)))).alias("u"))
     return (
         units.select("doc_id", "u.unit", "u.line", "u.digest")
-        .join(known, "digest", "left")
+        .join(small_side(known), "digest", "left")
         .filter("unit = 'document' OR licence IS NOT NULL")
         .select("doc_id", "unit", "line", "digest", "licence")
     )
@@ -291,9 +305,9 @@ def _quoted(text: str) -> str:
 def _sql_folded(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '\\1', 'g')"
     out = f"' ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') || ' '"
-    out = f"replace({out}, chr(10), ' ' || chr(10) || ' ')"
+    out = f"replace(replace({out}, chr(10), ' ' || chr(10) || ' '), ' ', '  ')"
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
+        out = f"replace({out}, '{_apart(old)}', '{_apart(new)}')"
     return out
 
 

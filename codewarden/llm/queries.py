@@ -114,17 +114,17 @@ def op6_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
-@query("op7_licence_digests", licences.SCAN_SQL)
+@query("op7_licence_digests", licences.scan_sql(licences.public_licences()))
 def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical digest of every document, and every licence text found."""
-    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    """The canonical digest of every document, and every public licence text or notice found."""
+    known = licences.known_licences(spark, licences.public_licences())
+    return licences.scan(table(spark, sf_dir, "documents"), known)
 
 
 @query("op7_licence_digests_public", licences.scan_sql(licences.public_licences()))
 def op7_licence_digests_public(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with all public licence texts and notices."""
-    known = licences.known_licences(spark, licences.public_licences())
-    return licences.scan(table(spark, sf_dir, "documents"), known)
+    """The former name of ``op7_licence_digests``, from when that looked up seven texts."""
+    return op7_licence_digests(spark, sf_dir)
 
 
 @query("op8_exponential_keys", mixing_sql.MIXED)

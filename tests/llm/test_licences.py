@@ -81,3 +81,11 @@ def test_public_texts_name_one_licence_each(spark):
     form = licences.digest(licences.canonical(licences.F.col("text"))).alias("digest")
     several = rows.select(form, "licence").distinct().groupBy("digest").agg(licences.F.collect_set("licence").alias("l"))
     assert several.filter("size(l) > 1").collect() == []
+
+
+def test_equal_words_in_a_row_and_no_shuffle_of_lines(spark):
+    form = spark.range(1).select(licences.canonical(licences.F.lit("licence licence licence sub licence sub-licence\n\nlicence")).alias("f"))
+    assert form.first().f == "license license license sublicense sublicense license"
+    scanned = licences.scan(docs(spark, [(1, "Word\n\n\nWord")]), licences.known_licences(spark))
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

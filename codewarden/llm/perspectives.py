@@ -111,7 +111,7 @@ WITH rows_ AS (
   FROM conversations
 ),
 said AS (
-  SELECT conv_id, turn // {PART} AS part, turn, role, text, count(*) AS n
+  SELECT conv_id, floor(turn / {PART}.0)::BIGINT AS part, turn, role, text, count(*) AS n
   FROM rows_ GROUP BY ALL
 ),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows_ WHERE role <> '{SYSTEM}'),

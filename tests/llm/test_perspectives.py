@@ -71,3 +71,16 @@ def test_a_long_dialogue_is_many_rows(spark):
     assert max(r.messages for r in got) <= ps.PART and len(got) == 2 * 16
     whole = "".join(r.text for r in sorted(got, key=lambda r: r.part) if r.speaker == "a")
     assert [f"m{n}" for n in range(1000)] == [x for x in whole.replace("<|end|>", "").split("\n") if x.startswith("m")]
+
+
+def test_negative_turns_are_parts_of_their_own_in_sql_too(spark):
+    import duckdb
+
+    rows = [(1, t, r, f"t{t}") for t in (-130, -65, -64, -1, 0, 63, 64, None) for r in ("ann", "bob")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.speaker, r.part, r.messages) for r in ps.perspectives(frame).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(f"SELECT speaker, part, messages FROM ({ps.PERSPECTIVES_SQL})").fetchall()
+    assert got == set(found) and {p for _, p, _ in got} >= {-3, -2, -1, 0, 1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from codewarden.functions import numeric
+from codewarden.functions import numeric, text
 from codewarden.operators import clean, heads, metrics, scoring
 from codewarden.plans import views
 from codewarden.plans.registry import query, round_doubles, rounded
@@ -278,7 +278,80 @@ def score_skips(spark, sf):
     )
 
 
-@query("train_baseline")
+_ONE = scoring.ONE
+_STEPS = 10
+
+
+def _margin(step: int) -> str:
+    """(idx, setting, m) of rows and settings, with the weights after ``step`` steps."""
+    return f"""SELECT p.*, (i.w + coalesce(dot, 0)::DOUBLE / greatest(norm, 1.0)) / {_ONE} AS m
+      FROM (SELECT d.idx, d.split, d.target, d.weight, d.norm, s.setting, sum(w.w * f.tf) AS dot
+            FROM rows_ d CROSS JOIN settings s LEFT JOIN tf f ON f.idx = d.idx
+            LEFT JOIN w{step} w ON w.setting = s.setting AND w.bucket = f.bucket
+            GROUP BY ALL) p
+      JOIN w{step} i ON i.setting = p.setting AND i.bucket = -1"""
+
+
+def _step(step: int) -> str:
+    """Errors, gradients and weights of a step."""
+    return f"""
+e{step} AS MATERIALIZED (
+  SELECT idx, setting, norm, floor(weight * (1 / (1 + exp(-m)) - target) * {_ONE} + 0.5)::BIGINT AS e
+  FROM ({_margin(step)}) WHERE split = 'train'),
+g{step} AS MATERIALIZED (
+  SELECT setting, f.bucket, sum(floor(e * f.tf / greatest(norm, 1.0) + 0.5)::BIGINT)::DOUBLE AS g
+  FROM e{step} JOIN tf f USING (idx) GROUP BY ALL
+  UNION ALL SELECT setting, -1, sum(e)::DOUBLE FROM e{step} GROUP BY ALL),
+d{step} AS MATERIALIZED (
+  SELECT w.setting, w.bucket, w.w, w.a, coalesce(g.g, 0) / (SELECT mass FROM total)
+    + CASE WHEN w.bucket < 0 THEN 0.0 ELSE s.reg END * w.w AS slope
+  FROM w{step} w JOIN settings s USING (setting) LEFT JOIN g{step} g ON g.setting = w.setting AND g.bucket = w.bucket),
+w{step + 1} AS MATERIALIZED (
+  SELECT setting, bucket, a + slope * slope AS a, w - floor({scoring.RATE} * {_ONE}
+    * (slope / sqrt(CASE WHEN a + slope * slope > 0 THEN a + slope * slope ELSE 1 END)) + 0.5)::BIGINT AS w
+  FROM d{step})"""
+
+
+_BASELINE = sql(
+    f"""SELECT 'baseline' AS run, setting AS epoch, reg, round(valid_auc, 6) AS valid_auc, chosen,
+          round(CASE WHEN chosen THEN test_auc END, 6) AS test_auc
+        FROM (SELECT *, setting = coalesce(first(setting) OVER (ORDER BY valid_auc DESC NULLS LAST, setting), -1)
+                AND valid_auc IS NOT NULL AS chosen
+              FROM settings LEFT JOIN (
+                SELECT setting, max(auc) FILTER (split = 'valid') AS valid_auc, max(auc) FILTER (split = 'test') AS test_auc
+                FROM areas GROUP BY setting) USING (setting))""",
+    "functions",
+).replace(
+    "\nSELECT 'baseline'",
+    f""",
+settings AS (SELECT * FROM (VALUES (1, 0.0::DOUBLE), (2, 0.01::DOUBLE), (3, 0.1::DOUBLE)) AS v(setting, reg)),
+tf AS MATERIALIZED (
+  SELECT idx, split, ('0x' || substr(md5(word), 1, 8))::BIGINT % 16384 AS bucket, count(*) AS tf
+  FROM (SELECT idx, split, unnest(regexp_extract_all(code, '{text.WORD}')) AS word FROM functions) GROUP BY ALL),
+rows_ AS MATERIALIZED (
+  SELECT f.idx, f.split, f.target, CASE WHEN f.status = 'NOT_VULNERABLE' THEN 1.0 ELSE 3.0 END::DOUBLE AS weight,
+    coalesce(sqrt(sum(t.tf * t.tf)::DOUBLE), 0.0) AS norm
+  FROM functions f LEFT JOIN tf t USING (idx) GROUP BY ALL),
+total AS (SELECT sum(floor(weight * {_ONE} + 0.5)::BIGINT)::DOUBLE / {_ONE} AS mass FROM rows_ WHERE split = 'train'),
+w0 AS MATERIALIZED (
+  SELECT setting, bucket, 0.0::DOUBLE AS a, 0::BIGINT AS w FROM settings
+  CROSS JOIN (SELECT DISTINCT bucket FROM tf WHERE split = 'train' UNION ALL SELECT -1)),"""
+    + ",".join(_step(n) for n in range(_STEPS))
+    + f""",
+probs AS MATERIALIZED (
+  SELECT setting, split, target, floor(1 / (1 + exp(-m)) * 1e6 + 0.5) / 1e6 AS prob
+  FROM ({_margin(_STEPS)}) WHERE split <> 'train'),
+areas AS (
+  SELECT setting, split, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS auc
+  FROM (SELECT *, sum(neg) OVER (PARTITION BY setting, split ORDER BY prob) - neg AS below
+        FROM (SELECT setting, split, prob, sum(target)::DOUBLE AS pos, sum(1 - target)::DOUBLE AS neg
+              FROM probs GROUP BY ALL))
+  GROUP BY ALL)
+SELECT 'baseline'""",
+)
+
+
+@query("train_baseline", _BASELINE)
 def train_baseline(spark, sf):
     functions = clean.status_weight(views.functions(spark, sf), 3.0)
-    return round_doubles(scoring.train_baseline(functions))
+    return round_doubles(scoring.train_baseline(functions, max_iter=_STEPS))

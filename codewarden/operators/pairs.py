@@ -8,11 +8,13 @@ the rows of earlier steps with lower scores. No pair is ever formed.
 
 Nodes of the lower levels are bounded by their steps. Those that may hold more rows than a range are
 walked in ranges of the score, which begin with the counts that the ranges before them add up to; a
-score that fills several ranges is cut by the step.
+score that fills several ranges is cut by the step. All nodes share the cuts, so ranges are never so
+short that the counts brought into them outnumber the rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,6 +114,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(total)], names=["step", "gain"])
 
 
+def range_rows(most: int, rows_per_range: int) -> int:
+    """Rows of a range where at most ``most`` rows are cut: ``rows_per_range``, or more.
+
+    A level has at most ``most`` / range nodes that are wider than a range, each may meet every range,
+    and brings a line for every child into it: from here on, no more lines than there are rows.
+    """
+    return max(rows_per_range, math.isqrt(CHILDREN * most))
+
+
 def _carried(cut: DataFrame) -> DataFrame:
     """Rows that bring into each range of a node the counts of its children so far."""
     sums = cut.groupBy(*NODE, *CELL, "digit").agg(F.sum("pos").alias("at_pos"), F.sum("neg").alias("at_neg"))
@@ -140,6 +151,7 @@ def pair_gains(rows: DataFrame, size: int, last_step: int, every: int, rows_per_
     the pairs of its negatives, of which those with lower or, by half, equal positives are taken off:
     all earlier positives times the step's negatives are to be added."""
     levels = levels_of(last_step)
+    rows_per_range = range_rows(every * (last_step + 1), rows_per_range)
     rows, ranges = with_ranges(rows, ["score", "step"], rows_per_range, size)
     # Nodes of this level and above may hold more than a range.
     wide = next((n for n in range(levels) if every * CHILDREN ** (n + 1) > rows_per_range), levels)

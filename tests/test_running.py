@@ -85,6 +85,22 @@ def test_copies_of_a_row_grow_with_the_digits_only():
     assert [pairs.levels_of(n) for n in (0, 63, 64, 10**6, 10**9)] == [1, 1, 2, 4, 5]
 
 
+def test_counts_brought_into_ranges_do_not_outnumber_the_rows(spark, monkeypatch):
+    lines, carried = [], pairs._carried
+
+    def counted(cut):
+        out = carried(cut)
+        lines.extend(out.groupBy("level").count().collect())
+        return out
+
+    monkeypatch.setattr(pairs, "_carried", counted)
+    rows = rows_of(11, 6000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = running.running_report(df, every=2, skipped="skip", score="score", rows_per_range=20)
+    assert got.filter("rows_read = 6000").count() == 1
+    assert lines and max(n for _, n in lines) <= len(rows)
+
+
 def test_input_is_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from codewarden.functions import text
 from codewarden.operators import curves
 from codewarden.operators.metrics import best_run
-from codewarden.support import materialize
+from codewarden.support import materialize, pieces
 
 Scorer = Callable[[pd.DataFrame], Sequence[float]]
 
@@ -89,9 +90,10 @@ def _whole(values: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's buckets once, with their counts and the length of the counts as a vector."""
-    for batch in batches:
-        words = batch.column("buckets").to_pylist()
-        found = [np.unique(np.array(w, np.int32), return_counts=True) for w in words]
+    for batch in chain.from_iterable(map(pieces, batches)):
+        words = batch.column("buckets").flatten().to_numpy()
+        cuts = np.cumsum(batch.column("buckets").value_lengths().to_numpy())[:-1]
+        found = [np.unique(w, return_counts=True) for w in np.split(words, cuts)]
         ends = np.cumsum([0, *(len(b) for b, _ in found)]).astype(np.int32)
         flat = lambda part: np.concatenate([np.zeros(0, np.int32), *part]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -140,7 +142,7 @@ def _gradients(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(weights)
-        for batch in batches:
+        for batch in chain.from_iterable(map(pieces, batches)):
             part = _Rows(batch)
             total += np.stack([part.gradient(w) for w in weights])
         setting, bucket = np.nonzero(total)
@@ -215,7 +217,7 @@ def train_baseline(
     weights = _fitted(rows.filter(F.col("split") == "train"), settings, features, max_iter)
 
     def probs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(pieces, batches)):
             part = _Rows(batch)
             for n, w in enumerate(weights):
                 unit = 10.0**PROB_DIGITS

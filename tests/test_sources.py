@@ -2,8 +2,10 @@ import gzip
 import io
 import json
 import tarfile
+import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -111,6 +113,22 @@ def test_baseline_learns_and_chooses(spark):
     assert [r["test_auc"] for r in got if r["chosen"]] == [1.0]
 
 
+def test_baseline_unpacks_little_of_a_batch_at_once():
+    rows, words = 8000, 500
+    buckets = pa.ListArray.from_arrays(
+        pa.array(range(0, rows * words + 1, words), pa.int32()), pa.array([w % 300 + 1000 for w in range(rows * words)], pa.int32())
+    )
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["train"] * rows), pa.array([1] * rows), pa.array([1.0] * rows), buckets],
+        names=["split", "label", "weight", "buckets"],
+    )
+    tracemalloc.start()
+    got = sum(part.num_rows for part in scoring._counted(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == rows and peak < 40e6
+
+
 def test_stream_report_goes_on_from_its_checkpoint(spark, tmp_path):
     schema = T.StructType.fromDDL("label int, prob double")
     folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from codewarden.functions import text
 from codewarden.functions.binding import bind, emit
 from codewarden.operators.ordered import ROWS_PER_RANGE, global_rank, running_totals
-from codewarden.support import checked_score, materialize, truncated
+from codewarden.support import checked_score, materialize, small_side, truncated
+
+#: Positions of a function that one row may hold.
+WHOLE = 1 << 16
 
 
 # --- token scores -------------------------------------------------------------------------
@@ -165,14 +168,32 @@ def _lines_of(pairs: Column) -> Column:
     return bind(F.filter(stretches, lambda s: s["total"] != 0), to_lines)
 
 
-def line_scores_rows(tokens: DataFrame, chunk: int = 4096) -> DataFrame:
+def line_scores_rows(tokens: DataFrame, chunk: int = 4096, whole: int = WHOLE) -> DataFrame:
     """:func:`line_scores` for tokens that come as rows, for functions of any length.
 
-    ``tokens`` holds (func_id, pos, token, score), the positions counting from 0. A function is
-    cut in chunks of positions, so no task holds a whole one; only the text of a single line is
-    gathered. Returns (func_id, line_idx, line, score).
+    ``tokens`` holds (func_id, pos, token, score), the positions counting from 0. Rows are gathered,
+    ``whole`` positions at most, in one shuffle, and written so. A function of one such part is an array
+    already; a longer one is cut in chunks of positions, so no task holds a whole one and only the text
+    of a single line is gathered. Returns (func_id, line_idx, line, score).
     """
-    tokens = materialize(tokens.select("func_id", "pos", "token", "score"), "tokens")
+    known = tokens.filter(F.col("func_id").isNotNull())
+    parts = known.groupBy("func_id", F.floor(F.col("pos") / whole).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "token", "score"))).alias("tokens")
+    )
+    parts = materialize(parts, "tokens")
+    long = small_side(parts.filter("part > 0").select("func_id").distinct())
+    short = parts.join(long, "func_id", "left_anti")
+    scored = line_scores(short).select("func_id", F.posexplode_outer("lines").alias("line_idx", "x"))
+    found = scored.filter(F.col("line_idx").isNotNull()).select(
+        "func_id", F.col("line_idx").cast("long").alias("line_idx"), "x.line", "x.score"
+    )
+    if long.isEmpty():
+        return found
+    rows = parts.join(long, "func_id", "left_semi").select("func_id", F.inline("tokens"))
+    return found.unionByName(_line_scores_in_chunks(rows, chunk))
+
+
+def _line_scores_in_chunks(tokens: DataFrame, chunk: int) -> DataFrame:
     last = tokens.groupBy("func_id").agg(F.max("pos").alias("__last"))
     closing = F.col("token").isin(text.LINE_SEPARATORS) | (F.col("pos") == F.col("__last"))
     marked = tokens.join(last, "func_id").withColumns(

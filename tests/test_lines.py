@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codewarden.operators import lines
+from codewarden.operators import lines, ordered
 
 TOKENS = "func_id long, tokens array<struct<token:string,score:double>>"
 SEP = "Ċ"
@@ -68,6 +68,30 @@ def test_lines_of_rows_agree(spark, chunk):
     assert got == {i: brute(pairs) for i, pairs in rows.items() if brute(pairs)}
 
 
+def test_lines_of_rows_are_written_once_unless_long(spark, monkeypatch):
+    written, materialize = [], lines.materialize
+
+    def counted(df, purpose):
+        written.append(purpose)
+        return materialize(df, purpose)
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    monkeypatch.setattr(ordered, "materialize", counted)
+    rng = random.Random(8)
+    rows = {
+        i: [(rng.choice(["x", SEP, "z"]), float(rng.choice([0, 1, 2]))) for _ in range(rng.randrange(1, 40))]
+        for i in range(40)
+    }
+    flat = [(i, p, t, s) for i, pairs in rows.items() for p, (t, s) in enumerate(pairs)]
+    df = spark.createDataFrame(flat, "func_id long, pos int, token string, score double")
+    want = {(i, n, *line) for i, pairs in rows.items() for n, line in enumerate(brute(pairs))}
+    assert {tuple(r) for r in lines.line_scores_rows(df).collect()} == want
+    assert written == ["tokens"]
+    # Some functions are one part, others are cut.
+    assert {tuple(r) for r in lines.line_scores_rows(df, 4, whole=20).collect()} == want
+    assert len(written) > 2
+
+
 LINES = "func_id long, lines array<struct<line:string,score:double,label:int>>"
 
 

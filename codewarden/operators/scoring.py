@@ -32,7 +32,7 @@ def score_with(
     inputs: Sequence[str],
     keep: Sequence[str] = ("idx",),
 ) -> DataFrame:
-    """Score rows in Arrow batches: the kept columns, ``prob`` and ``error``.
+    """Score rows in pieces of Arrow batches: the kept columns, ``prob`` and ``error``.
 
     ``load`` runs once a task and returns the scorer. A batch that fails, or gives another number of
     scores than it has rows, is halved until the rows that fail by themselves are found; only
@@ -41,7 +41,7 @@ def score_with(
     columns = list(dict.fromkeys([*keep, *inputs]))
     narrow = df.select(*columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load()
 
         def scored(rows: pd.DataFrame) -> list[tuple[float | None, str | None]]:
@@ -56,16 +56,25 @@ def score_with(
                 half = len(rows) // 2
                 return scored(rows.iloc[:half]) + scored(rows.iloc[half:])
 
-        for rows in batches:
-            probs, errors = zip(*scored(rows[list(inputs)]))
-            # Missing results are nulls, not NaN, on the Spark side.
-            yield rows[list(keep)].assign(
-                prob=pd.array(probs, dtype="Float64"), error=pd.array(errors, dtype="object")
+        for batch in chain.from_iterable(map(pieces, batches)):
+            if not batch.num_rows:
+                continue
+            probs, errors = zip(*scored(_frame(batch.select(list(inputs)))))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], pa.array(probs, pa.float64()), pa.array(errors, pa.string())],
+                names=[*keep, "prob", "error"],
             )
 
     fields = [narrow.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return narrow.mapInPandas(run, f"{schema}, prob double, error string")
+    return narrow.mapInArrow(run, f"{schema}, prob double, error string")
+
+
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """The batch as pandas has it in Spark: dates as objects, times of the session without a zone."""
+    rows = batch.to_pandas(date_as_object=True, maps_as_pydicts="lossy")
+    zoned = [f.name for f in batch.schema if pa.types.is_timestamp(f.type) and f.type.tz]
+    return rows.assign(**{c: rows[c].dt.tz_localize(None) for c in zoned})
 
 
 def skip_count(scored: DataFrame) -> DataFrame:

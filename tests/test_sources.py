@@ -100,6 +100,14 @@ def test_failing_rows_do_not_fail_their_batch(spark):
     assert (counts["scored"], counts["skipped"]) == (5, 1)
 
 
+def test_a_scorer_sees_pieces_of_a_batch(spark):
+    df = spark.range(3000, numPartitions=1).selectExpr("id AS idx", "repeat('x', 4096) AS code", "date'2024-01-02' AS day")
+    got = scoring.score_with(df, lambda: lambda rows: [float(len(rows))] * len(rows), ["code"], ["idx", "day"])
+    seen = got.agg({"prob": "max", "idx": "sum", "error": "count"}).first().asDict()
+    assert seen["max(prob)"] <= 1024
+    assert (seen["sum(idx)"], seen["count(error)"]) == (2999 * 1500, 0)
+
+
 def test_baseline_learns_and_chooses(spark):
     rows = [
         (i, f"{'strcpy buffer' if i % 2 else 'safe copy'} word{i % 5}", i % 2, split)

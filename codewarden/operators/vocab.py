@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codewarden.functions import text
-from codewarden.support import BROADCAST_ROWS, materialize, small_rows
+from codewarden.support import BROADCAST_ROWS, materialize, pieces, small_rows
 
 # Special tokens in id order, and the vocabulary's size and frequency limits.
 SPECIAL = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
@@ -75,14 +75,19 @@ def train_vocab(
 def _lookup_in_batches(names: pa.Array, ids: np.ndarray, unknown: int) -> Callable[[Column], Column]:
     """A column function from arrays of tokens to arrays of ids, one hash lookup for a batch."""
 
+    numbers = np.append(ids, unknown).astype(np.int32)
+
     @F.arrow_udf("array<int>")
     def look(lists: pa.Array) -> pa.Array:
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        at = pc.index_in(lists.flatten(), value_set=names)
-        found = np.append(ids, unknown)[pc.fill_null(at, len(ids)).to_numpy(zero_copy_only=False)]
+        found, done = np.empty(sizes.sum(), np.int32), 0
+        for part in pieces(lists.flatten()):
+            at = pc.fill_null(pc.index_in(part, value_set=names), len(ids))
+            found[done : done + len(part)] = numbers[at.to_numpy(zero_copy_only=False)]
+            done += len(part)
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(
-            pa.array(ends), pa.array(found.astype(np.int32)), mask=pc.is_null(lists)
+            pa.array(ends), pa.array(found), mask=pc.is_null(lists)
         )
 
     return look

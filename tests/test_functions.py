@@ -2,7 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +193,16 @@ def test_a_tokenizer_can_be_passed(spark):
     prompts = spark.createDataFrame([("ab",), ("a",)], "prompt string")
     fits = clean.fits_context(prompts, 5, tokenize=characters).collect()
     assert [r["fits"] for r in fits] == [False, True]
+
+
+def test_lookup_unpacks_little_of_a_batch_at_once():
+    look = vocab._lookup_in_batches(pa.array(["a", "b"]), np.array([5, 6]), 0).func
+    lists = pa.array([["a", "c", None, "b"], None, []])
+    assert look(lists).to_pylist() == [[5, 0, 0, 6], None, []]
+    many = pa.ListArray.from_arrays(pa.array([0, 4_000_000, 8_000_000], pa.int32()), pa.array(["a", "c"] * 4_000_000))
+    tracemalloc.start()
+    got = look(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The ids themselves are 32 MB.
+    assert len(got.flatten()) == 8_000_000 and peak < 48e6

@@ -9,7 +9,7 @@ numbers its own packs. The result doesn't depend on how the order is cut. Tokens
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -72,6 +72,30 @@ class _Steps:
         return np.flatnonzero(seen[: self.own])
 
 
+def _by_range(rows: DataFrame, keys: Sequence[str], work, schema: str) -> DataFrame:
+    """``work`` on the rows of each (keys), as ``applyInPandas`` would, but many short groups a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_rows: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            found = batch[list(keys)].to_numpy()
+            bounds = [0, *(np.flatnonzero((found[1:] != found[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            done = []
+            for first, last in zip(bounds, bounds[1:]):
+                if open_rows and (first or (open_rows[0][list(keys)].to_numpy()[0] != found[0]).any()):
+                    done.append(work(pd.concat(open_rows, ignore_index=True)))
+                    open_rows = []
+                open_rows.append(batch.iloc[first:last])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if open_rows:
+            yield work(pd.concat(open_rows, ignore_index=True))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def _entries(tables: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
     """(epoch, range, entry, first_pack) from (epoch, range, exits, packs), ``ranges`` an epoch."""
     walked = "epoch int, range long, entry int, first_pack long"
@@ -85,6 +109,8 @@ def _entries(tables: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
 
     if ranges <= fan:
         return tables.groupBy("epoch").applyInPandas(lambda rows: walk(rows, 0, 0), walked)
+    # Read by the levels above and by the walk: written, not composed again for each.
+    tables = materialize(tables, "pack-tables")
     grouped = tables.withColumn("group", F.floor(F.col("range") / fan))
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
@@ -98,17 +124,15 @@ def _entries(tables: DataFrame, ranges: int, fan: int = FAN) -> DataFrame:
             {"epoch": [first["epoch"]], "range": [first["group"]], "exits": [at], "packs": [packs]}
         )
 
-    upper = grouped.groupBy("epoch", "group").applyInPandas(
-        compose, "epoch int, range long, exits array<int>, packs array<long>"
+    upper = _by_range(
+        grouped, ["epoch", "group"], compose, "epoch int, range long, exits array<int>, packs array<long>"
     )
     known = _entries(upper, -(-ranges // fan), fan).withColumnRenamed("range", "group")
-    return (
-        grouped.join(known, ["epoch", "group"])
-        .groupBy("epoch", "group")
-        .applyInPandas(
-            lambda rows: walk(rows, int(rows["entry"].iloc[0]), int(rows["first_pack"].iloc[0])),
-            walked,
-        )
+    return _by_range(
+        grouped.join(known, ["epoch", "group"]),
+        ["epoch", "group"],
+        lambda rows: walk(rows, int(rows["entry"].iloc[0]), int(rows["first_pack"].iloc[0])),
+        walked,
     )
 
 
@@ -195,18 +219,15 @@ def pack_sequences(
         )[held]
 
     if cells > 1:
-        tables = ranged.groupBy("epoch", "range").applyInPandas(
-            table, "epoch int, range long, exits array<int>, packs array<long>"
+        tables = _by_range(
+            ranged, ["epoch", "range"], table, "epoch int, range long, exits array<int>, packs array<long>"
         )
         entered = ranged.join(_entries(tables, cells, fan), ["epoch", "range"])
     else:
         # Only the first range, which every epoch enters at its first row.
         entered = ranged.withColumns({"entry": F.lit(0), "first_pack": F.lit(0).cast("long")})
-    return (
-        entered.groupBy("epoch", "range")
-        .applyInPandas(
-            assign, "epoch int, pack long, slot int, idx long, n int, last_pos int"
-        )
+    return _by_range(
+        entered, ["epoch", "range"], assign, "epoch int, pack long, slot int, idx long, n int, last_pos int"
     )
 
 

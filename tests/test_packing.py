@@ -124,3 +124,19 @@ def test_unpacking_undoes_packing(spark):
     back = packing.unpack_predictions(padded, packed).collect()
     assert sorted((r["idx"], r["logits"][0]) for r in back) == [(i, float(i)) for i in range(100)]
 
+
+
+def test_tables_of_ranges_are_written_once_a_level(spark, monkeypatch):
+    written, materialize = [], packing.materialize
+
+    def counted(df, purpose):
+        written.append(purpose)
+        return materialize(df, purpose)
+
+    monkeypatch.setattr(packing, "materialize", counted)
+    lengths = spark.range(200).selectExpr("id AS idx", "cast(id * 37 % 60 AS int) AS n")
+    cut = packing.pack_sequences(lengths, 100, 5, epochs=2, rows_per_range=10, fan=3)
+    plain = packing.pack_sequences(lengths, 100, 5, epochs=2)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    # 20 ranges, 7 and 3 groups of them.
+    assert written.count("pack-tables") == 2

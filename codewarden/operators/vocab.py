@@ -41,9 +41,13 @@ def train_vocab(
         .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_count)
     )
-    counts = materialize(counts, "word-counts")
+    return _most_frequent(counts, size, min_count)
+
+
+def _most_frequent(counts: DataFrame, size: int, min_count: int) -> DataFrame:
+    """The vocabulary (token, id) of words with counts (token, n)."""
+    counts = materialize(counts.filter(F.col("n") >= min_count), "word-counts")
     room = size - len(SPECIAL)
     # How many words have each count: few rows, which give the least count that still gets in.
     by_falling = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -66,7 +70,7 @@ def train_vocab(
     words = kept.select(
         "token", (F.row_number().over(by_count) + (len(SPECIAL) - 1)).alias("id")
     )
-    special = df.sparkSession.createDataFrame(
+    special = counts.sparkSession.createDataFrame(
         list(zip(SPECIAL, range(len(SPECIAL)))), "token string, id int"
     )
     return special.union(words)
@@ -93,10 +97,42 @@ def _lookup_in_batches(names: pa.Array, ids: np.ndarray, unknown: int) -> Callab
     return look
 
 
+CHUNKED = "struct<chunk: bigint, words: array<string>, counts: array<bigint>, places: array<int>>"
+
+
+def _in_chunks(lists: pa.Array, rows: pa.Array) -> pa.Array:
+    """Arrays of tokens as places in the distinct words of a chunk of neighbouring rows. A chunk is named
+    by the number of its first row, which alone holds its words and how often they occur."""
+    parts, done = [], 0
+    for part in pieces(lists):
+        size = len(part)
+        coded = part.flatten().dictionary_encode(null_encoding="encode")
+        lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        words = coded.dictionary
+        counts = np.bincount(coded.indices.to_numpy(), minlength=len(words))
+        first = pa.array(np.where(np.arange(size + 1) > 0, len(words), 0), pa.int32())
+        others = pa.array(np.arange(size) > 0)
+        fields = [
+            pa.array(np.full(size, rows[done].as_py() if size else 0), pa.int64()),
+            pa.ListArray.from_arrays(first, words, mask=others),
+            pa.ListArray.from_arrays(first, pa.array(counts, pa.int64()), mask=others),
+            pa.ListArray.from_arrays(pa.array(ends), coded.indices, mask=pc.is_null(part)),
+        ]
+        parts.append(pa.StructArray.from_arrays(fields, names=["chunk", "words", "counts", "places"]))
+        done += size
+    return pa.concat_arrays(parts)
+
+
+def _once(vocab: DataFrame) -> DataFrame:
+    """Every word of a vocabulary once, with its least id."""
+    return vocab.filter(F.col("token").isNotNull()).groupBy("token").agg(F.min("id").alias("id"))
+
+
 def vocab_lookup(
     df: DataFrame,
     vocab: DataFrame,
-    tokens: str = "tokens",
+    tokens: str | Column = "tokens",
     out: str = "ids",
     unknown: int = 0,
     max_rows: int = BROADCAST_ROWS,
@@ -105,36 +141,46 @@ def vocab_lookup(
     ``unknown``, a missing array stays missing. A word that is listed twice has its least id.
 
     A vocabulary that is seen to be small goes to the executors and is looked up batch by batch; a
-    larger one is joined to the exploded tokens, which are gathered again by row and position.
+    larger one is joined to the distinct words of chunks of rows, and each row takes its ids from its chunk.
     """
-    vocab = vocab.filter(F.col("token").isNotNull()).groupBy("token").agg(F.min("id").alias("id"))
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    vocab = _once(vocab)
     rows = small_rows(vocab, max_rows)
     if rows is None:
-        return _lookup_by_join(df, vocab, tokens, out, unknown)
+        return _chunk_ids(_chunked(df, tokens), vocab, out, unknown)
     names = pa.array([r["token"] for r in rows], pa.string())
     ids = np.array([r["id"] for r in rows], np.int64)
-    return df.withColumn(out, _lookup_in_batches(names, ids, unknown)(F.col(tokens)))
+    return df.withColumn(out, _lookup_in_batches(names, ids, unknown)(tokens))
 
 
-def _lookup_by_join(
-    df: DataFrame, vocab: DataFrame, tokens: str, out: str, unknown: int
-) -> DataFrame:
-    # Numbered once and written, so a row keeps its number whatever is computed again.
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "tokens")
+def _chunked(df: DataFrame, tokens: Column) -> DataFrame:
+    """``df`` with ``__chunk``, ``__words``, ``__counts`` and ``__places`` (see :func:`_in_chunks`), written once,
+    so a row keeps its chunk whatever is computed again."""
+    coded = df.withColumn("__row", F.monotonically_increasing_id())
+    coded = coded.withColumn("__coded", F.arrow_udf(_in_chunks, CHUNKED)(tokens, F.col("__row")))
+    parts = [F.col(f"__coded.{name}").alias(f"__{name}") for name in ("chunk", "words", "counts", "places")]
+    return materialize(coded.select(*[F.col(f"`{c}`") for c in df.columns], *parts), "tokens")
+
+
+def _chunk_words(rows: DataFrame) -> DataFrame:
+    """(__chunk, __place, token, n): a row for each distinct word of a chunk, with its count there."""
+    held = rows.filter(F.col("__words").isNotNull())
+    words = held.select("__chunk", F.posexplode(F.arrays_zip("__words", "__counts")).alias("__place", "x"))
+    return words.select("__chunk", "__place", F.col("x.__words").alias("token"), F.col("x.__counts").alias("n"))
+
+
+def _chunk_ids(rows: DataFrame, vocab: DataFrame, out: str, unknown: int) -> DataFrame:
+    """Rows in chunks with their ids ``out``; ``vocab`` has a word once."""
     found = (
-        rows.select("__row", F.posexplode_outer(tokens).alias("__pos", "token"))
-        .filter(F.col("__pos").isNotNull())
+        _chunk_words(rows)
         .join(vocab, "token", "left")
         .withColumn("id", F.coalesce("id", F.lit(unknown)).cast("int"))
     )
-    gathered = found.groupBy("__row").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("__pos", "id"))), lambda x: x["id"]
-        ).alias(out)
-    )
-    none = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))
-    joined = rows.join(gathered, "__row", "left").withColumn(out, F.coalesce(out, none))
-    return joined.drop("__row")
+    placed = F.sort_array(F.collect_list(F.struct("__place", "id")))
+    ids = found.groupBy("__chunk").agg(F.transform(placed, lambda x: x["id"]).alias("__ids"))
+    joined = rows.drop("__words", "__counts").join(ids, "__chunk", "left")
+    joined = joined.withColumn(out, F.transform("__places", lambda at: F.get("__ids", at)))
+    return joined.drop("__chunk", "__places", "__ids")
 
 
 def encode_vocab(
@@ -147,8 +193,26 @@ def encode_vocab(
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Text to ids with a trained vocabulary."""
-    tokenized = df.withColumn("__tokens", tokenize(F.col(code)))
-    return vocab_lookup(tokenized, vocab, "__tokens", out, unknown, max_rows).drop("__tokens")
+    return vocab_lookup(df, vocab, tokenize(F.col(code)), out, unknown, max_rows)
+
+
+def train_and_encode(
+    df: DataFrame,
+    code: str = "code",
+    out: str = "ids",
+    unknown: int = 0,
+    size: int = VOCAB_SIZE,
+    min_count: int = MIN_COUNT,
+    tokenize: Tokenizer = text.word_tokens,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`train_vocab`, and ``df`` encoded with it, for a vocabulary of any size.
+
+    Texts are tokenised once: words are counted, and looked up, by chunks of rows that are written.
+    """
+    rows = _chunked(df, tokenize(F.col(code)))
+    words = _chunk_words(rows).filter(F.col("token").isNotNull())
+    vocab = _most_frequent(words.groupBy("token").agg(F.sum("n").alias("n")), size, min_count)
+    return vocab, _chunk_ids(rows, _once(vocab), out, unknown)
 
 
 def corpus_lines(df: DataFrame, code: str = "code") -> DataFrame:

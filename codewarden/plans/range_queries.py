@@ -87,8 +87,7 @@ def balanced_sample(spark, sf):
 
 @_again("encode_vocab")
 def encode_vocab(spark, sf):
-    docs = views.code(spark, sf)
-    encoded = vocab.encode_vocab(docs, vocab.train_vocab(docs), max_rows=10)
+    encoded = vocab.train_and_encode(views.code(spark, sf))[1]
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
     return encoded.select("idx", ids.alias("ids"))
 

@@ -206,3 +206,46 @@ def test_lookup_unpacks_little_of_a_batch_at_once():
     tracemalloc.stop()
     # The ids themselves are 32 MB.
     assert len(got.flatten()) == 8_000_000 and peak < 48e6
+
+
+def test_a_large_vocabulary_is_joined_to_the_words_of_chunks(spark):
+    rows = [(i, [f"w{(i + j) % 7}" for j in range(100)]) for i in range(200)] + [(200, None), (201, []), (202, [None])]
+    df = spark.createDataFrame(rows, "idx long, tokens array<string>").coalesce(2)
+    chunked = vocab._chunked(df, F.col("tokens"))
+    joined = vocab._chunk_words(chunked)
+    # 20,001 tokens in two chunks of 7 words and a null.
+    assert joined.count() <= 2 * 8 and joined.agg(F.sum("n")).first()[0] == 20_001
+    words = spark.createDataFrame([(f"w{i}", 10 + i) for i in range(5)], "token string, id int")
+    want = {i: t if t is None else [10 + int(w[1]) if w and w < "w5" else -1 for w in t] for i, t in rows}
+    for max_rows in (1, 100):
+        found = vocab.vocab_lookup(df, words, unknown=-1, max_rows=max_rows).collect()
+        assert {r["idx"]: r["ids"] for r in found} == want
+
+
+def test_chunks_end_within_a_batch():
+    many = [[f"{i}-{j}" for j in range(100)] for i in range(8000)] + [None, []]
+    got = vocab._in_chunks(pa.array(many), pa.array(range(50, 8052))).to_pylist()
+    assert len({r["chunk"] for r in got}) > 1
+    words = {r["chunk"]: r["words"] for r in got if r["words"] is not None}
+    first = [i + 50 for i, r in enumerate(got) if r["words"] is not None]
+    assert first == sorted(words)
+    assert [t if (t := r["places"]) is None else [words[r["chunk"]][p] for p in t] for r in got] == many
+    assert vocab._in_chunks(pa.array([], pa.list_(pa.string())), pa.array([], pa.int64())).to_pylist() == []
+
+
+def test_training_and_encoding_tokenise_a_text_once(spark):
+    texts = ["b a a", None, "", "c b", "a [UNK] d"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, code string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(code):
+        seen.add(1)
+        return None if code is None else code.split()
+
+    trained, encoded = vocab.train_and_encode(df, size=8, tokenize=words)
+    got = {r["idx"]: r["ids"] for r in encoded.collect()}
+    assert seen.value == len(texts)
+    want = vocab.train_vocab(df, size=8, tokenize=words)
+    assert sorted(trained.collect()) == sorted(want.collect())
+    assert got == {r["idx"]: r["ids"] for r in vocab.encode_vocab(df, want, tokenize=words).collect()}

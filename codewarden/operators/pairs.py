@@ -27,7 +27,7 @@ from codewarden.operators.ordered import with_ranges
 
 BITS = 6
 CHILDREN = 1 << BITS
-#: Rows whose running counts stand in memory at once.
+#: Rows that are counted at once.
 BLOCK = 4096
 
 NODE = ["level", "head"]
@@ -59,34 +59,52 @@ class _Walk:
     def gains(self, score, digit, pos, neg) -> np.ndarray:
         """For each row, pairs with earlier rows that its positives win, less those that its negatives
         don't lose; ties count half."""
-        rows = np.arange(len(score))
-        if self.score is None:
-            self.score = score[0]
-        fresh = np.diff(score, prepend=self.score) != 0
-        start = np.maximum.accumulate(np.where(fresh, rows, -1))
-        gain = np.zeros(len(score))
-        running = []
+        # Rows of one child with one score meet the same rows.
+        first = np.flatnonzero(np.r_[True, (score[1:] != score[:-1]) | (digit[1:] != digit[:-1])])
+        sizes = np.diff(np.r_[first, len(score)])
+        score, digit = score[first], digit[first].astype(np.int16)
+        fresh = np.diff(score, prepend=score[0] if self.score is None else self.score) != 0
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(score)), -1))
+        gain = np.zeros(len(pos))
         for own, other, name, sign in ((pos, neg, "neg", 1), (neg, pos, "pos", -1)):
-            counts = np.zeros((len(score) + 1, CHILDREN))
-            counts[rows + 1, digit] = other
-            np.cumsum(counts, axis=0, out=counts)
-            counts += getattr(self, name)
-            lesser = np.cumsum(counts, axis=1) - counts
-            before = getattr(self, f"low_{name}")
-            low = np.where(start >= 0, lesser[start, digit], (np.cumsum(before) - before)[digit])
-            gain += sign * own * (low + lesser[rows, digit]) / 2
+            counts = np.add.reduceat(other, first).astype(np.float64)
+            held, low_held = getattr(self, name), getattr(self, f"low_{name}")
+            lesser = _lesser(digit, counts) + (np.cumsum(held) - held)[digit]
+            # What stands before a score's first row: less the lesser children of that score.
+            before = np.cumsum(counts) - counts
+            low = np.where(start >= 0, lesser - before + before[start], (np.cumsum(low_held) - low_held)[digit])
+            gain += sign * own * np.repeat((low + lesser) / 2, sizes)
             if self.level == 0 and name == "neg":
                 # Within a step each pair is seen from its positive row.
-                gain += pos * (counts[rows, digit] + neg / 2)
-            running.append((name, counts))
-        for name, counts in running:
+                gain += pos * np.repeat(_earlier(digit, counts) + held[digit] + counts / 2, sizes)
             if start[-1] >= 0:
-                setattr(self, f"low_{name}", counts[start[-1]].copy())
-            setattr(self, name, counts[-1].copy())
+                last = slice(0, start[-1])
+                setattr(self, f"low_{name}", held + np.bincount(digit[last], counts[last], CHILDREN))
+            setattr(self, name, held + np.bincount(digit, counts, CHILDREN))
         self.score = score[-1]
         return gain
 
 
+def _earlier(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row, the sum of ``counts`` of the rows before it with the same key."""
+    order = np.argsort(key, kind="stable")
+    sorted_key, sums = key[order], np.cumsum(counts[order]) - counts[order]
+    first = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
+    found = np.empty(len(key))
+    found[order] = sums - np.repeat(sums[first], np.diff(np.r_[first, len(key)]))
+    return found
+
+
+def _lesser(digit: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row, the sum of ``counts`` of the rows before it with a lesser digit. Two digits part first
+    at one bit, where the lesser one has 0."""
+    found = np.zeros(len(digit))
+    for bit in range(BITS):
+        zero = (digit >> bit & 1) == 0
+        found += np.where(zero, 0, _earlier(digit >> (bit + 1), np.where(zero, counts, 0)))
+    return found
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(step, gain) of batches that come sorted by node, range, kind, score and child."""
     key, walk = None, None

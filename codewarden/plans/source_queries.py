@@ -25,8 +25,8 @@ from codewarden.sources import readers, writers
 from codewarden.streaming import report
 from codewarden.support import shared_dir
 
-# Files, each a batch, that the running report is read from.
-STREAM_FILES = 4
+# Parts, each a batch, that the running report is read from.
+STREAM_PARTS = 4
 FIELDS = ["code", "idx", "cwe", "target", "status"]
 
 
@@ -246,20 +246,20 @@ def stream_report(spark, sf):
 
 @query("stream_running_report", ORACLE["running_report"])
 def stream_running_report(spark, sf):
-    """The report at every 100th event, over files that come one after the other."""
+    """The report at every 100th event, over events that come in parts, one after the other."""
     base = shared_dir(spark, "stream")
     events = running_events(spark, sf)
     bounds = events.agg(F.min("event_id"), F.max("event_id")).first()
-    width = (bounds[1] - bounds[0]) // STREAM_FILES + 1
-    for n in range(STREAM_FILES):
-        # Files are read in the order of their times.
+    width = (bounds[1] - bounds[0]) // STREAM_PARTS + 1
+    for n in range(STREAM_PARTS):
+        # A part is any number of files. The stream takes what has come as a batch, and goes on with the next part.
         first = bounds[0] + n * width
         some = events.filter((F.col("event_id") >= first) & (F.col("event_id") < first + width))
-        some.coalesce(1).write.mode("append").json(f"{base}/in")
-    stream = report.read_stream(spark, f"{base}/in", events.schema, files_per_batch=1)
-    report.running_stream(
-        stream, f"{base}/out", f"{base}/state", f"{base}/checkpoint", order="event_id", skipped="skip"
-    ).awaitTermination()
+        some.write.mode("append").json(f"{base}/in")
+        stream = report.read_stream(spark, f"{base}/in", events.schema)
+        report.running_stream(
+            stream, f"{base}/out", f"{base}/state", f"{base}/checkpoint", order="event_id", skipped="skip"
+        ).awaitTermination()
     return round_doubles(spark.read.parquet(f"{base}/out").drop("batch"))
 
 

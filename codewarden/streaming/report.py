@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from codewarden.operators import running
 from codewarden.operators.metrics import scores_from_counts
 from codewarden.operators.ordered import ROWS_PER_RANGE
-from codewarden.support import checked_score, remove
+from codewarden.support import checked_score, materialize, remove
 
 
 def report_of(counts: DataFrame) -> DataFrame:
@@ -147,6 +147,8 @@ def running_stream(
         steps, seen = running.running_steps(
             batch, order, every, label, pred, skipped, score, rows_per_range, since
         )
+        # A row a step, which the reports and the state are read from.
+        steps = materialize(steps, "steps")
         running.reports(steps, every).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         # One row: the totals at the last step.
         last = steps.orderBy(F.col("step").desc()).first()

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,36 @@ def test_a_missing_score_stops_the_stream(spark, tmp_path, bad):
     stream = report.read_stream(spark, str(tmp_path / "in"), "label int, score double").withColumnRenamed("score", "prob")
     with pytest.raises(Exception, match="null or NaN"):
         report.stream_report(stream, lambda df, i: df.collect(), str(tmp_path / "c2")).awaitTermination()
+
+
+def test_a_batch_is_walked_once(spark, tmp_path, monkeypatch):
+    rows = rows_of(13, 90)
+    seen, walk = spark.sparkContext.accumulator(0), pairs._walk
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield from walk([batch])
+
+    monkeypatch.setattr(pairs, "_walk", counted)
+    write_file(tmp_path / "in", "a.json", rows)
+    same(got_of(run(spark, tmp_path)), brute(rows, 10))
+    # One level of 9 steps: a row for each step and score.
+    pairs_seen = {(i // 10, r[4]) for i, r in enumerate(sorted(rows)) if not r[3]}
+    skipped = len({i // 10 for i, r in enumerate(sorted(rows)) if r[3]})
+    assert len(pairs_seen) <= seen.value <= len(pairs_seen) + skipped
+
+
+def test_a_walk_holds_no_counts_of_all_children_for_each_row():
+    import numpy as np
+
+    score = np.arange(4096) / 4096
+    digit = np.arange(4096, dtype=np.int32) * 7 % 64
+    walk = pairs._Walk(1)
+    walk.gains(score[:9], digit[:9], digit[:9], digit[:9])
+    tracemalloc.start()
+    walk.gains(score, digit, digit + 1, digit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A table of 64 children is 2 MB.
+    assert peak < 1.5e6
